@@ -1,4 +1,142 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries, one for each operator family, and their SQL twins for DuckDB over the same tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import changes, lookups, paths, summaries, upserts
+from . import derive
+from .derive import TWINS, read
+
+MODULE, MODEL, VIEW = "Supplier#000000001", "100", "0.0"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None, twins: bool = True) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = f"WITH RECURSIVE {TWINS}{sql}" if twins else sql
+
+
+def on_graph(f: Callable[..., DataFrame], *args, **named) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(derive.graph(spark, sf_dir), *args, **named)
+
+
+# ---- lookups
+register("module_by_name", lambda s, d: lookups.find_module(derive.graph(s, d), MODULE).drop("id"), f"SELECT * FROM modules WHERE name = '{MODULE}'")
+register("module_dependencies", on_graph(lookups.module_dependencies, MODULE), f"SELECT name AS dependency, version, category FROM depends JOIN modules ON dst = name WHERE src = '{MODULE}'")
+register("module_dependents", on_graph(lookups.module_dependents, MODULE), f"SELECT name AS dependent, version, category FROM depends JOIN modules ON src = name WHERE dst = '{MODULE}'")
+register("list_modules", on_graph(lookups.list_modules, "GERMANY", True), "SELECT name, version, category, summary, installable FROM modules WHERE category = 'GERMANY' AND installable")
+register("list_all_modules", on_graph(lookups.list_modules, ""), "SELECT name, version, category, summary, installable FROM modules")
+_RANKED = f"SELECT DISTINCT m.name AS model, file_path, description, d.dst AS module_name, CAST(CASE WHEN contains(file_path, '/base/') THEN 0 WHEN contains(file_path, '/core/') THEN 1 WHEN contains(file_path, '/addons/') THEN 2 ELSE 3 END AS INTEGER) AS priority FROM models m LEFT JOIN defined d ON d.src = m.name WHERE m.name = '{MODEL}' ORDER BY priority, file_path, module_name LIMIT 5"
+register("model_definitions", on_graph(lookups.model_definitions, MODEL), _RANKED)
+register("ranked_definitions", on_graph(lookups.ranked_definitions, MODEL), f"SELECT *, CASE WHEN row_number() OVER (ORDER BY priority, file_path, module_name) = 1 THEN 'base' ELSE 'extension' END AS kind FROM ({_RANKED}) t")
+register("model_children", on_graph(lookups.model_children, MODEL), f"SELECT name AS child, description FROM inherits JOIN models ON src = name WHERE dst = '{MODEL}'")
+register("model_delegation", on_graph(lookups.model_delegation, "1000"), "SELECT dst AS delegated_model, field AS field_name FROM delegates JOIN models ON dst = name WHERE src = '1000'")
+register("models_in_module", on_graph(lookups.models_in_module, MODULE), f"SELECT name, description, file_path FROM defined JOIN models ON src = name WHERE dst = '{MODULE}'")
+register("list_models", on_graph(lookups.list_models, "Brand#23"), "SELECT name, description, module FROM models WHERE module = 'Brand#23'")
+register("model_fields", on_graph(lookups.model_fields, MODEL), f"SELECT name, field_type AS type, string, required, readonly, help, comodel_name FROM fields WHERE model_name = '{MODEL}'")
+register("find_field", on_graph(lookups.find_field, "RF"), "SELECT name, model_name AS model, field_type AS type, string, required FROM fields WHERE name = 'RF'")
+register("find_field_of_model", on_graph(lookups.find_field, "AF", MODEL), f"SELECT name, model_name AS model, field_type AS type, string, required FROM fields WHERE name = 'AF' AND model_name = '{MODEL}'")
+register("relational_fields", on_graph(lookups.relational_fields), "SELECT name AS field_name, model_name AS source_model, field_type, comodel_name AS target_model FROM fields WHERE comodel_name IS NOT NULL")
+register("computed_fields", on_graph(lookups.computed_fields), "SELECT name AS field_name, model_name AS model, field_type AS type, compute AS compute_method, store AS stored FROM fields WHERE compute IS NOT NULL")
+register("views_of_model", on_graph(lookups.views_of_model, "1"), "SELECT xml_id, name, view_type FROM views WHERE model = '1'")
+register("implied_module_dependencies", on_graph(lookups.implied_dependencies, MODULE), f"SELECT DISTINCT d2.dst AS dependency FROM defined d1 JOIN inherits i ON i.src = d1.src JOIN defined d2 ON d2.src = i.dst WHERE d1.dst = '{MODULE}' AND d2.dst <> '{MODULE}'")
+register("inheritance_pairs", on_graph(lookups.inheritance_pairs), "SELECT src AS child, dst AS parent FROM inherits ORDER BY child, parent LIMIT 25")
+register("module_contents", on_graph(lookups.module_contents, MODULE), f"SELECT dst AS module, 'Model' AS label, src AS contained FROM defined WHERE dst = '{MODULE}' ORDER BY contained LIMIT 50")
+
+# ---- paths
+_UP = "r AS (SELECT name AS start, name AS node, 0 AS depth FROM models WHERE name = '{m}' UNION ALL SELECT r.start, i.{to}, r.depth + 1 FROM r JOIN inherits i ON i.{at} = r.node WHERE r.depth < 10)"
+register("inheritance_tree", on_graph(paths.ancestors, "1000"), ", " + _UP.format(m="1000", to="dst", at="src") + " SELECT start AS model, node AS parent, depth FROM r")
+register("transitive_children", on_graph(paths.descendants, "5"), ", " + _UP.format(m="5", to="src", at="dst") + " SELECT m.name, m.module, m.description, depth FROM r JOIN models m ON m.name = r.node WHERE depth > 0")
+register("view_extensions", on_graph(paths.view_extensions, VIEW), f", r AS (SELECT xml_id AS node, 0 AS depth FROM views WHERE xml_id = '{VIEW}' UNION ALL SELECT e.src, r.depth + 1 FROM r JOIN extends e ON e.dst = r.node WHERE r.depth < 10) SELECT xml_id, name, view_type, depth FROM r JOIN views ON xml_id = node WHERE depth > 0")
+register("dependency_cycles", lambda s, d: paths.dependency_cycles(derive.graph(s, d), 4).withColumn("cycle_path", F.array_join("cycle_path", ">")), """, r AS (
+  SELECT src AS st, dst, 1 AS d, [concat(src, '|', dst)] AS tr, concat(src, '>', dst) AS p FROM depends UNION ALL
+  SELECT r.st, e.dst, r.d + 1, list_append(r.tr, concat(e.src, '|', e.dst)), concat(r.p, '>', e.dst) FROM r JOIN depends e ON r.dst = e.src
+  WHERE r.d < 4 AND NOT list_contains(r.tr, concat(e.src, '|', e.dst)))
+SELECT st AS module, d AS cycle_length, p AS cycle_path FROM r WHERE st = dst""")
+register("shortest_dependency_path", lambda s, d: paths.dependency_chains(derive.graph(s, d), MODULE, 6).withColumn("path", F.array_join("path", ">")), f""", r AS (
+  SELECT dst, 1 AS d, [src, dst] AS nd FROM depends WHERE src = '{MODULE}' AND dst <> src UNION ALL
+  SELECT e.dst, r.d + 1, list_append(r.nd, e.dst) FROM r JOIN depends e ON r.dst = e.src WHERE r.d < 6 AND NOT list_contains(r.nd, e.dst))
+SELECT dst AS target, array_to_string(nd, '>') AS path, d AS depth FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY d, nd) AS rn FROM r) z WHERE rn = 1""")
+register("model_neighbourhood", on_graph(paths.neighbourhood, "1000"), """, e0 AS (
+  SELECT src, dst, 'INHERITS_FROM' AS ty, concat('I', src, '|', dst) AS id FROM inherits UNION ALL SELECT src, dst, 'DELEGATES_TO', concat('D', src, '|', dst, field) FROM delegates),
+e AS (SELECT src AS a, dst AS b, ty, id FROM e0 UNION ALL SELECT dst, src, ty, id FROM e0),
+r AS (SELECT '1000' AS node, 0 AS d, CAST(NULL AS VARCHAR) AS ft, [''] AS tr UNION ALL
+  SELECT e.b, r.d + 1, coalesce(r.ft, e.ty), list_append(r.tr, e.id) FROM r JOIN e ON r.node = e.a WHERE r.d < 2 AND NOT list_contains(r.tr, e.id))
+SELECT DISTINCT '1000' AS center, node AS related, ft AS relation, d AS distance FROM r""")
+
+# ---- summaries
+_NODES = "SELECT 'Module' AS label, count(*) AS n FROM modules UNION ALL SELECT 'Model', count(*) FROM models UNION ALL SELECT 'Field', count(*) FROM fields UNION ALL SELECT 'View', count(*) FROM views"
+_EDGES = "SELECT 'DEPENDS_ON' AS rel_type, count(*) AS n FROM depends UNION ALL SELECT 'INHERITS_FROM', count(*) FROM inherits UNION ALL SELECT 'DELEGATES_TO', count(*) FROM delegates UNION ALL SELECT 'DEFINED_IN', count(*) FROM defined UNION ALL SELECT 'BELONGS_TO', count(*) FROM fields UNION ALL SELECT 'REFERENCES', count(*) FROM fields WHERE comodel_name IS NOT NULL"
+_VIEW_EDGES = " UNION ALL SELECT 'DISPLAYS', count(*) FROM views UNION ALL SELECT 'EXTENDS', count(*) FROM extends"
+register("node_counts", on_graph(summaries.node_counts), _NODES)
+register("edge_counts", on_graph(summaries.edge_counts), _EDGES + _VIEW_EDGES + " UNION ALL SELECT 'CONTAINS', 0 UNION ALL SELECT 'INHERITS', 0")
+register("graph_statistics", on_graph(summaries.statistics), f", n AS ({_NODES}), e AS ({_EDGES}{_VIEW_EDGES}) SELECT 'node' AS kind, label AS name, CAST(n AS BIGINT) AS n FROM n UNION ALL SELECT 'node', 'total', CAST(sum(n) AS BIGINT) FROM n UNION ALL SELECT 'edge', rel_type, n FROM e UNION ALL SELECT 'edge', 'total', CAST(sum(n) AS BIGINT) FROM e")
+register("graph_overview", on_graph(summaries.overview), "SELECT (SELECT count(*) FROM modules) AS modules, (SELECT count(*) FROM models) AS models, (SELECT count(*) FROM fields) AS fields, (SELECT count(*) FROM depends) AS dependencies, (SELECT count(*) FROM inherits) AS inheritances")
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a class: parts with the parts of the same brand and type before them as parents, and their fields' number."""
+    g = derive.graph(spark, sf_dir)
+    n = g.fields.groupBy(F.col("model_name").alias("name")).agg(F.count("*").alias("n_fields"))
+    e = g.typed_edges("INHERITS_FROM", "DELEGATES_TO").groupBy(F.col("src").alias("name")).agg(F.sort_array(F.collect_set("dst")).alias("inherits"))
+    rows = g.models.join(n, "name", "left").join(e, "name", "left")
+    return rows.select("name", "module", F.when(F.col("description").startswith("PROMO"), "").otherwise(F.col("description")).alias("description"), F.coalesce("n_fields", F.lit(0)).alias("n_fields"), F.coalesce("inherits", F.array().cast("array<string>")).alias("inherits"))
+
+
+_DEFS = """, both_ AS (SELECT src, dst FROM inherits UNION SELECT src, dst FROM delegates), parents AS (SELECT src, count(*) AS k FROM both_ GROUP BY src),
+counted AS (SELECT model_name, count(*) AS n FROM fields GROUP BY model_name),
+defs AS (SELECT name, module, CASE WHEN description LIKE 'PROMO%' THEN '' ELSE description END AS description, coalesce(n, 0) AS n_fields, coalesce(k, 0) AS k
+  FROM models LEFT JOIN counted ON model_name = name LEFT JOIN parents ON src = name)
+"""
+register("classify_models", lambda s, d: definitions(s, d).select("name", scalars.model_kind(F.when(F.col("n_fields") > 2, F.col("name")), F.col("inherits")).alias("model_type")), _DEFS + "SELECT name, CASE WHEN n_fields > 2 AND k = 0 THEN 'parent' WHEN n_fields <= 2 AND k > 0 THEN 'child' WHEN n_fields > 2 THEN 'redefined' ELSE 'mixin' END AS model_type FROM defs")
+register("models_by_type", lambda s, d: summaries.models_by_type(QUERIES["classify_models"](s, d)), _DEFS + "SELECT CASE WHEN n_fields > 2 AND k = 0 THEN 'parent' WHEN n_fields <= 2 AND k > 0 THEN 'child' WHEN n_fields > 2 THEN 'redefined' ELSE 'mixin' END AS model_type, count(*) AS n FROM defs GROUP BY 1")
+register("top_modules_by_models", on_graph(lambda g: summaries.top_modules(g.models)), "SELECT module, count(*) AS n FROM models GROUP BY module ORDER BY n DESC, module DESC LIMIT 10")
+register("top_modules_by_views", on_graph(lambda g: summaries.top_modules(g.views)), "SELECT module, count(*) AS n FROM views GROUP BY module ORDER BY n DESC, module DESC LIMIT 10")
+register("module_complexity", lambda s, d: summaries.module_complexity(definitions(s, d)), _DEFS + "SELECT module, count(*) AS models, CAST(sum(n_fields) AS BIGINT) AS total_fields FROM defs GROUP BY module ORDER BY models DESC, module DESC LIMIT 10")
+register("multi_parent_models", lambda s, d: summaries.with_several_parents(definitions(s, d)).select("name", "module"), _DEFS + "SELECT name, module FROM defs WHERE k > 1")
+register("models_without_description", lambda s, d: summaries.without_description(definitions(s, d)).select("name", "module"), _DEFS + "SELECT name, module FROM defs WHERE description = ''")
+register("models_inheriting_from", lambda s, d: summaries.inheriting_from(definitions(s, d), "7").select("name", "module"), _DEFS + "SELECT name, module FROM defs JOIN both_ ON src = name WHERE dst = '7'")
+register("large_models", lambda s, d: summaries.large_models(definitions(s, d), 3).select("name", "n_fields"), _DEFS + "SELECT name, n_fields FROM defs WHERE n_fields > 3")
+register("orphan_views", on_graph(lambda g: summaries.orphan_views(g.views.withColumn("model", F.when(F.col("view_type") == "form", "").otherwise(F.col("model")))).select("xml_id")), "SELECT xml_id FROM views WHERE view_type = 'form'")
+
+# ---- writing
+_EVEN = "(CAST(regexp_extract({c}, '[0-9]+', 0) AS BIGINT) % 2 = 0)"
+register("upsert_last_writer", on_graph(lambda g: g.fields), "SELECT * FROM fields")
+register("upsert_into_snapshot", lambda s, d: upserts.upsert(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("n_name"), "s_suppkey").filter("s_suppkey % 3 = 0"), ["n_nationkey"], ["s_suppkey"]), "SELECT n_nationkey, coalesce(max_by(s_name, s_suppkey), any_value(n_name)) AS n_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY n_nationkey", twins=False)
+_SOME = F.col("name").cast("long") % 2 == 0
+register("edge_endpoint_check", on_graph(lambda g: upserts.linked(g.edges["INHERITS_FROM"], g.models.filter(F.col("name").cast("long") % 2 == 0), g.models.filter(F.col("name").cast("long") % 3 == 0))), "SELECT DISTINCT src, dst FROM inherits WHERE CAST(src AS BIGINT) % 2 = 0 AND CAST(dst AS BIGINT) % 3 = 0")
+register("dangling_edges", on_graph(lambda g: upserts.dangling(g.edges["REFERENCES"].select("src", "dst"), g.models, g.models.filter(F.col("name").cast("long") % 5 > 0))), "SELECT DISTINCT model_name AS src, comodel_name AS dst, false AS src_missing, true AS dst_missing FROM fields WHERE comodel_name IS NOT NULL AND CAST(comodel_name AS BIGINT) % 5 = 0")
+register("edge_dedupe", lambda s, d: read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct(), "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem", twins=False)
+register("inherits_by_name", lambda s, d: upserts.inherits_by_name(read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("module"), F.array(F.concat(F.substring("n_name", 1, 1), F.lit("")), "n_name").alias("inherits"))), "SELECT DISTINCT a.n_name AS src, CAST(a.n_regionkey AS VARCHAR) AS src_module, b.n_name AS dst, CAST(b.n_regionkey AS VARCHAR) AS dst_module FROM nation a JOIN nation b ON b.n_name = a.n_name OR b.n_name = substr(a.n_name, 1, 1)", twins=False)
+register("constraint_violations", lambda s, d: upserts.violations(derive.graph(s, d)), "SELECT 'modules' AS \"table\", concat('[\"', name, '\"]') AS key, count(*) AS n FROM modules GROUP BY name HAVING count(*) > 1")
+
+# ---- changes
+_STATE = """WITH prev AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(h, 'x') ELSE h END AS h FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0) a),
+cur AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0) """
+
+
+def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An earlier and a current state of files, from documents: some are missing in each, some differ."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    before = d.filter("doc_id % 10 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")))
+    return before, d.filter("doc_id % 11 <> 0")
+
+
+register("change_detection", lambda s, d: changes.changes(*states(s, d), key="doc_id"), _STATE + "SELECT coalesce(p.doc_id, c.doc_id) AS doc_id, CASE WHEN p.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'deleted' WHEN p.h <> c.h THEN 'modified' ELSE 'unchanged' END AS change FROM prev p FULL OUTER JOIN cur c ON p.doc_id = c.doc_id", twins=False)
+register("deleted_paths", lambda s, d: changes.deleted(*states(s, d), key="doc_id"), _STATE + "SELECT doc_id FROM prev WHERE doc_id NOT IN (SELECT doc_id FROM cur)", twins=False)
+register("changed_files", lambda s, d: changes.changed(*states(s, d), key="doc_id"), _STATE + "SELECT c.doc_id, c.h AS hash FROM cur c LEFT JOIN prev p ON p.doc_id = c.doc_id WHERE p.h IS NULL OR p.h <> c.h", twins=False)
+register("directory_hash", lambda s, d: changes.directory_hash(read(s, d, "documents"), "source", "doc_id", "text"), "SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), '' ORDER BY doc_id)) AS hash FROM documents GROUP BY source", twins=False)
+
+# ---- scalar functions
+_KINDS = " ".join(f"WHEN contains(lower(html), '<{k}') THEN '{k}'" for k in ("nav", "article", "form"))
+register("view_type_detect", lambda s, d: read(s, d, "pages").select("page_id", scalars.view_kind(F.col("html"), ("nav", "article", "form")).alias("kind")), f"SELECT page_id, CASE {_KINDS} ELSE 'unknown' END AS kind FROM pages", twins=False)
+register("extract_links", lambda s, d: read(s, d, "pages").select("page_id", F.explode(scalars.links(F.col("html"))).alias("link")), "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages", twins=False)
+register("qualify_ids", lambda s, d: read(s, d, "part").select("p_partkey", scalars.qualified(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("x."), "p_name")).otherwise(F.col("p_name"))).alias("xml_id")), "SELECT p_partkey, CASE WHEN contains(CASE WHEN p_partkey % 2 = 0 THEN 'x.' || p_name ELSE p_name END, '.') THEN CASE WHEN p_partkey % 2 = 0 THEN 'x.' || p_name ELSE p_name END ELSE concat(p_brand, '.', p_name) END AS xml_id FROM part", twins=False)
+register("serialise_values", lambda s, d: read(s, d, "nation").select("n_nationkey", scalars.serialised(F.array("n_regionkey", "n_nationkey"), True).alias("value")), "SELECT n_nationkey, concat('[', n_regionkey, ',', n_nationkey, ']') AS value FROM nation", twins=False)
+register("split_lists", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(scalars.csv_list(F.concat(F.lit(" "), F.regexp_replace("p_name", " ", " ,, "))), "|").alias("parts")), "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(concat(' ', replace(p_name, ' ', ' ,, ')), ','), x -> trim(x)), x -> x <> ''), '|') AS parts FROM part", twins=False)
+register("base_names", lambda s, d: derive.models(s, d).select("name", scalars.base_name(F.col("file_path")).alias("file"), scalars.shortened(F.col("description"), 10).alias("short")), "SELECT name, string_split(file_path, '/')[-1] AS file, substr(coalesce(description, ''), 1, 10) AS short FROM models")
