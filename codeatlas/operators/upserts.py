@@ -9,10 +9,11 @@ from ..graph import NODE_KEYS, Graph
 
 
 def last_writer(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row a key, the greatest in order. A maximum of structs, so it combines before the shuffle and no key is sorted."""
+    """One row a key, the greatest in order (ties by the other columns that have an order). It combines before the shuffle, and no key is sorted."""
     rest = [c for c in rows.columns if c not in keys]
-    picked = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("r"))
-    return picked.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]) if set(order) <= set(rest) else picked.select(*keys, "r.*")
+    plain = [c for c in rest if c not in order and "map<" not in rows.schema[c].dataType.simpleString()]
+    picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, *plain)).alias("r"))
+    return picked.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
