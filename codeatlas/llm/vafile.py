@@ -53,7 +53,8 @@ class VAFile:
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int = K, cells: int = CELLS):
-    """For each query the k best (score, vec_id) among the vectors of other ids, exactly; ids are in ascending order."""
+    """For each query the k best (score, vec_id) among the vectors of other ids, exactly; ids are in ascending order, an id counts once."""
+    k_ids, k = k, k * int(np.unique(ids, return_counts=True)[1].max())
     if q.shape[1] == 0:
         q, v = np.zeros((len(q), 1)), np.zeros((len(v), 1))
     file = VAFile(v, cells)
@@ -74,7 +75,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
                 best = np.concatenate([best, np.stack([v[read] @ part[r], read], 1)])
                 best = best[np.lexsort((best[:, 1], -best[:, 0]))][:k]
                 at, step = at + step, 2 * step
-            yield i + r, best[:, 0].astype(np.int64), ids[best[:, 1].astype(np.int64)]
+            named = ids[best[:, 1].astype(np.int64)]
+            first = np.sort(np.unique(named, return_index=True)[1])[:k_ids]
+            yield i + r, best[first, 0].astype(np.int64), named[first]
 
 
 def top_k(df: DataFrame, is_query, k: int = K, scale: int = 64, cells: int = CELLS) -> DataFrame:
