@@ -4,6 +4,7 @@ Each word enters as an embedding of its hash beside the mean embedding of its ch
 numpy on the driver from at most FIT_ROWS labelled texts outside the held-out fold, a third of them toxic at most, and scores
 all windows of SPAN words, each STRIDE words after the last, of every whole text; a text's score is its highest window's.
 As only whole texts have labels, training takes the windows that score highest so far, of toxic and of clean texts alike.
+The last bias is then moved by the log odds between the sample's share of toxic texts and that of all labels.
 
 A word that follows itself at once is read once: runs of one word say nothing new, and would drive the state off its range.
 
@@ -161,7 +162,7 @@ class ToxicNet:
             dx += dgates @ self.p[f"in_{way}"].T
         return g, words, dx
 
-    def fit(self, v: Vocabulary, doc: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 3) -> "ToxicNet":
+    def fit(self, v: Vocabulary, doc: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 3) -> "ToxicNet":
         """doc: the text of each window; y: the label of each text."""
         r, moments, step = np.random.RandomState(seed), {}, 0
         for epoch in range(epochs):
@@ -171,7 +172,7 @@ class ToxicNet:
             chosen = order[rank < 2]
             if epoch:  # and one window of each clean text at random
                 chosen = np.union1d(chosen, r.permutation(np.flatnonzero(y[doc] == 0))[: len(y)])
-            chosen = r.permutation(chosen)
+            chosen, batch = r.permutation(chosen), min(256, max(64, len(chosen) // 100))
             for i in range(0, len(chosen), batch):
                 b = chosen[i : i + batch]
                 g, words, dx = self.gradients(v, at[b], y[doc[b]].astype(f32))
@@ -222,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicNet:
     if len(y) == 0 or y.min() == y.max():
         return ToxicNet()
     v = Vocabulary(*text_bytes(pa.array(found["text"], pa.string())))
-    return ToxicNet().fit(v, *v.windows(), y)
+    net, odds = ToxicNet().fit(v, *v.windows(), y), lambda p: np.log(p / (1 - p))
+    share = labels.filter(fold(3) != 1).agg(F.avg((F.col("toxic") >= 0.5).cast("double"))).first()[0]
+    net.p["bias"] += f32(odds(share) - odds(y.mean()))
+    return net
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
