@@ -28,7 +28,7 @@ def view_kind(text: Column, kinds: tuple[str, ...] = VIEW_TYPES) -> Column:
 
 def csv_list(text: Column) -> Column:
     """The trimmed, non-empty parts between commas."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def base_name(path: Column) -> Column:

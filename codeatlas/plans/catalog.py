@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import changes, lookups, paths, summaries, upserts
+from ..sources import records, syntax
 from . import derive
 from .derive import TWINS, read
 
@@ -65,7 +66,7 @@ SELECT dst AS target, array_to_string(nd, '>') AS path, d AS depth FROM (SELECT
 register("model_neighbourhood", on_graph(paths.neighbourhood, "1000"), """, e0 AS (
   SELECT src, dst, 'INHERITS_FROM' AS ty, concat('I', src, '|', dst) AS id FROM inherits UNION ALL SELECT src, dst, 'DELEGATES_TO', concat('D', src, '|', dst, field) FROM delegates),
 e AS (SELECT src AS a, dst AS b, ty, id FROM e0 UNION ALL SELECT dst, src, ty, id FROM e0),
-r AS (SELECT '1000' AS node, 0 AS d, CAST(NULL AS VARCHAR) AS ft, [''] AS tr UNION ALL
+r AS (SELECT name AS node, 0 AS d, CAST(NULL AS VARCHAR) AS ft, [''] AS tr FROM models WHERE name = '1000' UNION ALL
   SELECT e.b, r.d + 1, coalesce(r.ft, e.ty), list_append(r.tr, e.id) FROM r JOIN e ON r.node = e.a WHERE r.d < 2 AND NOT list_contains(r.tr, e.id))
 SELECT DISTINCT '1000' AS center, node AS related, ft AS relation, d AS distance FROM r""")
 
@@ -105,31 +106,35 @@ register("large_models", lambda s, d: summaries.large_models(definitions(s, d),
 register("orphan_views", on_graph(lambda g: summaries.orphan_views(g.views.withColumn("model", F.when(F.col("view_type") == "form", "").otherwise(F.col("model")))).select("xml_id")), "SELECT xml_id FROM views WHERE view_type = 'form'")
 
 # ---- writing
-_EVEN = "(CAST(regexp_extract({c}, '[0-9]+', 0) AS BIGINT) % 2 = 0)"
 register("upsert_last_writer", on_graph(lambda g: g.fields), "SELECT * FROM fields")
-register("upsert_into_snapshot", lambda s, d: upserts.upsert(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("n_name"), "s_suppkey").filter("s_suppkey % 3 = 0"), ["n_nationkey"], ["s_suppkey"]), "SELECT n_nationkey, coalesce(max_by(s_name, s_suppkey), any_value(n_name)) AS n_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY n_nationkey", twins=False)
-_SOME = F.col("name").cast("long") % 2 == 0
-register("edge_endpoint_check", on_graph(lambda g: upserts.linked(g.edges["INHERITS_FROM"], g.models.filter(F.col("name").cast("long") % 2 == 0), g.models.filter(F.col("name").cast("long") % 3 == 0))), "SELECT DISTINCT src, dst FROM inherits WHERE CAST(src AS BIGINT) % 2 = 0 AND CAST(dst AS BIGINT) % 3 = 0")
-register("dangling_edges", on_graph(lambda g: upserts.dangling(g.edges["REFERENCES"].select("src", "dst"), g.models, g.models.filter(F.col("name").cast("long") % 5 > 0))), "SELECT DISTINCT model_name AS src, comodel_name AS dst, false AS src_missing, true AS dst_missing FROM fields WHERE comodel_name IS NOT NULL AND CAST(comodel_name AS BIGINT) % 5 = 0")
+register("upsert_into_snapshot", lambda s, d: upserts.upsert(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("n_name"), "s_suppkey"), ["n_nationkey"], ["s_suppkey"]), "SELECT n_nationkey, coalesce(max_by(s_name, s_suppkey), any_value(n_name)) AS n_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 0 GROUP BY n_nationkey", twins=False)
+_KEPT, _KNOWN = "not startswith(file_path, '/base/')", "not startswith(file_path, '/other/')"
+register("edge_endpoint_check", on_graph(lambda g: upserts.linked(g.edges["INHERITS_FROM"], g.models.filter(_KEPT), g.models.filter(_KNOWN))), "SELECT DISTINCT src, dst FROM inherits JOIN models a ON a.name = src JOIN models b ON b.name = dst WHERE a.file_path NOT LIKE '/base/%' AND b.file_path NOT LIKE '/other/%'")
+register("dangling_edges", on_graph(lambda g: upserts.dangling(g.edges["REFERENCES"].select("src", "dst"), g.models, g.models.filter(_KNOWN))), "SELECT DISTINCT model_name AS src, comodel_name AS dst, false AS src_missing, true AS dst_missing FROM fields JOIN models m ON m.name = comodel_name WHERE m.file_path LIKE '/other/%'")
 register("edge_dedupe", lambda s, d: read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct(), "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem", twins=False)
 register("inherits_by_name", lambda s, d: upserts.inherits_by_name(read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("module"), F.array(F.concat(F.substring("n_name", 1, 1), F.lit("")), "n_name").alias("inherits"))), "SELECT DISTINCT a.n_name AS src, CAST(a.n_regionkey AS VARCHAR) AS src_module, b.n_name AS dst, CAST(b.n_regionkey AS VARCHAR) AS dst_module FROM nation a JOIN nation b ON b.n_name = a.n_name OR b.n_name = substr(a.n_name, 1, 1)", twins=False)
 register("constraint_violations", lambda s, d: upserts.violations(derive.graph(s, d)), "SELECT 'modules' AS \"table\", concat('[\"', name, '\"]') AS key, count(*) AS n FROM modules GROUP BY name HAVING count(*) > 1")
 
 # ---- changes
-_STATE = """WITH prev AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(h, 'x') ELSE h END AS h FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0) a),
-cur AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0) """
+_STATE = """WITH prev AS (SELECT concat('d', doc_id) AS path, sha256(text) AS h FROM documents),
+cur AS (SELECT concat('d', d.doc_id) AS path, CASE WHEN quality = 1 THEN sha256(text) ELSE sha256(concat(text, 'x')) END AS h FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+  UNION ALL SELECT concat('b', item_id), sha256(text) FROM benchmark) """
 
 
 def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """An earlier and a current state of files, from documents: some are missing in each, some differ."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-    before = d.filter("doc_id % 10 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")))
-    return before, d.filter("doc_id % 11 <> 0")
-
-
-register("change_detection", lambda s, d: changes.changes(*states(s, d), key="doc_id"), _STATE + "SELECT coalesce(p.doc_id, c.doc_id) AS doc_id, CASE WHEN p.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'deleted' WHEN p.h <> c.h THEN 'modified' ELSE 'unchanged' END AS change FROM prev p FULL OUTER JOIN cur c ON p.doc_id = c.doc_id", twins=False)
-register("deleted_paths", lambda s, d: changes.deleted(*states(s, d), key="doc_id"), _STATE + "SELECT doc_id FROM prev WHERE doc_id NOT IN (SELECT doc_id FROM cur)", twins=False)
-register("changed_files", lambda s, d: changes.changed(*states(s, d), key="doc_id"), _STATE + "SELECT c.doc_id, c.h AS hash FROM cur c LEFT JOIN prev p ON p.doc_id = c.doc_id WHERE p.h IS NULL OR p.h <> c.h", twins=False)
+    """An earlier and a current state of files: all documents, and then the labelled ones, those of low quality edited, with the benchmark's items."""
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    sha = lambda c: F.sha2(c.cast("binary"), 256).alias("hash")
+    marked = docs.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    edited = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat("text", F.lit("x")))
+    named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string")).alias("path")
+    now = marked.select(named("d", "doc_id"), sha(edited)).unionByName(items.select(named("b", "item_id"), sha(F.col("text"))))
+    return docs.select(named("d", "doc_id"), sha(F.col("text"))), now
+
+
+register("change_detection", lambda s, d: changes.changes(*states(s, d)), _STATE + "SELECT coalesce(p.path, c.path) AS path, CASE WHEN p.path IS NULL THEN 'new' WHEN c.path IS NULL THEN 'deleted' WHEN p.h <> c.h THEN 'modified' ELSE 'unchanged' END AS change FROM prev p FULL OUTER JOIN cur c ON p.path = c.path", twins=False)
+register("deleted_paths", lambda s, d: changes.deleted(*states(s, d)), _STATE + "SELECT path FROM prev ANTI JOIN cur USING (path)", twins=False)
+register("changed_files", lambda s, d: changes.changed(*states(s, d)), _STATE + "SELECT c.path, c.h AS hash FROM cur c LEFT JOIN prev p ON p.path = c.path WHERE p.h IS NULL OR p.h <> c.h", twins=False)
 register("directory_hash", lambda s, d: changes.directory_hash(read(s, d, "documents"), "source", "doc_id", "text"), "SELECT source, sha256(string_agg(concat(doc_id, ':', sha256(text)), '' ORDER BY doc_id)) AS hash FROM documents GROUP BY source", twins=False)
 
 # ---- scalar functions
@@ -138,5 +143,48 @@ register("view_type_detect", lambda s, d: read(s, d, "pages").select("page_id",
 register("extract_links", lambda s, d: read(s, d, "pages").select("page_id", F.explode(scalars.links(F.col("html"))).alias("link")), "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages", twins=False)
 register("qualify_ids", lambda s, d: read(s, d, "part").select("p_partkey", scalars.qualified(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("x."), "p_name")).otherwise(F.col("p_name"))).alias("xml_id")), "SELECT p_partkey, CASE WHEN contains(CASE WHEN p_partkey % 2 = 0 THEN 'x.' || p_name ELSE p_name END, '.') THEN CASE WHEN p_partkey % 2 = 0 THEN 'x.' || p_name ELSE p_name END ELSE concat(p_brand, '.', p_name) END AS xml_id FROM part", twins=False)
 register("serialise_values", lambda s, d: read(s, d, "nation").select("n_nationkey", scalars.serialised(F.array("n_regionkey", "n_nationkey"), True).alias("value")), "SELECT n_nationkey, concat('[', n_regionkey, ',', n_nationkey, ']') AS value FROM nation", twins=False)
-register("split_lists", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(scalars.csv_list(F.concat(F.lit(" "), F.regexp_replace("p_name", " ", " ,, "))), "|").alias("parts")), "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(concat(' ', replace(p_name, ' ', ' ,, ')), ','), x -> trim(x)), x -> x <> ''), '|') AS parts FROM part", twins=False)
+register("split_lists", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(scalars.csv_list(F.concat(F.lit(" "), F.regexp_replace("p_name", " ", " ,, "))), "|").alias("parts")), "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(concat(' ', replace(p_name, ' ', ' ,, ')), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM part", twins=False)
 register("base_names", lambda s, d: derive.models(s, d).select("name", scalars.base_name(F.col("file_path")).alias("file"), scalars.shortened(F.col("description"), 10).alias("short")), "SELECT name, string_split(file_path, '/')[-1] AS file, substr(coalesce(description, ''), 1, 10) AS short FROM models")
+
+# ---- parsers, over source text written from tables
+
+
+def manifest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    text = F.concat(F.lit("# a module\n{'name': '"), "s_name", F.lit("', 'version': '1."), F.col("s_nationkey").cast("string"), F.lit("', 'depends': ['base', '"), "n_name", F.lit("'], 'installable': "), F.when(F.col("s_acctbal") > 0, "True").otherwise("False"), F.lit(", 'price': -1}"))
+    return joined.select(F.col("s_suppkey").cast("string").alias("path"), text.cast("binary").alias("content"))
+
+
+def parsed_modules(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
+    texts = manifest_texts(spark, sf_dir)
+    found = texts.select(F.col("path").alias("module"), F.col("path").alias("manifest"), F.lit("__manifest__.py").alias("manifest_file"), F.length("content").alias("manifest_bytes"))
+    m = records.modules(found, syntax.parse_manifests(texts), strict)
+    return m.select("name", "display_name", "version", "category", "installable", F.array_join("depends", "|").alias("depends"), F.size("errors").alias("n_errors"))
+
+
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("from x import fields, models\n\nclass Part(models.Model):\n    _name = '"), text_of("p_partkey"), F.lit("'\n    _inherit = ['"), "p_brand", F.lit("']\n    _description = \"\"\""), "p_type", F.lit("\"\"\"\n    size = fields.Integer('Size', required=True, default="), text_of("p_size"), F.lit(")\n    maker = fields.Many2one('"), "p_brand", F.lit("')\n\nclass Plain:\n    _name = 'none'\n"))
+    return read(spark, sf_dir, "part").select(text_of("p_partkey").alias("path"), text.cast("binary").alias("content"))
+
+
+def text_of(column: str):
+    return F.col(column).cast("string")
+
+
+def parsed_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = model_texts(spark, sf_dir)
+    return records.model_definitions(syntax.parse_classes(texts), texts.select("path", F.lit("m").alias("module")))
+
+
+def view_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = derive.views(spark, sf_dir)
+    inherit = F.coalesce(F.concat(F.lit('<field name="inherit_id" ref="'), "inherit_id", F.lit('"/>')), F.lit(""))
+    text = F.concat(F.lit('<data><record id="'), "xml_id", F.lit('" model="ir.ui.view"><field name="name">'), "name", F.lit('</field><field name="model">'), "model", F.lit("</field>"), inherit, F.lit('<field name="arch" type="xml"><'), "view_type", F.lit("/></field></record></data>"))
+    return v.select(F.col("xml_id").alias("path"), "module", text.cast("binary").alias("content"))
+
+
+register("parse_manifests_loose", lambda s, d: parsed_modules(s, d, False), "SELECT CAST(s_suppkey AS VARCHAR) AS name, s_name AS display_name, concat('1.', s_nationkey) AS version, '' AS category, s_acctbal > 0 AS installable, concat('base|', n_name) AS depends, 0 AS n_errors FROM supplier JOIN nation ON s_nationkey = n_nationkey", twins=False)
+register("parse_manifests_strict", lambda s, d: parsed_modules(s, d, True), "SELECT CAST(s_suppkey AS VARCHAR) AS name, s_name AS display_name, concat('1.', s_nationkey) AS version, 'Uncategorized' AS category, s_acctbal > 0 AS installable, concat('base|', n_name) AS depends, 1 AS n_errors FROM supplier JOIN nation ON s_nationkey = n_nationkey", twins=False)
+register("parse_models", lambda s, d: parsed_defs(s, d).select("name", "class_name", "model_type", F.array_join("inherits", "|").alias("inherits"), "description", "line_number"), "SELECT CAST(p_partkey AS VARCHAR) AS name, 'Part' AS class_name, 'redefined' AS model_type, p_brand AS inherits, p_type AS description, 3 AS line_number FROM part", twins=False)
+register("parse_fields", lambda s, d: records.fields(parsed_defs(s, d)).select("name", "model_name", "field_type", "string", "required", "comodel_name", "default", "default_type"), "SELECT 'size' AS name, CAST(p_partkey AS VARCHAR) AS model_name, 'Integer' AS field_type, 'Size' AS string, true AS required, CAST(NULL AS VARCHAR) AS comodel_name, CAST(p_size AS VARCHAR) AS \"default\", 'int' AS default_type FROM part UNION ALL SELECT 'maker', CAST(p_partkey AS VARCHAR), 'Many2one', NULL, NULL, p_brand, NULL, NULL FROM part", twins=False)
+register("parse_views", lambda s, d: records.views(syntax.parse_records(view_texts(s, d)), view_texts(s, d)).select("xml_id", "name", "model", "view_type", "module", "inherit_id", "priority", "mode"), "SELECT xml_id, name, model, view_type, module, inherit_id, 16 AS priority, CASE WHEN inherit_id IS NULL THEN 'primary' ELSE 'extension' END AS mode FROM views")
