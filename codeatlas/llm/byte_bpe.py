@@ -25,6 +25,8 @@ from .words import Spans, mix
 
 #: Bytes of text whose words share one list, and bytes of text that are cut at once.
 LIST_BYTES, PIECE = 32 << 20, 1 << 20
+#: Bytes of ids and text that a task hands on at once.
+OUT_BYTES = 4 << 20
 
 
 @functools.cache
@@ -41,11 +43,13 @@ def encoding(path: str, pattern: str):
 
 
 def squeeze(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(a.tobytes())
+    """An array's bytes, all first ones before all second ones and so on, compressed."""
+    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
 
 
 def unsqueeze(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pack_of(words: list[bytes], packs: int) -> np.ndarray:
@@ -84,9 +88,13 @@ def listing(packs: int):
             yield listed(lists, list(place), ids, places, sizes)
 
     def listed(number, words, ids, places, sizes):
-        words = [w.encode() for w in words]
+        at = np.concatenate(places)
+        often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words first, so that places are small numbers
+        rank = np.empty(len(often), np.uint32)
+        rank[often] = np.arange(len(often))
+        words = [words[i].encode() for i in often.tolist()]
         pack = pack_of(words, packs) if words else np.zeros(0, np.uint32)
-        rows = [(number, -1, ids, squeeze(np.concatenate(places)), squeeze(np.array(sizes, np.uint32)), squeeze(pack))]
+        rows = [(number, -1, ids, squeeze(rank[at]), squeeze(np.array(sizes, np.uint32)), squeeze(pack))]
         order = np.argsort(pack, kind="stable")
         groups = np.flatnonzero(np.diff(pack[order], prepend=-1))
         for k, end in zip(groups.tolist(), [*groups[1:].tolist(), len(order)], strict=True):
@@ -133,25 +141,32 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.bi
 
 
 def reassembling(path: str):
-    """A list's positions and its packs of ids to one row for each text."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, rows = token_bytes(path), []
-        coded = {p: (unsqueeze(d, np.uint32), unsqueeze(s, np.uint32).astype(np.int64)) for p, d, s in zip(*(right.column(c).to_pylist() for c in ("pack", "data", "sizes")), strict=True)}
-        for doc_ids, data, sizes, packs in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "data", "sizes", "packs")), strict=True):
-            pack = unsqueeze(packs, np.uint32)
-            order = np.argsort(pack, kind="stable")  # the packs' words one after another
-            used = sorted(set(pack.tolist()))
-            none = [np.zeros(0, np.int64)]
-            flat, n = np.concatenate([coded[p][0] for p in used] or none), np.concatenate([coded[p][1] for p in used] or none)
-            row = np.empty(len(pack), np.int64)
-            row[order] = np.arange(len(pack))
-            places = row[unsqueeze(data, np.uint32)]
-            first = np.append(0, np.cumsum(unsqueeze(sizes, np.uint32).astype(np.int64)))
-            for k, doc in enumerate(doc_ids):
-                ids = ragged(n, places[first[k] : first[k + 1]], flat).astype("<u4") if first[k + 1] > first[k] else np.zeros(0, "<u4")
-                rows.append((doc, len(ids), ids.tobytes(), b"".join(map(table.__getitem__, ids.tolist()))))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
+    """Rows sorted by list and pack, so that each list's positions come before its packs of ids, to one row for each text."""
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, own in itertools.groupby(rows, lambda row: row[0]):
+            _, _, doc_ids, data, sizes, packs = next(own)
+            yield from texts(doc_ids, unsqueeze(data, np.uint32), unsqueeze(sizes, np.uint32), unsqueeze(packs, np.uint32), {p: (unsqueeze(d, np.uint32), unsqueeze(s, np.uint32).astype(np.int64)) for _, p, _, d, s, _ in own})
+
+    def texts(doc_ids, at, sizes, pack, coded):
+        table, used, none = token_bytes(path), sorted(coded), [np.zeros(0, np.int64)]
+        flat, n = np.concatenate([coded[p][0] for p in used] or none), np.concatenate([coded[p][1] for p in used] or none)
+        row = np.empty(len(pack), np.uint32)
+        row[np.argsort(pack, kind="stable")] = np.arange(len(pack))  # the packs' words one after another
+        rows, held, end = [], 0, 0
+        for doc, size in zip(doc_ids, sizes.tolist(), strict=True):
+            ids = ragged(n, row[at[end : end + size]], flat).astype("<u4") if size else np.zeros(0, "<u4")
+            rows.append((doc, len(ids), ids.tobytes(), b"".join(map(table.__getitem__, ids.tolist()))))
+            end, held = end + size, held + 8 * len(ids)
+            if held >= OUT_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
 
     return run
 
@@ -163,5 +178,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     listed = written(texts.mapInArrow(listing(3 * n), LISTED), "lists")
     words = listed.filter("pack >= 0").select("list", "pack", "data", "sizes").repartition(n, "pack")
     coded = words.mapInArrow(coding(path, pattern), "list long, pack int, data binary, sizes binary")
-    positions = listed.filter("pack < 0").select("list", "doc_ids", "data", "sizes", "packs")
-    return positions.groupBy("list").cogroup(coded.groupBy("list")).applyInArrow(reassembling(path), "doc_id long, n_tokens long, ids binary, decoded binary")
+    positions = listed.filter("pack < 0").select("list", "pack", "doc_ids", "data", "sizes", "packs")
+    ids = coded.select("list", "pack", F.lit(None).cast("array<long>").alias("doc_ids"), "data", "sizes", F.lit(None).cast("binary").alias("packs"))
+    dealt = positions.unionByName(ids).repartition(n, "list").sortWithinPartitions("list", "pack")
+    return dealt.mapInArrow(reassembling(path), "doc_id long, n_tokens long, ids binary, decoded binary")
