@@ -31,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("path")
     c.add_argument("--incremental", action="store_true")
     c.add_argument("--strict", action="store_true")
+    c.add_argument("--clear", action="store_true", help="empty the store first, so that an incremental run parses everything")
+    c.add_argument("--yes", "-y", action="store_true", help="don't ask before clearing")
     c = sub.add_parser("dependencies")
     c.add_argument("module")
     c.add_argument("--reverse", action="store_true")
@@ -57,6 +59,8 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> list[DataFrame]:
     if a.command == "config":
         return [spark.createDataFrame(list(settings().items()) or [("CODEATLAS_STORE", a.store)], "name string, value string")]
     if a.command == "index":
+        if a.clear and index.versions(spark, a.store) and (a.yes or input(f"Clear {a.store}? [y/N] ").lower() == "y"):
+            index.clear(spark, a.store)
         if a.incremental:
             return [index.refresh(spark, a.path, a.store, a.strict)]
         index.save(index.extract(spark, a.path, a.strict), a.store)

@@ -130,6 +130,12 @@ def load(spark: SparkSession, store: str, version: int | None = None) -> Extract
     return Extracted(*[spark.read.parquet(f"{place}/{c.name}") for c in columns_of(Extracted)])
 
 
+def clear(spark: SparkSession, store: str) -> int:
+    """A new version without records; earlier versions stay readable by number."""
+    x = load(spark, store)
+    return save(Extracted(*[getattr(x, c.name).limit(0) for c in columns_of(Extracted)]), store)
+
+
 def refresh(spark: SparkSession, root: str, store: str, strict: bool = False, intended: bool = True, max_depth: int | None = 3) -> DataFrame:
     """Brings a store up to date: only new and modified files are parsed, records of deleted ones go. Returns change, n.
 

@@ -160,6 +160,15 @@ def test_refresh(spark, tree, tmp_path, rows):
     assert rows(kept.state, "path", "hash") == rows(full.state, "path", "hash")
 
 
+def test_clear(spark, tree, tmp_path, rows):
+    store = str(tmp_path / "store")
+    index.refresh(spark, str(tree), store)
+    index.clear(spark, store)
+    assert rows(index.run_counts(index.load(spark, store)), "n") == [(0,)] * 6
+    assert index.load(spark, store, 1).modules.count() == 4
+    assert rows(index.refresh(spark, str(tree), store), "change") == [("new",)]
+
+
 def test_parsers_on_odd_input(spark):
     odd = spark.createDataFrame([("a", bytearray(b"")), ("b", bytearray(b"\xff\xfe(")), ("c", bytearray(b"x = 1\n[1]"))], "path string, content binary")
     assert syntax.parse_manifests(odd).filter("loose is not null").count() == 0
