@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample, texts_of
-from .shared import pieces, text_bytes
+from .shared import pieces, slices, text_bytes
 from .words import Words
 
 FIT_ROWS, THRESHOLD = 4_500, 0.7
@@ -39,7 +39,7 @@ class Vocabulary:
         one = np.flatnonzero(keep)[one]
         self.first = np.append(0, np.cumsum(keep))[w.first]
         self.counts = np.diff(self.first)
-        self.word = (hashes % WORDS).astype(np.int64)
+        self.hashes, self.word = hashes, (hashes % WORDS).astype(np.int64)
         starts, ends = w.starts[one], w.ends[one]
         grams, owner = [], []
         for n in (3, 4):
@@ -54,6 +54,32 @@ class Vocabulary:
         self.sizes = np.bincount(owner, minlength=len(one))
         self.begin = np.cumsum(self.sizes) - self.sizes
 
+    @classmethod
+    def joined(cls, data: np.ndarray, offsets: np.ndarray) -> "Vocabulary":
+        """The same for many texts, made from slices of them, of which only new words are kept: the arrays over all bytes would be large."""
+        out, known, names = cls.__new__(cls), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        word, sizes, grams, at, counts = [known.astype(np.int64)], [names], [names], [names], [np.zeros(0, np.int64)]
+        for i, j in slices(offsets):
+            v = cls(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            place = np.searchsorted(known, v.hashes)
+            new = np.ones(len(place), bool)
+            new[place < len(known)] = known[place[place < len(known)]] != v.hashes[place < len(known)]
+            name = np.empty(len(place), np.int32)
+            name[~new], name[new] = names[place[~new]], len(known) + np.arange(new.sum())
+            added = Subset(v, np.flatnonzero(new))
+            word.append(added.word), sizes.append(added.sizes), grams.append(added.grams.astype(np.int32)), at.append(name[v.at]), counts.append(v.counts)
+            known, names = np.insert(known, place[new], v.hashes[new]), np.insert(names, place[new], name[new])
+        rank = np.empty(len(known), np.int32)
+        rank[names] = np.arange(len(known))
+        out.hashes, out.counts, out.at = known, np.concatenate(counts), rank[np.concatenate(at)]
+        out.first = np.append(0, np.cumsum(out.counts))
+        every, flat = np.concatenate(sizes), np.concatenate(grams)
+        out.word, out.sizes = np.concatenate(word)[names], every[names]
+        out.begin, begin = np.cumsum(out.sizes) - out.sizes, (np.cumsum(every) - every)[names]
+        out.owner = np.repeat(np.arange(len(known), dtype=np.int32), out.sizes)
+        out.grams = flat[begin[out.owner] + np.arange(len(out.owner)) - out.begin[out.owner]]
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """The text of each window, and its words as places in the list; beyond the text, the list's length."""
         n = np.where(self.counts > 0, 1 + np.ceil(np.maximum(self.counts - SPAN, 0) / STRIDE).astype(np.int64), 0)
@@ -78,7 +104,10 @@ class ToxicNet:
         self.trained = False
 
     def inputs(self, v: Vocabulary, words: np.ndarray | None = None) -> np.ndarray:
-        sums = np.add.reduceat(self.p["chars"][v.grams], v.begin) if len(v.word) else np.zeros((0, E), f32)
+        sums = np.zeros((len(v.word), E), f32)
+        for i in range(0, len(v.word), 1 << 15):
+            a = v.begin[i : i + (1 << 15)]
+            sums[i : i + (1 << 15)] = np.add.reduceat(self.p["chars"][v.grams[a[0] : a[-1] + v.sizes[i + len(a) - 1]]], a - a[0])
         return np.concatenate([self.p["words"][v.word], sums / np.maximum(v.sizes, 1).astype(f32)[:, None]], 1)
 
     def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -222,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicNet:
     y = found["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return ToxicNet()
-    v = Vocabulary(*text_bytes(pa.array(found["text"], pa.string())))
+    v = Vocabulary.joined(*text_bytes(pa.array(found["text"], pa.string())))
     net, odds = ToxicNet().fit(v, *v.windows(), y), lambda p: np.log(p / (1 - p))
     share = labels.filter(fold(3) != 1).agg(F.avg((F.col("toxic") >= 0.5).cast("double"))).first()[0]
     net.p["bias"] += f32(odds(share) - odds(y.mean()))

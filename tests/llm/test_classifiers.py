@@ -59,6 +59,20 @@ def test_additive_model_learns_an_interaction():
     assert auc(model.score(x[2000:]), y[2000:]) > 0.95
 
 
+def test_joined_vocabulary(monkeypatch, odd_documents):
+    """A vocabulary made from slices reads the same words and grams as one made at once."""
+    import pyarrow as pa
+
+    from codeatlas.llm.shared import slices, text_bytes
+
+    texts = text_bytes(pa.array([d[1] for d in odd_documents], pa.string()))
+    whole = toxicity_gru.Vocabulary(*texts)
+    monkeypatch.setattr(toxicity_gru, "slices", lambda offsets: slices(offsets, 5000))
+    joined = toxicity_gru.Vocabulary.joined(*texts)
+    for k in ("hashes", "word", "at", "first", "counts", "sizes", "begin", "owner", "grams"):
+        assert (getattr(whole, k) == getattr(joined, k)).all(), k
+
+
 def test_network_gradients():
     text = "one two three four two one five six"
     data = np.frombuffer(text.encode(), np.uint8)
