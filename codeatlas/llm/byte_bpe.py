@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segment import Distinct, ragged
-from .shared import parts, slices, text_bytes, written
+from .shared import parts, released, slices, text_bytes, written
 from .words import Spans, mix
 
 #: Bytes of text whose words share one list, and bytes of text that are cut at once.
@@ -82,19 +82,21 @@ def listing(packs: int):
                 places.append(to[found.at]), sizes.extend(np.diff(found.first).tolist()), ids.extend(batch.column(0).slice(i, j - i).to_pylist())
                 held += int(offsets[j] - offsets[i])
                 if held >= LIST_BYTES:
-                    yield listed(lists, list(place), ids, places, sizes)
+                    yield listed(lists, place, ids, places, sizes)
                     lists, place, ids, places, sizes, held = lists + 1, {}, [], [], [], 0
         if ids:
-            yield listed(lists, list(place), ids, places, sizes)
+            yield listed(lists, place, ids, places, sizes)
 
-    def listed(number, words, ids, places, sizes):
-        at = np.concatenate(places)
+    def listed(number, place, ids, places, sizes):
+        words, at = list(place), np.concatenate(places)
+        place.clear(), places.clear()  # a list's memory is most of a task's
         often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words first, so that places are small numbers
         rank = np.empty(len(often), np.uint32)
         rank[often] = np.arange(len(often))
+        at = rank[at]
         words = [words[i].encode() for i in often.tolist()]
         pack = pack_of(words, packs) if words else np.zeros(0, np.uint32)
-        rows = [(number, -1, ids, squeeze(rank[at]), squeeze(np.array(sizes, np.uint32)), squeeze(pack))]
+        rows = [(number, -1, ids, squeeze(at), squeeze(np.array(sizes, np.uint32)), squeeze(pack))]
         order = np.argsort(pack, kind="stable")
         groups = np.flatnonzero(np.diff(pack[order], prepend=-1))
         for k, end in zip(groups.tolist(), [*groups[1:].tolist(), len(order)], strict=True):
@@ -130,11 +132,13 @@ def coding(path: str, pattern: str):
 
 
 @functools.cache
-def token_bytes(path: str) -> list[bytes]:
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lengths of all tokens by id, their bytes one after another, and where each begins."""
     out = [b""] * (max(ranks(path).values()) + 1)
     for w, r in ranks(path).items():
         out[r] = w
-    return out
+    n = np.fromiter(map(len, out), np.int64, len(out))
+    return n, np.frombuffer(b"".join(out), np.uint8), np.cumsum(n) - n
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
@@ -150,14 +154,14 @@ def reassembling(path: str):
             yield from texts(doc_ids, unsqueeze(data, np.uint32), unsqueeze(sizes, np.uint32), unsqueeze(packs, np.uint32), {p: (unsqueeze(d, np.uint32), unsqueeze(s, np.uint32).astype(np.int64)) for _, p, _, d, s, _ in own})
 
     def texts(doc_ids, at, sizes, pack, coded):
-        table, used, none = token_bytes(path), sorted(coded), [np.zeros(0, np.int64)]
+        (length, table, begin), used, none = token_bytes(path), sorted(coded), [np.zeros(0, np.int64)]
         flat, n = np.concatenate([coded[p][0] for p in used] or none), np.concatenate([coded[p][1] for p in used] or none)
         row = np.empty(len(pack), np.uint32)
         row[np.argsort(pack, kind="stable")] = np.arange(len(pack))  # the packs' words one after another
-        rows, held, end = [], 0, 0
+        rows, held, end, first = [], 0, 0, np.cumsum(n) - n
         for doc, size in zip(doc_ids, sizes.tolist(), strict=True):
-            ids = ragged(n, row[at[end : end + size]], flat).astype("<u4") if size else np.zeros(0, "<u4")
-            rows.append((doc, len(ids), ids.tobytes(), b"".join(map(table.__getitem__, ids.tolist()))))
+            ids = ragged(n, row[at[end : end + size]], flat, first).astype("<u4") if size else np.zeros(0, "<u4")
+            rows.append((doc, len(ids), ids.tobytes(), ragged(length, ids, table, begin).tobytes()))
             end, held = end + size, held + 8 * len(ids)
             if held >= OUT_BYTES:
                 yield batch_of(rows)
@@ -175,10 +179,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit) and decoded (bytes) for each row of docs (doc_id, text)."""
     n = parts(docs)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    listed = written(texts.mapInArrow(listing(3 * n), LISTED), "lists")
+    listed = written(texts.mapInArrow(released(listing(3 * n)), LISTED), "lists")
     words = listed.filter("pack >= 0").select("list", "pack", "data", "sizes").repartition(n, "pack")
-    coded = words.mapInArrow(coding(path, pattern), "list long, pack int, data binary, sizes binary")
+    coded = words.mapInArrow(released(coding(path, pattern)), "list long, pack int, data binary, sizes binary")
     positions = listed.filter("pack < 0").select("list", "pack", "doc_ids", "data", "sizes", "packs")
     ids = coded.select("list", "pack", F.lit(None).cast("array<long>").alias("doc_ids"), "data", "sizes", F.lit(None).cast("binary").alias("packs"))
     dealt = positions.unionByName(ids).repartition(n, "list").sortWithinPartitions("list", "pack")
-    return dealt.mapInArrow(reassembling(path), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return dealt.mapInArrow(released(reassembling(path)), "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample, texts_of
-from .shared import pieces
+from .shared import pieces, released
 from .words import BASE, U, Words, mix, shape_counts
 
 FIT_ROWS, THRESHOLD = 20_000, 0.3
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             score = [model.score(features(data, offsets)) for _, data, offsets in pieces(batch)]
             yield batch.filter(pa.array(np.concatenate(score) >= threshold)) if score else batch
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.mapInArrow(released(good), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, small, written
+from .shared import pieces, released, small, written
 from .words import Words, shape_counts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -36,7 +36,7 @@ def count_statistics(batches):
 
 def statistics(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return d.mapInArrow(count_statistics, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return d.mapInArrow(released(count_statistics), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def vector() -> list:

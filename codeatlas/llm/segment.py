@@ -116,8 +116,8 @@ def spread(points: np.ndarray) -> np.ndarray:
 _codes: list[np.ndarray] = []
 
 
-def ragged(sizes: np.ndarray, at: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """The concatenation of the groups at[...] of flat, whose groups have these sizes."""
-    begin = np.cumsum(sizes) - sizes
+def ragged(sizes: np.ndarray, at: np.ndarray, flat: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+    """The concatenation of the groups at[...] of flat, whose groups have these sizes; begin: where they begin, if known."""
+    begin = np.cumsum(sizes) - sizes if begin is None else begin
     n = sizes[at]
     return flat[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]

@@ -1,8 +1,11 @@
 """What the operators of this subpackage share: tables, written intermediate results, Arrow columns as numpy."""
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and Python, both of which hold it; Spark's own default is eight times as much.
+BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Long texts make large batches, so a session that has Spark's default size gets BATCH_BYTES."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,3 +79,23 @@ def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> It
     data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
     for i, j in slices(offsets, most):
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system, where the C library can do so."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run for the batches of a task, then give_back(): Python workers live on and would hold the memory beside later stages."""
+
+    @functools.wraps(run)
+    def outer(batches):
+        yield from run(batches)
+        give_back()
+
+    return outer
