@@ -5,9 +5,12 @@ zeros and the next MANTISSA bits of its bucket's least value. Buckets that a sma
 rounds of hashes in the same way, then from one hash function of their own, so registers of two sets agree with the
 probability of their Jaccard similarity at any size, plus rare collisions of the compressed values, which estimates allow for.
 
-Texts with equal sets are one class. Classes that share a band of registers form families. Within a family, classes are dealt
-into blocks of bounded size; each pair of blocks is one unit of work that skips pairs already connected, drops pairs whose
-estimate is far below the threshold, and decides the rest on full sets. Only spanning edges leave a unit, never all pairs.
+Texts with equal sets are one class. Classes that share a band of registers form families. Each class is first compared, on full sets,
+with the one leading class of its bands that it shares most of them with: links that hold make parts of a family, and a group of near copies is
+mostly one part after that, at a cost in proportion to its size. Only families of several parts go on. The rows outside a family's largest
+part are dealt into blocks of bounded size, as are those inside; each pair of blocks, but for two of the largest part, is one unit of work
+that skips pairs already connected, drops pairs whose estimate is far below the threshold, and decides the rest on full sets. Only spanning
+edges leave a unit, never all pairs.
 
 Defined results: null or empty texts have an empty set and are linked with nothing. A null doc_id takes no part in linking: its
 component is null and the row is kept. A doc_id that occurs several times belongs to all its texts' classes at once; each of its
@@ -15,13 +18,15 @@ rows gets a result row of its own. Words are runs of anything but ASCII white sp
 hashes of shingles. Other columns are ignored.
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph_components import components
-from .shared import parts, pieces, written
+from .shared import parts, pieces, released, written
 from .words import BASE, U, Words, mix
 
 REGISTERS, MANTISSA, ROUNDS = 128, 10, 4
@@ -136,19 +141,33 @@ def wanted(ids: DataFrame) -> np.ndarray:
     return out.view(U)
 
 
+def links(threshold: int):
+    """Arrow batches of (src, dst, sets a and b) to the edges (src, dst) of those that are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
+                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= threshold * max(len(a), len(b)) else 0
+                keep.append(100 * both >= threshold * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def similarity_edges(threshold: int):
-    """Arrow batches of block members, sorted by unit, to the spanning edges (src, dst) of each unit."""
+    """Arrow batches of block members, sorted by unit, to the spanning edges (src, dst) between the parts of each unit."""
 
-    def unit(rows) -> list[tuple[int, int]]:
+    def unit(rows, cross: bool) -> list[tuple[int, int]]:
         ids = [r["rep"] for r in rows]
         sets = [np.frombuffer(r["shingles"], U) for r in rows]
         reg = np.stack([np.frombuffer(r["registers"], np.uint16) for r in rows])
         side = np.array([r["side"] for r in rows])
         n = np.array([len(x) for x in sets])
         flat, first = np.concatenate(sets), np.append(0, np.cumsum(n))
-        root = np.arange(len(ids))
+        root = np.unique([r["part"] for r in rows], return_inverse=True)[1]
         edges = []
-        cross = len(set(side.tolist())) > 1
         for x in range(len(ids)):
             if cross and side[x] != 0:
                 continue
@@ -176,30 +195,42 @@ def similarity_edges(threshold: int):
         return edges
 
     def run(batches):
-        held, key = [], None
-        for batch in batches:
-            for r in batch.to_pylist():
-                now = (r["family"], r["low"], r["high"])
-                if held and now != key:
-                    yield from out(held)
-                    held = []
-                key = now
-                held.append(r)
-        if held:
-            yield from out(held)
-
-    def out(held):
-        if e := unit(held):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in e], pa.int64()), pa.array([b for _, b in e], pa.int64())], ["src", "dst"])
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (_, inner, low, high), own in itertools.groupby(rows, lambda r: (r["family"], r["inner"], r["low"], r["high"])):
+            e = unit(list(own), not inner or low != high)
+            if e:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in e], pa.int64()), pa.array([b for _, b in e], pa.int64())], ["src", "dst"])
 
     return run
 
 
+def units(full: DataFrame, parts_of: DataFrame) -> DataFrame:
+    """Rows of full (family, rep, n_shingles, ...) with their part, once for each unit that they belong to: inner, low, high, side.
+
+    Units join blocks of a family's largest part with blocks of the rest (inner 0), and the blocks of the rest with one another (inner 1).
+    """
+    rows = full.join(parts_of.select(F.col("node").alias("rep"), F.col("component").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    sizes = rows.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    family = sizes.groupBy("family").agg(F.max(F.struct("n", "s", "part")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n, s: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK_ROWS, s / BLOCK_SHINGLES))).cast("int")
+    family = family.select("family", F.col("top.part").alias("main"), blocks(F.col("top.n"), F.col("top.s")).alias("of_main"), blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("of_rest"))
+    rows = rows.join(family, "family").withColumn("in_main", F.col("part") == F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.hash("rep"), F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("of_rest"))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("family", "inner", "low", "high", "side", "rep", "part", "registers", "shingles")
+    zero, one = F.lit(0), F.lit(1)
+    main = rows.filter("in_main").withColumn("high", every("of_rest")).withColumn("low", F.col("block")).withColumn("inner", zero).withColumn("side", zero)
+    rest = rows.filter("not in_main")
+    outer = rest.withColumn("low", every("of_main")).withColumn("high", F.col("block")).withColumn("inner", zero).withColumn("side", one)
+    inner = rest.withColumn("other", every("of_rest")).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("inner", one).withColumn("side", (F.col("block") > F.col("other")).cast("int"))
+    return main.select(*columns).unionByName(outer.select(*columns)).unionByName(inner.select(*columns))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text); see the module's docstring."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = written(texts.mapInArrow(sketches, SKETCH), "sketches")
+    made = written(texts.mapInArrow(released(sketches), SKETCH), "sketches")
     linked = made.filter("doc_id is not null and f1 is not null")
     cls = ["f1", "f2", "n_shingles"]
     # a class is named by the least doc_id that holds its set; a doc_id with several texts names several classes, and joins them
@@ -207,11 +238,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = written(classes.withColumnRenamed("doc_id", "least").withColumn("rep", F.xxhash64("f1", "f2")), "classes")
     bands = classes.select("rep", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
-    ties = written(bands.join(shared.select("band", "first"), "band").filter("rep <> first").select(F.col("rep").alias("src"), F.col("first").alias("dst")).distinct(), "ties")
+    ties = written(bands.join(shared.select("band", "first"), "band").filter("rep <> first").groupBy(F.col("rep").alias("src"), F.col("first").alias("dst")).agg(F.count("*").alias("n")), "ties")
     family = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     members = written(family.join(classes.select("rep", "least", *cls, "registers"), "rep"), "members")
-    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    members = members.join(sizes, "family").withColumn("block", F.pmod(F.hash("rep"), F.col("blocks").cast("int")).cast("int"))
 
     bits = spark.sparkContext.broadcast(wanted(members.select(F.col("least").alias("doc_id"))))
 
@@ -229,13 +258,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
 
     few = texts.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(present, "doc_id long, text string")
-    sets = few.mapInArrow(full_sets, "least long, n_shingles long, f1 long, f2 long, shingles binary")
-    full = written(members.join(sets.dropDuplicates(["least", *cls]), ["least", *cls]).select("family", "rep", "block", "blocks", "registers", "shingles"), "sets")
-    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    units = pairs.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "registers", "shingles")
-    n = parts(docs)
-    dealt = units.repartition(n, "family", "low", "high").sortWithinPartitions("family", "low", "high")
-    edges = dealt.mapInArrow(similarity_edges(threshold), "src long, dst long")
+    sets = few.mapInArrow(released(full_sets), "least long, n_shingles long, f1 long, f2 long, shingles binary")
+    full = written(members.join(sets.dropDuplicates(["least", *cls]), ["least", *cls]).select("family", "rep", "n_shingles", "registers", "shingles"), "sets")
+    best = ties.groupBy("src").agg(F.max_by("dst", F.struct("n", "dst")).alias("dst"))
+    side = lambda rep, name: full.select(F.col("rep").alias(rep), F.col("shingles").alias(name))
+    near = written(best.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("src", "dst", "a", "b").mapInArrow(released(links(threshold)), "src long, dst long"), "links")
+    dealt = units(full, components(near)).repartition(parts(docs), "family", "inner", "low", "high").sortWithinPartitions("family", "inner", "low", "high")
+    edges = dealt.mapInArrow(released(similarity_edges(threshold)), "src long, dst long").unionByName(near)
     # classes that share a doc_id are joined by it
     twice = linked.groupBy("doc_id").agg(F.min(F.struct(*cls)).alias("x"), F.max(F.struct(*cls)).alias("y"), F.count("*").alias("n")).filter("n > 1 and x <> y").select("doc_id")
     held = linked.join(twice, "doc_id").select("doc_id", F.xxhash64("f1", "f2").alias("rep")).distinct()

@@ -64,6 +64,24 @@ def test_block_units(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
 
 
+def test_families_of_several_parts(spark, monkeypatch):
+    """Texts around the threshold: the first comparisons leave parts over, which units of small blocks must join exactly."""
+    monkeypatch.setattr(h, "BLOCK_ROWS", 5)
+    r, rows = random.Random(12), []
+    for group in range(3):
+        base = [f"g{group}w{k}" for k in range(90)]
+        for _ in range(45):
+            text = base[:]
+            for _ in range(r.randint(2, 6)):
+                text[r.randrange(90)] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    seen = []
+    monkeypatch.setattr(h, "units", lambda full, parts, real=h.units: seen.append(real(full, parts)) or seen[-1])
+    check(df, rows)
+    assert seen[0].count() > 0
+
+
 def test_empty(none):
     assert h.near_duplicates(none).count() == 0
 
