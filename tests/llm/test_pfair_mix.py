@@ -58,3 +58,39 @@ def test_target_shares(spark):
     found = p.mix(docs, {"a": 1.0, "b": 1.0}, block_chars=500, period=16).filter("in_mix")
     n = {r["source"]: r["n"] for r in found.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     assert abs(n["a"] - n["b"]) <= 1000
+
+
+@pytest.mark.parametrize("weights", [{f"s{k:02}": w for k, w in enumerate([0.2, 0.0001, 0.0999] + [0.7 / 17] * 17)}, {f"s{k}": (k + 1) ** 0.7 for k in range(1500)}, {"a": 0.9, **{f"b{k}": 0.001 for k in range(100)}}])
+def test_less_than_one_block_from_exact_target(weights):
+    n = p.whole(weights)
+    total, done = sum(n.values()), dict.fromkeys(weights, 0)
+    for t, (s, k, slot, real) in enumerate(p.schedule([(s, x, 10**9) for s, x in n.items()])):
+        assert real and slot == t and done[s] == k
+        done[s] += 1
+        if t % 7 == 0 or t < 50:
+            assert all(abs(done[x] * total - n[x] * (t + 1)) < total for x in n)
+        if t > 5000:
+            break
+    # a row of every block, whatever its source's weight, inside its window; before the horizon no slot is empty
+    blocks = {s: 1 + k % 5 for k, s in enumerate(weights)}
+    plan = list(p.schedule([(s, n[s], blocks[s]) for s in weights]))
+    end = [t for *_, t, real in plan if not real]
+    real = [x[:3] for x in plan if x[3]]
+    assert len(end) == 1 and sorted(x[:2] for x in real) == sorted((s, k) for s in weights for k in range(blocks[s]))
+    assert all(k * total // n[s] <= t < -(-(k + 1) * total // n[s]) for s, k, t in real)
+    assert [t for _, _, t in real][: end[0]] == list(range(end[0]))
+
+
+def test_many_sources_keep_their_exact_targets(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 600).alias("source"), F.repeat(F.lit("x"), 50).alias("text"))
+    weights = {f"s{k}": 1.0 + (k % 3) for k in range(600)}
+    found = p.mix(docs, weights, block_chars=50).collect()
+    total, slots = sum(weights.values()), sorted((r["slot"], r["source"], r["in_mix"]) for r in found)
+    assert len({x[0] for x in slots}) == len(found) == 6000
+    done = defaultdict(int)
+    for t, s, inside in slots:
+        if inside:
+            done[s] += 1
+            if t % 100 == 0:
+                assert all(abs(done[x] - w / total * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
+    assert sum(done.values()) == max(t for t, _, inside in slots if inside) + 1
