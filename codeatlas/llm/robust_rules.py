@@ -5,8 +5,8 @@ three quarters of all rows are found by concentration steps over the whole table
 are rejected, beside two fixed base rules. Nothing is sampled: every step is a grouped aggregation over all rows.
 
 Defined results: a null or empty text has no words, so it fails the base rules and is rejected. Null lang or source is a
-group of its own. Groups of under `least` rows use the estimate of their language, and languages of under `least` rows are
-judged by the base rules alone. Repeated rows are judged alike, one result row each. An empty table gives an empty result.
+group of its own. Groups of under `least` rows use the estimate of their language, and languages of under `least` rows that
+of all rows, so every row that passes the base rules is judged. Repeated rows are judged alike, one result row each. An empty table gives an empty result.
 Other columns are ignored.
 """
 
@@ -116,12 +116,13 @@ def robust_rules(docs: DataFrame, least: int = LEAST, cut: float = CUT) -> DataF
     rows = counted.withColumn("base_failed", base).withColumn("g2", key("lang", "source")).withColumn("g1", key("lang")).withColumn("x", F.array(*vector()))
     sizes = rows.filter(~base).groupBy("g2", "g1").count()
     sizes = written(sizes.withColumn("of_lang", F.expr("sum(count) over (partition by g1)")), "rules-sizes")
-    groups = sizes.select("g2", F.when(F.col("count") >= least, F.col("g2")).when(F.col("of_lang") >= least, F.col("g1")).alias("g"))
+    every = F.lit("[]")  # the group of all rows; no key of columns is equal to it
+    groups = sizes.select("g2", F.when(F.col("count") >= least, F.col("g2")).when(F.col("of_lang") >= least, F.col("g1")).otherwise(every).alias("g"))
     rows = rows.join(small(groups), "g2", "left")
-    judged = rows.filter(~base & F.col("g").isNotNull())
-    # Each language's estimate covers all its rows, those of its large groups too.
-    few = sizes.filter((F.col("count") < least) & (F.col("of_lang") >= least)).select(F.col("g1").alias("g")).distinct()
-    points = judged.filter(F.col("g") == F.col("g2")).select("g", "x").unionByName(rows.filter(~base).select(F.col("g1").alias("g"), "x").join(small(written(few, "rules-few")), "g", "left_semi"))
+    judged = rows.filter(~base)
+    # The estimates of languages and of all rows cover all their rows, those of large groups too.
+    few = sizes.filter(F.col("count") < least).select(F.when(F.col("of_lang") >= least, F.col("g1")).otherwise(every).alias("g")).distinct()
+    points = judged.filter(F.col("g") == F.col("g2")).select("g", "x").unionByName(judged.select(F.explode(F.array("g1", every)).alias("g"), "x").join(small(written(few, "rules-few")), "g", "left_semi"))
     state = small(estimate(points))
     far = distance() > chi2_cut(cut, D)
     return rows.join(state, "g", "left").select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"), F.when(~F.col("base_failed"), distance()).alias("distance"))

@@ -97,3 +97,15 @@ def test_outliers_are_found(spark):
 
 def test_empty_table(none):
     assert got(none) == []
+
+
+def test_small_languages_are_judged(spark):
+    """Rows of a language of under LEAST rows are judged by the estimate of all rows."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(800)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(60, 300))), ["xx", None][k % 2] if k < 20 else "en", "web", 1) for k in range(400)]
+    wall = " ".join("#$%|" * r.randint(1, 3) for _ in range(150)) + " ".join(words)
+    rows += [(400, wall, "xx", "web", 1), (401, wall, None, "book", 1), (402, wall, "yy", None, 1)]
+    found = rr.robust_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted(x["doc_id"] for x in found if not x["kept"]) == [400, 401, 402]
+    assert all(x["distance"] is not None for x in found if not x["base_failed"])
