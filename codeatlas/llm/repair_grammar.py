@@ -1,8 +1,8 @@
 """Token-ID output (operator 8): ids in Re-Pair grammar compression, written by Spark, with random access.
 
 Documents are range-partitioned and sorted by doc_id; each partition encodes its texts and writes shards of about SHARD_IDS ids. A
-shard repeatedly replaces its most frequent pairs of ids by nonterminals, many non-overlapping pairs a round, and never across the
-end of a document. Its row stores rules, the expansion length of each rule, the symbols, and for each document its number of
+shard repeatedly replaces its most frequent pairs of ids by nonterminals, until no pair occurs LEAST times, many non-overlapping
+pairs a round, and never across the end of a document. Its row stores rules, the expansion length of each rule, the symbols, and for each document its number of
 symbols and of ids, so that one document, or a range of its ids, is decoded alone.
 
 Defined results: null and empty texts have only the end id. Rows with a null doc_id come first, equal doc_ids in the order of their
@@ -25,7 +25,7 @@ from .segment import Distinct, ragged
 from .shared import parts, slices, small, text_bytes, written
 
 END, SHARD_IDS = 1, 1 << 21
-ROUNDS, FREQUENT, RULES, LEAST = 5, 511, 256, 8
+LEAST = 8  # occurrences of a pair that is replaced
 KNOWN = 2_000_000  # words whose ids a task remembers
 
 
@@ -106,43 +106,44 @@ class WordEncoder:
         return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32) if k in odd else every[ends[k] : ends[k + 1]] for k, t in enumerate(texts)]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols, rules (two symbols each) and the number of the first nonterminal. END never is the first of a pair."""
-    s, rules, side = ids.astype(np.int64), [], FREQUENT + 1
+def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols, rules (two symbols each) and the number of the first nonterminal. What ends with END never is the first of a pair.
+
+    Each round counts all pairs and replaces those that occur more than half as often as the most frequent one, until none occurs LEAST times.
+    """
+    s, rules, many = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], 0
     base = max(int(s.max(initial=0)), END) + 1
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        times = np.bincount(s)
-        times[END] = 0
-        top = np.argsort(-times, kind="stable")[:FREQUENT]
-        code = np.full(len(times), FREQUENT)  # of all that aren't frequent
-        code[top] = np.arange(len(top))
-        c = code[s]
-        pair = c[:-1] * side
-        pair += c[1:]
-        count = np.bincount(pair, minlength=side * side)
-        count[side * FREQUENT :] = 0
-        count[FREQUENT::side] = 0
-        best = np.argpartition(-count, RULES)[:RULES]
-        best = best[count[best] >= LEAST]
-        if not len(best):
+    closed = np.zeros(base, bool)  # symbols that end with END
+    closed[END] = True
+    while len(s) > 1:
+        side = base + many
+        pair = s[:-1] * side + s[1:]
+        pair[closed[s[:-1]]] = -1
+        order = np.sort(pair)
+        first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+        count, keys = np.diff(np.append(first, len(order))), order[first]
+        count[keys < 0] = 0
+        if count.max() < LEAST:
             break
-        best = best[np.lexsort((best, -count[best]))]
-        rule = np.full(side * side, -1)
-        rule[best] = base + len(rules) + np.arange(len(best))
-        rules += list(zip(top[best // side].tolist(), top[best % side].tolist(), strict=True))
-        to = rule[pair]
-        at = np.flatnonzero(to >= 0)
+        best = keys[count >= max(LEAST, count.max() // 2 + 1)]  # sorted
+        k = np.minimum(np.searchsorted(best, pair), len(best) - 1)
+        at = np.flatnonzero(best[k] == pair)
         new = np.ones(len(at), bool)
         new[1:] = at[1:] != at[:-1] + 1
         start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         at = at[(np.arange(len(at)) - start) % 2 == 0]  # in a run of overlapping pairs every second
+        # pairs that lost most of their places to overlapping ones wait; half of all places are left, so one pair at least doesn't
+        used = np.bincount(k[at], minlength=len(best)) >= LEAST // 2
+        at = at[used[k[at]]]
+        name = base + many + np.cumsum(used) - 1
+        rules.append(np.stack([best[used] // side, best[used] % side], 1))
+        closed = np.append(closed, closed[best[used] % side])
+        many += int(used.sum())
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s[at] = to[at]
+        s[at] = name[k[at]]
         s = s[keep]
-    return s, np.array(rules, np.int32).reshape(-1, 2), base
+    return s, np.concatenate(rules).astype(np.int32), base
 
 
 class Grammar:

@@ -47,3 +47,22 @@ def test_random_access(odd):
         own = symbols[end - n : end]
         for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (len(ids) - 1, len(ids))):
             assert (grammar.span(own, a, b) == ids[a:b]).all()
+
+
+def test_no_frequent_pair_is_left():
+    """Copies shrink to a symbol or so each, however rare their ids are, and no pair that may be replaced occurs LEAST times."""
+    r = random.Random(4)
+    copy = [r.randint(2, 40_000) for _ in range(400)]
+    ids = np.array([x for k in range(200) for x in [*copy, *(r.randint(2, 40_000) for _ in range(20)), g.END]] + [3] * 999 + [g.END], np.int32)
+    symbols, rules, base = g.compress(ids)
+    lengths = g.expansion_lengths(rules, base)
+    grammar = g.Grammar(rules, base, lengths)
+    assert (grammar.expand(symbols) == ids).all()
+    inner = [grammar.expand(np.array([x]))[:-1] for x in range(base, base + len(rules))]
+    assert not any((x == g.END).any() for x in inner)  # never across the end of a document
+    times = {}
+    for a, b in zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True):
+        if grammar.expand(np.array([a]))[-1] != g.END:
+            times[a, b] = times.get((a, b), 0) + 1
+    assert max(times.values()) < g.LEAST
+    assert len(symbols) < 200 * 26
