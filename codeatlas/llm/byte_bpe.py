@@ -78,7 +78,7 @@ def listing(packs: int):
             _, offsets = text_bytes(batch.column(1))
             for i, j in slices(offsets, PIECE):
                 found = Distinct([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], True)
-                to = np.fromiter((place.setdefault(w, len(place)) for w in found.words()), np.uint32, len(found.hashes))
+                to = np.fromiter((place.setdefault(w, len(place)) for w in found.words()), np.uint32, len(found))
                 places.append(to[found.at]), sizes.extend(np.diff(found.first).tolist()), ids.extend(batch.column(0).slice(i, j - i).to_pylist())
                 held += int(offsets[j] - offsets[i])
                 if held >= LIST_BYTES:

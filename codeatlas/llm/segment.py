@@ -89,21 +89,41 @@ def cut(points: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarr
 
 
 class Distinct:
-    """The distinct pre-tokens of some texts by their hashes. at: each pre-token's place among them; first: n + 1 offsets into at."""
+    """The distinct pre-tokens of some texts. at: each pre-token's place among them; first: n + 1 offsets into at.
+
+    They are found by 64-bit hashes, and all code points are then compared; should two different ones share a hash, they are told apart one by one.
+    """
 
     def __init__(self, texts: list[str], spaced: bool):
         points, offsets = code_points(texts)
         starts, ends = cut(points, offsets, spaced)
         self.first = np.searchsorted(starts, offsets)
-        self.hashes, one, self.at = np.unique(Spans(spread(points)).hash(starts, ends), return_index=True, return_inverse=True)
-        self.size = (ends - starts)[one]
-        if (self.size[self.at] != ends - starts).any():
-            raise ArithmeticError("two pre-tokens share a hash")
-        self.whole, self.start = "".join(texts), starts[one]
-
-    def words(self, which: np.ndarray | None = None) -> list[str]:
-        start, size = (self.start, self.size) if which is None else (self.start[which], self.size[which])
-        return [self.whole[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)]
+        self.whole = "".join(texts)
+        _, one, self.at = np.unique(Spans(spread(points)).hash(starts, ends), return_index=True, return_inverse=True)
+        self.start, self.size = starts[one], (ends - starts)[one]
+        if not same(points, starts, ends, self.start[self.at], self.size[self.at]):
+            place: dict[str, int] = {}
+            self.at = np.array([place.setdefault(self.whole[a:b], len(place)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+            one = np.unique(self.at, return_index=True)[1]
+            self.start, self.size = starts[one], (ends - starts)[one]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def words(self) -> list[str]:
+        return [self.whole[a:b] for a, b in zip(self.start.tolist(), (self.start + self.size).tolist(), strict=True)]
+
+
+def same(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether each span starts..ends holds the same code points as the span of that size from others on."""
+    if (ends - starts != sizes).any():
+        return False
+    for i in range(0, len(starts), 1 << 16):
+        n, a, b = sizes[i : i + (1 << 16)], starts[i : i + (1 << 16)], others[i : i + (1 << 16)]
+        k = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
+        if (points[k] != points[k + np.repeat(b - a, n)]).any():
+            return False
+    return True
 
 
 def spread(points: np.ndarray) -> np.ndarray:
