@@ -21,7 +21,7 @@ _powers = [np.ones(1, U), np.ones(1, U)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n."""
     if len(_powers[0]) < n:
-        n2 = max(1 << 21, 1 << (n - 1).bit_length())
+        n2 = (n + n // 8 + (1 << 18)) >> 18 << 18  # texts come in slices of about 1 MiB, longer ones alone
         for k, base in enumerate((BASE, INVERSE)):
             x = np.full(n2, base, U)
             x[0] = 1
@@ -94,7 +94,7 @@ class Words:
 
 
 def shape_counts(w: Words) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_lines (with a word) and n_repeat_words of each text."""
     n = len(w.counts)
     symbol = np.zeros(256, bool)
     symbol[list(b"#*$%&|<>")] = True
@@ -113,6 +113,7 @@ def shape_counts(w: Words) -> dict[str, np.ndarray]:
     again = np.ones(len(key), np.int64)
     again[one] = 0
     out["n_dup_lines"] = np.bincount(doc, again, n).astype(np.int64)
+    out["n_lines"] = np.bincount(doc, minlength=n).astype(np.int64)
     h, at = w.windows(w.hashes())
     word_doc = w.doc()
     _, back, times = np.unique(mix(h + word_doc[at].astype(U) * BASE), return_inverse=True, return_counts=True)
