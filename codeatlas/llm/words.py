@@ -103,8 +103,8 @@ def shape_counts(w: Words) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(w.raw == 10)
     starts = np.union1d(w.offsets[:-1][filled], breaks + 1)
     starts = starts[starts < len(w.raw)]
-    ends = np.minimum(np.append(starts[1:], len(w.raw)), len(w.raw))
-    ends = ends - ((w.raw[ends - 1] == 10) if len(ends) else 0)
+    ends = np.append(starts[1:], len(w.raw))[: len(starts)]
+    ends = ends - (w.raw[ends - 1] == 10)
     doc = np.searchsorted(w.offsets, starts, "right") - 1
     full = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends, doc = starts[full], ends[full], doc[full]
