@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 from codeatlas.llm import hyperminhash as h
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
-    sets = [(doc, shingles(text)) for doc, text in rows]
+def brute(rows, threshold=85, size=3):
+    sets = [(doc, shingles(text, size)) for doc, text in rows]
     up = {}
     find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if a is not None and b is not None and x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= threshold * len(x | y):
                 p, q = find(a), find(b)
                 up[max(p, q)] = min(p, q)
     return sorted(((d, len(s), None if d is None else find(d), d is None or find(d) == d) for d, s in sets), key=repr)
 
 
-def check(df, rows):
-    got = sorted((tuple(r) for r in h.near_duplicates(df).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
-    assert got == brute(rows)
+def check(df, rows, threshold=85, size=3, bands=h.BANDS):
+    got = sorted((tuple(r) for r in h.near_duplicates(df, threshold, size, bands).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr)
+    assert got == brute(rows, threshold, size)
 
 
 def test_odd_documents(odd, odd_documents):
@@ -77,9 +77,44 @@ def test_families_of_several_parts(spark, monkeypatch):
             rows.append((len(rows), " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     seen = []
-    monkeypatch.setattr(h, "units", lambda full, parts, real=h.units: seen.append(real(full, parts)) or seen[-1])
+    real = h.units
+    monkeypatch.setattr(h, "units", lambda *given: seen.append(real(*given)) or seen[-1])
     check(df, rows)
-    assert seen[0].count() > 0
+    assert [x.count() > 0 for x in seen] == [True, True]
+
+
+def test_weak_ties_make_no_family(spark, monkeypatch):
+    """Thousands of texts that share bands in one long chain, nearly all far below the threshold: few of them reach full sets."""
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(k, " ".join(words[20 * k : 20 * k + 70])) for k in range(2900)] + [(5000 + k, " ".join([*words[400 * k : 400 * k + 69], "end"])) for k in range(40)]
+    df, seen, real = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), [], h.units
+    monkeypatch.setattr(h, "units", lambda *given: seen.append(real(*given)) or seen[-1])
+    got = {r["doc_id"]: r["component_id"] for r in h.near_duplicates(df).collect()}
+    assert got == {k: k for k in range(2900)} | {5000 + k: 20 * k for k in range(40)}
+    assert seen[0].count() > 1000 and seen[1].count() < 200
+
+
+def test_five_words_and_four_fifths(spark):
+    r, rows = random.Random(2), []
+    for group in range(12):
+        base = [f"g{group}w{k}" for k in range(120)]
+        rows += [(len(rows) + k, " ".join(base[: 120 - cut])) for k, cut in enumerate((0, 12, 23, 25, 40))]
+    r.shuffle(rows)
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, 80, 5, (32, 4))
+
+
+def test_keep_one(spark, odd, odd_documents):
+    """One row of each group stays, whole: of several rows of the least doc_id one, and all rows without a doc_id."""
+    found = h.keep_one(odd)
+    assert found.columns == odd.columns
+    least = {d: c for d, _, c, _ in brute([(d[0], d[1]) for d in odd_documents])}
+    stays = sorted((d[0] for d in odd_documents if d[0] is None or least[d[0]] == d[0]), key=repr)
+    want = [d for k, d in enumerate(stays) if d is None or d != stays[k - 1]]
+    assert sorted((r["doc_id"] for r in found.collect()), key=repr) == want
+    text = "a few words that two rows share word by word".replace(" ", "  ")
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (None, text, "c"), (3, "", "d"), (3, "something else entirely is written here", "e"), (4, "something else entirely is written here", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rejected_id string")
+    assert sorted((r["doc_id"] or 0, r["rejected_id"]) for r in h.keep_one(df).collect()) == [(0, "c"), (1, "a"), (3, "d")]
 
 
 def test_empty(none):
