@@ -6,16 +6,19 @@ a text's score is the logistic function of the sum of its table entries. Labels
 
 Defined results: null and empty texts have the features of no words and are scored like any other. Very long texts are
 counted whole. Repeated rows get equal scores, one row each. Without any usable labels, every score is 0.5. Null doc_id
-counts as held out. An empty table gives an empty result. Other columns are ignored.
+counts as held out. An empty table gives an empty result. A labelled doc_id with several texts counts by the one of the least features.
+Other columns are ignored by quality() and kept by keep_good().
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample, texts_of
-from .shared import pieces, released
+from .shared import pieces, released, slices, text_bytes
 from .words import BASE, U, Words, mix, shape_counts
 
 FIT_ROWS, THRESHOLD = 20_000, 0.3
@@ -154,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> AdditiveMod
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     chosen = sample(labels, "quality", fold(5) != 0, rows)
-    found = texts_of(docs, chosen).mapInArrow(measured, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = texts_of(docs, chosen).mapInArrow(released(measured), "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("y", "x")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     x = np.stack(found["x"].to_numpy()) if len(found) else np.zeros((0, len(FEATURES)))
     return AdditiveModel().fit(x, found["y"].to_numpy().astype(float))
 
@@ -168,17 +171,18 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, ro
             for part, data, offsets in pieces(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(data, offsets)))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(scored), "doc_id long, score double")
     return out.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of docs, whole, that quality() would predict as good, in one pass over the texts."""
+    """The rows of docs, whole, that quality() would predict as good: each row by its own text. Only texts go through Python, and no text is shuffled."""
     model = fit(docs, labels, rows)
 
-    def good(batches):
-        for batch in batches:
-            score = [model.score(features(data, offsets)) for _, data, offsets in pieces(batch)]
-            yield batch.filter(pa.array(np.concatenate(score) >= threshold)) if score else batch
+    def good(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            data, offsets = text_bytes(column)
+            score = [model.score(features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in slices(offsets)]
+            yield pa.array(np.concatenate(score or [np.zeros(0)]) >= threshold)
 
-    return docs.mapInArrow(released(good), docs.schema)
+    return docs.filter(F.arrow_udf(released(good), "boolean")(F.col("text").cast("string")))
