@@ -63,8 +63,12 @@ def mcd(x, tries=300):
     return best
 
 
-def brute(rows, cut=rr.CUT):
-    """The verdicts by mcd() and the same shrinkage with numpy: (doc_id, counts, base_failed, kept)."""
+def brute(rows):
+    return sorted(((r[0], *(s := counts(r[1])), fails(s), v) for r, v in zip(rows, verdicts(rows), strict=True)), key=repr)
+
+
+def verdicts(rows, cut=rr.CUT):
+    """kept of each row (doc_id, text, lang, source, ...), by mcd() and the same shrinkage with numpy."""
     stats, x = [counts(r[1]) for r in rows], np.array([transformed(r[1]) for r in rows])
     fine = [i for i, s in enumerate(stats) if not fails(s)]
     chain = lambda r: [("all",), ("lang", r[2]), ("pair", r[2], r[3])]
@@ -83,8 +87,8 @@ def brute(rows, cut=rr.CUT):
                 k = n / (n + rr.LEAST)
                 mu, cov = k * m + (1 - k) * mu, k * c + (1 - k) * cov
             kept = (x[i] - mu) @ np.linalg.inv(wide(cov)) @ (x[i] - mu) <= rr.chi2_cut(cut, rr.D)
-        out.append((r[0], *stats[i], fails(stats[i]), bool(kept)))
-    return sorted(out, key=repr)
+        out.append(bool(kept))
+    return out
 
 
 def got(df, **named):
