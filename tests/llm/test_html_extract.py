@@ -1,3 +1,7 @@
+import random
+import resource
+
+import pytest
 from pyspark.sql import functions as F
 
 from codeatlas.llm import html_extract as h
@@ -10,10 +14,14 @@ several words, long enough to count.</p><script>var x = "<p>no</p>";</script><p>
 TEXT = "Title & more\n\nFirst paragraph with several words, long enough to count.\n\nSecond é paragraph after a break — here."
 
 
+def extract(html, paths=()):
+    return h.Page(html).text(paths)
+
+
 def test_pages(spark):
     rows = [(k, f"http://h{k % 2}.example/{k}", PAGE.format(box=f"content post-{k}")) for k in range(6)]
     rows += [(10, "http://h0.example/x", None), (11, None, ""), (12, "odd", "just text &lt;b&gt;"), (13, None, "<p>a<p>b<br>c"), (None, "http://h0.example/n", PAGE.format(box="content post-9")), rows[0]]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("path", F.lit("x"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("path", F.lit("x")).withColumn("paths", F.lit("y"))
     got = sorted((r["page_id"] is not None, r["page_id"] or 0, r["text"], r["n_chars"]) for r in h.main_text(df).collect())
     want = [(k, TEXT) for k in [*range(6), 0]] + [(None, TEXT), (10, ""), (11, ""), (12, "just text <b>"), (13, "a\n\nb c")]
     assert got == sorted((k is not None, k or 0, t, len(t)) for k, t in want)
@@ -21,17 +29,78 @@ def test_pages(spark):
 
 def test_the_hosts_path_wins():
     small = '<body><div class="main">Short.</div><div class="teaser"><p>' + "A long list of teasers for other articles. " * 5 + "</p></div></body>"
-    assert h.extract(small, "html/body/div.main") == "Short."
-    assert h.extract(small, "html/body/div.other").startswith("A long list")
+    assert extract(small, {h.path_of("html", "body", "div.main")}) == "Short."
+    assert extract(small, {h.path_of("html", "body", "div.other")}).startswith("A long list")
+
+
+WORDS = "Some words of an article that goes on for a while. "
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><p>One</p><p>Two</p></article><div class="sidebar">No</div></div>', "One\n\nTwo"),
+        ('<div class="post no-comments"><p>One</p><p>Two</p></div>', "One\n\nTwo"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>', "Title\n\nBody"),
+        ('<article><p>Body</p><section id="related-work"><h2>Related work</h2><p>Others</p></section></article>', "Body\n\nRelated work\n\nOthers"),
+        (f'<article><p>Lead</p><div class="body"><p>{WORDS * 5}</p></div><p>Closing</p></article>', f"Lead\n\n{(WORDS * 5).strip()}\n\nClosing"),
+        (f'<body><div id="page"><div class="a"><p>{WORDS * 3}</p></div><div class="b"><p>{WORDS * 2}</p></div></div></body>', f"{(WORDS * 3).strip()}\n\n{(WORDS * 2).strip()}"),
+        (f'<body><div class="a"><p>{WORDS * 3}</p></div><div class="b"><p>{WORDS * 2}</p></div></body>', f"{(WORDS * 3).strip()}\n\n{(WORDS * 2).strip()}"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>", "Let x=1 be."),
+        ("<article><div don't><p>One</p></div><p>it's two</p></article>", "One\n\nit's two"),
+        ('<form id="aspnetForm"><div id="main"><article><p>One</p></article></div><input value="x">Go</form>', "One"),
+        ("<article><header><h1>Title</h1><p>Standfirst</p></header><p>Body</p><footer>Foot</footer></article>", "Title\n\nStandfirst\n\nBody"),
+        ('<main><article><p>Post</p><article class="comment"><p>A reader says so</p></article></article></main>', "Post"),
+        ('<div class="comments"><p>All that this page has</p></div>', "All that this page has"),
+        ("<nav>Menu</nav><footer>Foot</footer>", ""),
+        ('<article data-x="a > b" title=\'c > d\'><p>One</p></article>', "One"),
+    ],
+)
+def test_articles_stay_whole(html, text):
+    assert extract(html) == text
+
+
+def written_page(r):
+    """A page made from an article that is known, with all kinds of boilerplate around and inside it."""
+    word = lambda: r.choice(["alpha", "beta", "gamma", "délta", "e&amp;f", "3 &lt; 4", "it's", "x"])
+    plain = lambda s: s.replace("&amp;", "&").replace("&lt;", "<")
+    line = lambda: " ".join(word() for _ in range(r.randint(5, 40)))
+    noise = lambda: r.choice(['<nav><ul><li><a href="/x">{}</a></li></ul></nav>', '<div class="ad">{}</div>', '<div id="cookie-banner"><p>{}</p></div>', "<script>var a = '<p>{}</p>';</script>", "<style>p {{ {} }}</style>", "<form>{}<input></form>", "<aside><p>{}</p></aside>", "<!-- {} -->", '<div class="site-footer"><p>{}</p></div>', '<section class="comments"><p>{}</p></section>', '<ul role="navigation"><li>{}</li></ul>', "<noscript>{}</noscript>"]).format(line())
+    blocks, inner = [], []
+    for _ in range(r.randint(3, 12)):
+        text = line()
+        blocks.append(" ".join(plain(text).split()))
+        inner.append(r.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<h2>{}</h2>", "<ul><li>{}</ul>", "<section><p><b>{}</b></p></section>", "<blockquote>{}</blockquote>", "<table><tr><td>{}</table>", "<div class='has-sidebar part-7'>{}</div>"]).format(text.replace(" ", r.choice([" ", "\n ", "  "]))))
+        if r.random() < 0.4:
+            inner.append(noise())
+    tag = r.choice(["article", "main", "article class='post header-large'"])
+    html = "<html><body>" + "".join(noise() for _ in range(3)) + f"<div class='wrap'><{tag}>" + "".join(inner) + f"</{tag.split()[0]}></div>" + "".join(noise() for _ in range(3)) + "</body></html>"
+    return html, "\n\n".join(blocks)
+
+
+def test_written_pages(spark):
+    r = random.Random(6)
+    pages = [(k, f"https://h{k % 7}.example/{k}", *written_page(r)) for k in range(300)]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in h.main_text(df).collect()}
+    assert got == {p[0]: p[3] for p in pages}
 
 
 def test_odd_markup():
-    for text in ("<", "<<<", "</p>", "<p", "<p class='", "<!-- never closed", "<script>", "<table><tr><td>x", "a < b", "&#xFFFFFF;&bogus;", "<p/><br/>x", "\x00"):
-        assert isinstance(h.extract(text, None), str)
-    assert h.extract("a < b", None) == "a < b"
+    for text in ("<", "<<<", "</p>", "<p", "<p class='", "<!-- never closed", "<script>", "<table><tr><td>x", "a < b", "&#xFFFFFF;&bogus;", "<p/><br/>x", "\x00", "<a =''", "<a b='<c d=\""):
+        assert isinstance(extract(text), str)
+    assert extract("a < b") == "a < b"
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
-    assert h.extract(deep, None) == "x"
-    assert h.extract("<p>" + "word " * 200_000 + "</p>", None) == "word " * 199_999 + "word"
+    assert extract(deep) == "x"
+    assert extract("<p>" + "word " * 200_000 + "</p>") == "word " * 199_999 + "word"
+
+
+def test_deep_pages_stay_small():
+    """A megabyte of open elements, and as many ends that fit none of them."""
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert extract("<div>" * 200_000 + "x" + "</b>" * 100_000 + "<p>y") == "x\n\ny"
+    assert extract("<div>a" * 50_000).startswith("a\n\na")
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # kilobytes
 
 
 def test_empty_table(spark):
