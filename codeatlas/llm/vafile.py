@@ -1,109 +1,165 @@
 """Exact top-k search (operator 3) with a vector-approximation file.
 
-Components become whole numbers floor(scale * x). Vectors and queries are dealt into groups of bounded size, and each pair of groups is
-one unit of work. A unit quantises its vectors into a few cells a dimension, scans the cells for lower and upper bounds of the inner
-product with every query, drops vectors whose upper bound is under the kth lower bound, and reads the exact vectors of the rest from
-the highest upper bound down, until the kth best score is above all bounds that are left. The k best of all units are merged.
+Components become whole numbers floor(scale * x). Cells of each dimension are cut at quantiles of at most SAMPLE vectors (those of the
+smallest hashes), the outer ones reach to the least and greatest component of all. Every vector's cells are written once, a byte a
+dimension, in a file of their own; exact vectors stay in another one.
+
+A search scans the cells alone: groups of cells and of queries of bounded size are units of work, which give lower and upper bounds of
+inner products and pass on what may be among a query's k best. The kth lower bound over all units then cuts the candidates of each query.
+Exact vectors are read in two steps, from the highest bounds down: first those of the 2 k best upper bounds, then those whose upper bound
+still reaches the kth exact score, so the k best are certain.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, neither as queries nor as candidates; nor
 do rows without vec_id. Only vectors of a query's dimension are its candidates. A query never meets rows of its own vec_id. Repeated
-query rows are one query; repeated candidate rows are one candidate. Ties go to the smaller vec_id. With fewer than k candidates, all
-are returned. An empty table gives an empty result. Other columns are ignored.
+query rows are one query; repeated candidate rows are one candidate, and an id with several vectors counts by its best one. Scores are exact
+whole numbers; those beyond the range of a long come out as its nearest end, and tie there. Ties go to the smaller vec_id. With fewer than k
+candidates, all are returned. An empty table gives an empty result. Other columns are ignored.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, written
+from .shared import parts, released, small, written
 
-K, CELLS = 20, 16
-#: Rows of a group of vectors and of a group of queries.
-VECTORS, QUERIES = 8192, 2048
-BLOCK = 256
+K, CELLS, SAMPLE = 20, 256, 20_000
+#: Rows of a group of vectors and of a group of queries, and queries whose bounds are held at once.
+VECTORS, QUERIES, BLOCK = 8192, 2048, 256
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def whole_numbers(df: DataFrame, scale: int) -> DataFrame:
     """(vec_id, v) with v an array of whole numbers in doubles, for the rows that take part."""
-    x = df.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double")).alias("v"), F.col("embedding").alias("e"))
+    whole = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # noqa: E731  larger doubles are whole
+    x = df.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda c: whole(F.lit(float(scale)) * c.cast("double"))).alias("v"), F.col("embedding").alias("e"))
     finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return x.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite).select("vec_id", "v").distinct()
-
-
-class VAFile:
-    """Cells of vectors: bounds of each dimension's cells, and each vector's cell numbers in a byte."""
-
-    def __init__(self, v: np.ndarray, cells: int = CELLS):
-        self.codes, self.low, self.high = np.empty(v.shape, np.uint8), [], []
-        for d, column in enumerate(v.T):
-            edges = np.unique(np.quantile(column, np.linspace(0, 1, cells + 1)[1:-1], method="lower"))
-            self.codes[:, d] = code = np.searchsorted(edges, column, "right")
-            low, high = np.full(cells, np.inf), np.full(cells, -np.inf)
-            np.minimum.at(low, code, column)
-            np.maximum.at(high, code, column)
-            self.low.append(low), self.high.append(high)
-
-    def bounds(self, q: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the inner products of queries with the vectors a to b."""
-        part = self.codes[a:b]
-        low, high = np.stack([x[c] for x, c in zip(self.low, part.T, strict=True)]), np.stack([x[c] for x, c in zip(self.high, part.T, strict=True)])
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        return plus @ low + minus @ high, plus @ high + minus @ low
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int = K, cells: int = CELLS):
-    """For each query the k best (score, vec_id) among the vectors of other ids, exactly; ids are in ascending order, an id counts once."""
-    k_ids, k = k, k * int(np.unique(ids, return_counts=True)[1].max())
-    if q.shape[1] == 0:
-        q, v = np.zeros((len(q), 1)), np.zeros((len(v), 1))
-    file = VAFile(v, cells)
-    rows = max(k + 1, (1 << 22) // max(1, v.shape[1]))
-    for i in range(0, len(q), BLOCK):
-        part = q[i : i + BLOCK]
-        bounds = [file.bounds(part, a, min(a + rows, len(v))) for a in range(0, len(v), rows)]
-        low, high = np.concatenate([b[0] for b in bounds], 1), np.concatenate([b[1] for b in bounds], 1)
-        own = ids[None, :] == q_ids[i : i + BLOCK, None]
-        low[own], high[own] = -np.inf, -np.inf
-        floor = np.partition(low, -k, 1)[:, -k] if len(v) > k else np.full(len(part), -np.inf)
-        for r in range(len(part)):
-            left = np.flatnonzero((high[r] >= floor[r]) & (high[r] > -np.inf))
-            left = left[np.argsort(-high[r, left], kind="stable")]
-            best, at, step = np.zeros((0, 2)), 0, 2 * k
-            while at < len(left) and (len(best) < k or high[r, left[at]] >= best[-1, 0]):
-                read = left[at : at + step]
-                best = np.concatenate([best, np.stack([v[read] @ part[r], read], 1)])
-                best = best[np.lexsort((best[:, 1], -best[:, 0]))][:k]
-                at, step = at + step, 2 * step
-            named = ids[best[:, 1].astype(np.int64)]
-            first = np.sort(np.unique(named, return_index=True)[1])[:k_ids]
-            yield i + r, best[first, 0].astype(np.int64), named[first]
+    rows = x.filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite & F.forall("v", lambda c: F.abs(c) < float("inf"))).select("vec_id", "v")
+    return rows.distinct().withColumn("tag", F.xxhash64("v")).withColumn("d", F.size("v"))
 
 
-def top_k(df: DataFrame, is_query, k: int = K, scale: int = 64, cells: int = CELLS) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best of each row of df (vec_id, embedding) for which is_query holds."""
-    v = written(whole_numbers(df, scale), "vectors").withColumn("d", F.size("v"))
-    queries = v.filter(is_query)
+def edges(v: DataFrame, cells: int = CELLS) -> dict[int, np.ndarray]:
+    """For each dimension d of vectors the borders of cells of each component, as d rows of cells + 1 values."""
+    ends = v.select("d", F.posexplode("v").alias("at", "x")).groupBy("d", "at").agg(F.min("x").alias("low"), F.max("x").alias("high")).toPandas()  # a row a component
+    drawn = v.orderBy(F.xxhash64("vec_id", "tag"), "vec_id", "tag").limit(SAMPLE).select("d", "v").toPandas()
+    out = {}
+    for d, own in ends.groupby("d"):
+        own = own.sort_values("at")
+        sample = drawn[drawn["d"] == d]["v"]
+        inner = np.quantile(np.stack(sample.to_numpy()), np.linspace(0, 1, cells + 1)[1:-1], axis=0, method="lower").T if len(sample) else np.repeat(own[["low"]].to_numpy(float), cells - 1, 1)
+        low, high = own["low"].to_numpy(float)[:, None], own["high"].to_numpy(float)[:, None]
+        out[int(d)] = np.concatenate([low, np.clip(inner, low, high), high], 1)
+    return out
+
+
+def coded(borders: dict[int, np.ndarray]):
+    """(vec_id, tag, d, v) to (vec_id, tag, d, code): the cell of each component, whose borders hold it between them."""
+
+    def run(batches):
+        for batch in batches:
+            codes = []
+            for d, v in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                x = v.values.to_numpy(zero_copy_only=False)
+                codes.append(bytes(np.minimum((borders[d][:, 1:-1] <= x[:, None]).sum(1), borders[d].shape[1] - 2).astype(np.uint8)) if d else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(codes, pa.binary())], ["vec_id", "tag", "d", "code"])
+
+    return run
+
+
+def bounds(q: np.ndarray, codes: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of queries with vectors, from the middles and half widths of their cells."""
+    at = np.arange(codes.shape[1])
+    low, high = borders[at, codes], borders[at, codes + 1]
+    middle, half = q @ ((low + high) / 2).T, np.abs(q) @ ((high - low) / 2).T
+    # far above what rounding can do to sums of this size
+    half += 1e-12 * (np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T) + 1e-9
+    return np.clip(middle - half, *map(float, LONG)), np.clip(middle + half, *map(float, LONG))
+
+
+def scanned(k: int, borders: dict[int, np.ndarray]):
+    """The scan of one unit: cells (vec_id, tag, code) and queries (vec_id, v) to what may be among a query's k best: query_id, qtag, vec_id, tag, low, high."""
+
+    def unit(cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(cells) and len(asked):
+            d, cells = int(cells["d"].iloc[0]), cells.sort_values(["vec_id", "tag"])
+            ids, tags = cells["vec_id"].to_numpy(), cells["tag"].to_numpy()
+            codes = np.frombuffer(b"".join(cells["code"]), np.uint8).reshape(len(ids), d).astype(np.int64)
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            q, q_ids, q_tags = np.stack(asked["v"].to_numpy()).reshape(len(asked), d), asked["vec_id"].to_numpy(), asked["qtag"].to_numpy()
+            for i in range(0, len(q), BLOCK):
+                low, high = bounds(q[i : i + BLOCK], codes, borders.get(d, np.zeros((0, 2))))
+                own = ids[None, :] == q_ids[i : i + BLOCK, None]
+                low[own], high[own] = -np.inf, -np.inf
+                each = np.maximum.reduceat(low, first, axis=1)  # an id with several vectors counts once
+                floor = np.partition(each, -k, 1)[:, -k] if len(first) > k else np.full(len(low), -np.inf)
+                r, c = np.nonzero((high >= floor[:, None]) & (high > -np.inf))
+                out.append(pd.DataFrame({"query_id": q_ids[i + r], "qtag": q_tags[i + r], "vec_id": ids[c], "tag": tags[c], "low": low[r, c], "high": high[r, c]}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, t) for c, t in zip(("query_id", "qtag", "vec_id", "tag", "low", "high"), ("i8",) * 4 + ("f8",) * 2, strict=True)})
+
+    return unit
+
+
+def product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers, at the nearest long."""
+    size = (np.abs(q) * np.abs(v)).sum(1) if len(q) else np.zeros(0)
+    if size.max(initial=0) < 1 << 52:
+        return np.einsum("nd,nd->n", q, v).astype(np.int64)
+    return np.array([min(LONG[1], max(LONG[0], sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for x, y in zip(q, v, strict=True)], np.int64)
+
+
+def exactly(batches):
+    """(query_id, qtag, vec_id, q, v) to (query_id, qtag, vec_id, score)."""
+    for batch in batches:
+        a, b = (batch.column(k).to_pandas() for k in (3, 4))
+        score = np.zeros(batch.num_rows, np.int64)
+        sizes = a.map(len).to_numpy() if len(a) else score
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            score[at] = product(np.stack(a.iloc[at].to_numpy()).reshape(len(at), d), np.stack(b.iloc[at].to_numpy()).reshape(len(at), d))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(score)], ["query_id", "qtag", "vec_id", "score"])
+
+
+def kth(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """(query_id, kth): the kth greatest value of each query over its ids, where it has so many."""
+    best = rows.groupBy("query_id", "vec_id").agg(F.max(value).alias("value"))
+    best = best.withColumn("n", F.expr("row_number() over (partition by query_id order by value desc)")).filter(F.col("n") <= k)
+    return best.groupBy("query_id").agg(F.min("value").alias("kth"), F.count("*").alias("n")).filter(F.col("n") == k).select("query_id", "kth")
+
+
+def candidates(df: DataFrame, is_query, k: int = K, scale: int = 64, cells: int = CELLS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written exact vectors, the queries, and what cells alone leave over: (query_id, qtag, vec_id, tag, high)."""
+    v = written(whole_numbers(df, scale), "vectors")
+    borders = edges(v, cells)  # dimensions times cells
+    codes = written(v.select("vec_id", "tag", "d", "v").mapInArrow(released(coded(borders)), "vec_id long, tag long, d int, code binary"), "cells")
+    queries = v.filter(is_query).withColumnRenamed("tag", "qtag")
     n, nq = v.count(), queries.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    groups_v = max(1, min(cores, n // 1024), -(-n // VECTORS))
+    groups_v = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 1024), -(-n // VECTORS))
     groups_q = max(1, -(-nq // QUERIES))
     deal = lambda g: F.pmod(F.xxhash64("vec_id"), F.lit(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    left = v.withColumn("gv", deal(groups_v)).withColumn("gq", every(groups_q))
+    left = codes.withColumn("gv", deal(groups_v)).withColumn("gq", every(groups_q))
     right = queries.withColumn("gq", deal(groups_q)).withColumn("gv", every(groups_v))
+    found = left.repartition(parts(df), "gv", "gq", "d").groupBy("gv", "gq", "d").cogroup(right.groupBy("gv", "gq", "d")).applyInPandas(scanned(k, borders), "query_id long, qtag long, vec_id long, tag long, low double, high double")
+    found = written(found, "bounds")
+    left_over = found.join(small(written(kth(found, "low", k), "kth-bound")), "query_id", "left").filter(F.col("high") >= F.coalesce("kth", F.lit(float("-inf"))))
+    return v, queries, left_over.select("query_id", "qtag", "vec_id", "tag", "high")
 
-    def unit(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(vectors) and len(asked):
-            vectors, asked = vectors.sort_values("vec_id"), asked.sort_values("vec_id")
-            q_ids, ids = asked["vec_id"].to_numpy(), vectors["vec_id"].to_numpy()
-            for r, scores, found in search(q_ids, np.stack(asked["v"].to_numpy()), ids, np.stack(vectors["v"].to_numpy()), k, cells):
-                out.append(pd.DataFrame({"query_id": q_ids[r], "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    found = left.repartition(parts(df), "gv", "gq", "d").groupBy("gv", "gq", "d").cogroup(right.groupBy("gv", "gq", "d")).applyInPandas(unit, "query_id long, vec_id long, score long")
-    # one id may stand for several vectors: its best pair counts
-    pairs = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+def top_k(df: DataFrame, is_query, k: int = K, scale: int = 64, cells: int = CELLS) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best of each row of df (vec_id, embedding) for which is_query holds."""
+    v, queries, found = candidates(df, is_query, k, scale, cells)
+    found = written(found.withColumn("n", F.expr("row_number() over (partition by query_id order by high desc, vec_id, tag)")), "candidates")
+    asked = queries.select(F.col("vec_id").alias("query_id"), "qtag", F.col("v").alias("q"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        both = rows.select("query_id", "qtag", "vec_id", "tag").join(v.select("vec_id", "tag", "v"), ["vec_id", "tag"]).join(asked, ["query_id", "qtag"])
+        return both.select("query_id", "qtag", "vec_id", "q", "v").mapInArrow(released(exactly), "query_id long, qtag long, vec_id long, score long")
+
+    first = written(scored(found.filter(F.col("n") <= 2 * k)), "scores")
+    certain = small(written(kth(first, "score", k), "kth-score"))
+    rest = found.filter(F.col("n") > 2 * k).join(certain, "query_id", "left").filter(F.col("high") >= F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))))
+    pairs = first.unionByName(scored(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = pairs.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

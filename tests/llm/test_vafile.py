@@ -35,3 +35,24 @@ def test_against_all_pairs(spark):
 def test_few_rows(spark, n):
     df = spark.createDataFrame([(20 * k, [1.0 * k]) for k in range(n)], "vec_id long, embedding array<float>")
     assert vafile.top_k(df, F.col("vec_id") % 20 == 0).count() == n * max(0, n - 1)
+
+
+def test_large_components_are_exact(spark):
+    """Scores far above 2 ** 53 differ by their last digits; scores beyond a long come out as its end."""
+    r = random.Random(3)
+    rows = [(k, [float(np.float32(r.choice([-1, 1]) * 2.0**24 + r.randrange(2**20) * 2.0)), r.gauss(0, 2**20), r.gauss(0, 1)]) for k in range(120)]
+    rows += [(200 + k, [2.0**20 + k, 0.0, 0.5]) for k in range(9)] + [(300, [1e30, -1e30, 1.0]), (320, [1e30, 1e30, 3e38])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(x) for x in vafile.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    low, high = vafile.LONG
+    want = {}
+    for q, _, c, s in brute(rows, 10**6):
+        want.setdefault(q, []).append((-min(high, max(low, s)), c))
+    assert got == sorted((q, n + 1, c, -s) for q, own in want.items() for n, (s, c) in enumerate(sorted(own)[:20]))
+
+
+def test_cells_leave_few_vectors_to_read(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v, queries, found = vafile.candidates(df, F.col("vec_id") % 20 == 0)
+    assert found.count() < 0.1 * v.count() * queries.count()
+    assert found.groupBy("query_id").count().agg(F.min("count")).first()[0] >= vafile.K
