@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding (operator 5) by a shuffle of the distinct words of the whole corpus.
 
-Texts are cut into pre-tokens with their positions. Each task keeps a text's positions as places in the task's own word list, and sends
-each distinct word of its texts once, packed by hash. After the shuffle each distinct word of the corpus is in one partition, where it is
-encoded once; its ids join back to the lists, and texts are reassembled by position. Decoding looks ids up in the table of token
-bytes, whose size the vocabulary fixes.
+Texts are cut into pre-tokens with their positions. Documents are taken in lists of about LIST_BYTES of text; a document's row keeps, for
+each position, the number of its word in the list, and each distinct word of a list is exploded to a row of its own. The words' rows are
+shuffled and sorted by word, so each distinct word of the corpus is encoded once, beside all lists that have it; its ids are joined back to
+these, and every list reassembles its documents by position. Positions are written once, bucketed by list, so that they never move again.
+Decoding looks ids up in the table of token bytes, whose size the vocabulary fixes.
 
 Defined results: null and empty texts have no tokens and hash as empty bytes. Repeated rows and repeated or null doc_ids give one
 result row each. Texts are taken whole at any length. An empty table gives an empty result. Other columns are ignored.
@@ -12,21 +13,20 @@ result row each. Texts are taken whole at any length. An empty table gives an em
 import base64
 import functools
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segment import Distinct, ragged
-from .shared import parts, released, slices, text_bytes, written
-from .words import Spans, mix
+from .shared import parts, released, shared_dir, slices, text_bytes
 
 #: Bytes of text whose words share one list, and bytes of text that are cut at once.
-LIST_BYTES, PIECE = 32 << 20, 1 << 20
-#: Bytes of ids and text that a task hands on at once.
-OUT_BYTES = 4 << 20
+LIST_BYTES, PIECE = 16 << 20, 1 << 20
+#: Bytes of ids and text that a task hands on at once, and words.
+OUT_BYTES, OUT_WORDS = 4 << 20, 1 << 14
 
 
 @functools.cache
@@ -42,91 +42,72 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """An array's bytes, all first ones before all second ones and so on, compressed."""
-    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+#: A list's number has its task above LIST_BITS; a word's spot has the list's number above WORD_BITS, and the word's number in the list.
+LIST_BITS, WORD_BITS = 18, 26
+LISTED = "list long, doc_id long, at array<int>, spot long, word string"
+LISTED_ARROW = pa.schema([("list", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("spot", pa.int64()), ("word", pa.string())])
 
 
-def unsqueeze(b: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def listing(batches):
+    """(doc_id, text) to rows of documents (list, doc_id, at) and rows of words (list, spot, word): at holds the numbers of a document's words, in order.
 
-
-def pack_of(words: list[bytes], packs: int) -> np.ndarray:
-    """The pack of each word, by a hash of its bytes."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes)
-    h = Spans(mix(np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1))).hash(ends - sizes, ends)
-    return (h % np.uint64(packs)).astype(np.uint32)
-
-
-LISTED = "list long, pack int, doc_ids array<long>, data binary, sizes binary, packs binary"
-
-
-def listing(packs: int):
-    """(doc_id, text) to rows of positions and rows of words.
-
-    Positions have pack -1: doc_ids, the place of each pre-token in the list (data), the pre-tokens of each text (sizes), and the pack
-    of each word of the list (packs). Words have their bytes (data) and lengths (sizes), in the list's order.
+    A list's words are numbered by falling frequency, so that most numbers are small.
     """
+    from pyspark import TaskContext
+
+    number, place, ids, places, sizes, held = TaskContext.get().partitionId() << LIST_BITS, {}, [], [], [], 0
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(1))
+        for i, j in slices(offsets, PIECE):
+            found = Distinct([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], True)
+            to = np.fromiter((place.setdefault(w, len(place)) for w in found.words()), np.int32, len(found))
+            places.append(to[found.at]), sizes.extend(np.diff(found.first).tolist()), ids.extend(batch.column(0).slice(i, j - i).to_pylist())
+            held += int(offsets[j] - offsets[i])
+            if held >= LIST_BYTES:
+                yield from listed(number, place, ids, places, sizes)
+                number, place, ids, places, sizes, held = number + 1, {}, [], [], [], 0
+    if ids:
+        yield from listed(number, place, ids, places, sizes)
+
+
+def listed(number: int, place: dict[str, int], ids: list, places: list[np.ndarray], sizes: list[int]):
+    at = np.concatenate(places)
+    places.clear()
+    often = np.argsort(-np.bincount(at, minlength=len(place)), kind="stable")
+    rank = np.empty(len(often), np.int32)
+    rank[often] = np.arange(len(often), dtype=np.int32)
+    at, words = rank[at], list(place)
+    place.clear()
+    for i in range(0, len(often), OUT_WORDS):
+        own = [words[k] for k in often[i : i + OUT_WORDS].tolist()]
+        yield columns(list=np.full(len(own), number), spot=(number << WORD_BITS) + np.arange(i, i + len(own)), word=own)
+    ends = np.cumsum(sizes)
+    cuts = np.searchsorted(ends, np.arange(OUT_BYTES // 4, ends[-1] + OUT_BYTES // 4, OUT_BYTES // 4), "right") if len(ends) else []
+    for i, j in itertools.pairwise(sorted({0, *np.minimum(np.asarray(cuts, np.int64) + 1, len(ids)).tolist(), len(ids)})):
+        first = ends[i] - sizes[i]
+        offsets = np.append(0, ends[i:j] - first).astype(np.int32)
+        yield columns(list=np.full(j - i, number), doc_id=ids[i:j], at=pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[first : ends[j - 1]])))
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        lists, place, ids, places, sizes, held = TaskContext.get().partitionId() << 32, {}, [], [], [], 0
-        for batch in batches:
-            _, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets, PIECE):
-                found = Distinct([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()], True)
-                to = np.fromiter((place.setdefault(w, len(place)) for w in found.words()), np.uint32, len(found))
-                places.append(to[found.at]), sizes.extend(np.diff(found.first).tolist()), ids.extend(batch.column(0).slice(i, j - i).to_pylist())
-                held += int(offsets[j] - offsets[i])
-                if held >= LIST_BYTES:
-                    yield listed(lists, place, ids, places, sizes)
-                    lists, place, ids, places, sizes, held = lists + 1, {}, [], [], [], 0
-        if ids:
-            yield listed(lists, place, ids, places, sizes)
-
-    def listed(number, place, ids, places, sizes):
-        words, at = list(place), np.concatenate(places)
-        place.clear(), places.clear()  # a list's memory is most of a task's
-        often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # frequent words first, so that places are small numbers
-        rank = np.empty(len(often), np.uint32)
-        rank[often] = np.arange(len(often))
-        at = rank[at]
-        words = [words[i].encode() for i in often.tolist()]
-        pack = pack_of(words, packs) if words else np.zeros(0, np.uint32)
-        rows = [(number, -1, ids, squeeze(at), squeeze(np.array(sizes, np.uint32)), squeeze(pack))]
-        order = np.argsort(pack, kind="stable")
-        groups = np.flatnonzero(np.diff(pack[order], prepend=-1))
-        for k, end in zip(groups.tolist(), [*groups[1:].tolist(), len(order)], strict=True):
-            own = [words[i] for i in order[k:end].tolist()]
-            rows.append((number, int(pack[order[k]]), None, squeeze(np.frombuffer(b"".join(own), np.uint8)), squeeze(np.fromiter(map(len, own), np.uint32, len(own))), None))
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["list", "pack", "doc_ids", "data", "sizes", "packs"])
-
-    return run
+def columns(**given) -> pa.RecordBatch:
+    """A batch of LISTED; columns that aren't given are null."""
+    n = len(given["list"])
+    return pa.RecordBatch.from_arrays([given[f.name] if isinstance(given.get(f.name), pa.Array) else pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in LISTED_ARROW], schema=LISTED_ARROW)
 
 
 def coding(path: str, pattern: str):
-    """Packs of words to packs of their ids (data) with the number of ids of each word (sizes). Each distinct word is encoded once."""
+    """Rows (spot, word), sorted by word, to (spot, ids): a word is encoded at its first row, and its ids go to all rows of it."""
 
     def run(batches):
-        known, encode, table = {}, encoding(path, pattern).encode_ordinary, ranks(path)
-
-        def ids_of(w: bytes) -> list[int]:
-            found = known.get(w)
-            if found is None:
-                found = known[w] = (table[w],) if w in table else tuple(encode(w.decode()))
-            return found
-
+        encode, table, last, ids = encoding(path, pattern).encode_ordinary, ranks(path), None, b""
         for batch in batches:
-            for number, pack, data, sizes in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                data, ends = unsqueeze(data, np.uint8).tobytes(), np.cumsum(unsqueeze(sizes, np.uint32).astype(np.int64)).tolist()
-                found = [ids_of(data[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                n = np.fromiter(map(len, found), np.uint32, len(found))
-                flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pack], pa.int32()), pa.array([squeeze(flat)], pa.binary()), pa.array([squeeze(n)], pa.binary())], ["list", "pack", "data", "sizes"])
+            found = []
+            for w in batch.column(1).to_pylist():
+                if w != last:
+                    last, own = w, table.get(w.encode())
+                    ids = np.array(encode(w) if own is None else [own], "<u4").tobytes()
+                found.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["spot", "ids"])
 
     return run
 
@@ -144,45 +125,58 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
 
-def reassembling(path: str):
-    """Rows sorted by list and pack, so that each list's positions come before its packs of ids, to one row for each text."""
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and the lists' sizes."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).astype(np.int64)
 
-    def run(batches):
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, own in itertools.groupby(rows, lambda row: row[0]):
-            _, _, doc_ids, data, sizes, packs = next(own)
-            yield from texts(doc_ids, unsqueeze(data, np.uint32), unsqueeze(sizes, np.uint32), unsqueeze(packs, np.uint32), {p: (unsqueeze(d, np.uint32), unsqueeze(s, np.uint32).astype(np.int64)) for _, p, _, d, s, _ in own})
-
-    def texts(doc_ids, at, sizes, pack, coded):
-        (length, table, begin), used, none = token_bytes(path), sorted(coded), [np.zeros(0, np.int64)]
-        flat, n = np.concatenate([coded[p][0] for p in used] or none), np.concatenate([coded[p][1] for p in used] or none)
-        row = np.empty(len(pack), np.uint32)
-        row[np.argsort(pack, kind="stable")] = np.arange(len(pack))  # the packs' words one after another
-        rows, held, end, first = [], 0, 0, np.cumsum(n) - n
-        for doc, size in zip(doc_ids, sizes.tolist(), strict=True):
-            ids = ragged(n, row[at[end : end + size]], flat, first).astype("<u4") if size else np.zeros(0, "<u4")
-            rows.append((doc, len(ids), ids.tobytes(), ragged(length, ids, table, begin).tobytes()))
-            end, held = end + size, held + 8 * len(ids)
+
+def flat_ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a column of ids as bytes."""
+    lists = column.to_pylist()
+    return np.frombuffer(b"".join(lists), "<u4").astype(np.int32), np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+
+
+def reassembling(path: str):
+    """The documents of one list (doc_id, at) and the ids of its words (spot, ids) to one row for each document."""
+
+    def run(_key, docs: pa.Table, words: pa.Table) -> pa.Table:
+        rows, done, held = [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
+
+        length, table, begin = token_bytes(path)
+        ids, n = flat_ids(words.column("ids"))
+        row = np.empty(len(n), np.int64)
+        row[words.column("spot").to_numpy() & ((1 << WORD_BITS) - 1)] = np.arange(len(n))
+        first = np.cumsum(n) - n
+        at, sizes = flat(docs.column("at")) if docs.num_rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        end = 0
+        for doc, size in zip(docs.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
+            own = ragged(n, row[at[end : end + size]], ids, first).astype("<u4") if size else np.zeros(0, "<u4")
+            rows.append((doc, len(own), own.tobytes(), ragged(length, own, table, begin).tobytes()))
+            end, held = end + size, held + 8 * len(own)
             if held >= OUT_BYTES:
-                yield batch_of(rows)
+                done.append(batch())
                 rows, held = [], 0
         if rows:
-            yield batch_of(rows)
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
+            done.append(batch())
+        return pa.Table.from_batches(done, OUT)
 
     return run
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian 32-bit) and decoded (bytes) for each row of docs (doc_id, text)."""
-    n = parts(docs)
+    spark, n = docs.sparkSession, parts(docs)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    listed = written(texts.mapInArrow(released(listing(3 * n)), LISTED), "lists")
-    words = listed.filter("pack >= 0").select("list", "pack", "data", "sizes").repartition(n, "pack")
-    coded = words.mapInArrow(released(coding(path, pattern)), "list long, pack int, data binary, sizes binary")
-    positions = listed.filter("pack < 0").select("list", "pack", "doc_ids", "data", "sizes", "packs")
-    ids = coded.select("list", "pack", F.lit(None).cast("array<long>").alias("doc_ids"), "data", "sizes", F.lit(None).cast("binary").alias("packs"))
-    dealt = positions.unionByName(ids).repartition(n, "list").sortWithinPartitions("list", "pack")
-    return dealt.mapInArrow(released(reassembling(path)), "doc_id long, n_tokens long, ids binary, decoded binary")
+    name = f"lists_{uuid.uuid4().hex}"
+    # a table bucketed by list: the join by list below finds the positions where they are
+    texts.mapInArrow(released(listing), LISTED).write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "list").saveAsTable(name)
+    made = spark.table(name)
+    words = made.filter("word is not null").select("spot", "word").repartition(n, "word").sortWithinPartitions("word")
+    ids = words.mapInArrow(released(coding(path, pattern)), "spot long, ids binary").select(F.shiftright("spot", WORD_BITS).alias("of"), "spot", "ids")
+    places = made.filter("at is not null").select("list", "doc_id", "at")
+    return places.groupBy("list").cogroup(ids.groupBy("of")).applyInArrow(reassembling(path), "doc_id long, n_tokens long, ids binary, decoded binary")
