@@ -1,9 +1,9 @@
 """Token-ID output (operator 8): ids in Re-Pair grammar compression, written by Spark, with random access.
 
 Documents are range-partitioned and sorted by doc_id; each partition encodes its texts and writes shards of about SHARD_IDS ids. A
-shard repeatedly replaces its most frequent pairs of ids by nonterminals, until no pair occurs LEAST times, many non-overlapping
-pairs a round, and never across the end of a document. Its row stores rules, the expansion length of each rule, the symbols, and for each document its number of
-symbols and of ids, so that one document, or a range of its ids, is decoded alone.
+shard repeatedly replaces its most frequent pairs of ids by nonterminals, until no pair can be replaced twice, and never across the end
+of a document. Its row stores rules, the expansion length of each rule, the symbols, and for each document its number of symbols and of
+ids, so that one document, or a range of its ids, is decoded alone.
 
 Defined results: null and empty texts have only the end id. Rows with a null doc_id come first, equal doc_ids in the order of their
 texts; repeated rows are written each. A text is never split between shards. An empty table gives no shards and an empty result.
@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segment import Distinct, ragged
+from .segment import Distinct
 from .shared import parts, slices, small, text_bytes, written
 
-END, SHARD_IDS = 1, 1 << 21
-LEAST = 8  # occurrences of a pair that is replaced
-KNOWN = 2_000_000  # words whose ids a task remembers
+END, SHARD_IDS, SHARE = 1, 1 << 18, 4
+KNOWN = 500_000  # words whose ids a task remembers
 
 
 @functools.cache
@@ -58,7 +57,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of known words, in the order of their hashes
+        self.known: dict[str, int] = {}
         self.flat, self.begin, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0  # word k has flat[begin[k] : begin[k + 1]]
 
     @staticmethod
@@ -91,13 +90,11 @@ class WordEncoder:
         found = Distinct([self.normal(t) if k not in odd else "" for k, t in enumerate(texts)], False)
         if self.count > KNOWN:
             self.clear()
-        at = np.searchsorted(self.hashes, found.hashes)
-        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != found.hashes) if len(self.hashes) else np.arange(len(found.hashes))
-        if len(new):
-            rows = self.count + np.arange(len(new))
-            self.learn(found.words(new))
-            self.hashes, self.rows = np.insert(self.hashes, at[new], found.hashes[new]), np.insert(self.rows, at[new], rows)
-        row = self.rows[np.searchsorted(self.hashes, found.hashes)][found.at]
+        words = found.words()
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, range(self.count, self.count + len(new)), strict=True))
+        self.learn(new)
+        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[found.at]
         start = self.begin[row]
         n = self.begin[row + 1] - start
         ends = np.append(0, np.cumsum(n))
@@ -106,73 +103,134 @@ class WordEncoder:
         return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32) if k in odd else every[ends[k] : ends[k + 1]] for k, t in enumerate(texts)]
 
 
-def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Symbols, rules (two symbols each) and the number of the first nonterminal. What ends with END never is the first of a pair.
-
-    Each round counts all pairs and replaces those that occur more than half as often as the most frequent one, until none occurs LEAST times.
+def places(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Those of the places `at` (ascending) of pairs that are replaced: where pairs overlap, the one of the highest rank, in a run of one pair every second."""
+    taken = [at[:0]]
+    while len(at):
+        near = at[1:] == at[:-1] + 1
+        up, down = near & (rank[1:] > rank[:-1]), near & (rank[1:] < rank[:-1])
+        win = np.ones(len(at), bool)
+        win[:-1] &= ~up
+        win[1:] &= ~down
+        same = near & ~up & ~down
+        if same.any():
+            k = np.arange(len(at))
+            win &= (k - np.maximum.accumulate(np.where(np.append(False, same), 0, k))) % 2 == 0
+        taken.append(at[win])
+        done = win.copy()
+        done[1:] |= win[:-1] & near
+        done[:-1] |= win[1:] & near
+        at, rank = at[~done], rank[~done]
+    return np.sort(np.concatenate(taken))
+
+
+def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Symbols, rules (two symbols each), the number of the first nonterminal, and the length in ids of each rule's expansion.
+
+    Pairs are replaced until none can be replaced twice; what ends with END never is the first of a pair. Each position holds the number of its
+    pair, and only positions beside a replaced pair get new ones. A round takes the most frequent pairs: those over half as frequent as the first,
+    and more of them if these hold under a SHAREth of all positions. Among overlapping pairs the more frequent one goes first; the others wait.
     """
-    s, rules, many = ids.astype(np.int64), [np.zeros((0, 2), np.int64)], 0
+    s = ids.astype(np.int32)
     base = max(int(s.max(initial=0)), END) + 1
-    closed = np.zeros(base, bool)  # symbols that end with END
-    closed[END] = True
-    while len(s) > 1:
-        side = base + many
-        pair = s[:-1] * side + s[1:]
-        pair[closed[s[:-1]]] = -1
-        order = np.sort(pair)
-        first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
-        count, keys = np.diff(np.append(first, len(order))), order[first]
-        count[keys < 0] = 0
-        if count.max() < LEAST:
-            break
-        best = keys[count >= max(LEAST, count.max() // 2 + 1)]  # sorted
-        k = np.minimum(np.searchsorted(best, pair), len(best) - 1)
-        at = np.flatnonzero(best[k] == pair)
-        new = np.ones(len(at), bool)
-        new[1:] = at[1:] != at[:-1] + 1
-        start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - start) % 2 == 0]  # in a run of overlapping pairs every second
-        # pairs that lost most of their places to overlapping ones wait; half of all places are left, so one pair at least doesn't
-        used = np.bincount(k[at], minlength=len(best)) >= LEAST // 2
-        at = at[used[k[at]]]
-        name = base + many + np.cumsum(used) - 1
-        rules.append(np.stack([best[used] // side, best[used] % side], 1))
-        closed = np.append(closed, closed[best[used] % side])
-        many += int(used.sum())
+    ends, size = np.zeros(base, bool), np.ones(base, np.int64)  # whether a symbol ends a document; its length in ids
+    ends[END] = True
+    rules, many = [np.zeros((0, 2), np.int32)], 0
+
+    def numbered(at: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers from `first` on for the pairs at these positions, -1 for a pair that occurs once; the symbols and counts of the numbered ones."""
+        key = s[at].astype(np.int64) << 32 | s[at + 1]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+        n = np.diff(np.append(new, len(key)))
+        often, out = n > 1, np.empty(len(at), np.int64)
+        out[order] = np.repeat(np.where(often, first - 1 + np.cumsum(often), -1), n)
+        key = key[new[often]]
+        return out, np.stack([key >> 32, key & 0xFFFFFFFF], 1).astype(np.int32), n[often]
+
+    pair = np.full(len(s), -1, np.int64)
+    at = np.flatnonzero(~ends[s[:-1]])
+    pair[at], symbols, count = numbered(at, 0)
+    while (top := int(count.max(initial=0))) > 1:
+        few = np.bincount(np.minimum(count, 4096))
+        held = np.cumsum((few * np.arange(len(few)))[::-1])[::-1]  # positions of pairs of at least that count
+        least = max(2, min(top // 2 + 1, int(np.flatnonzero(held >= min(held[2], len(s) // SHARE))[-1])))
+        wanted, at = np.flatnonzero(count >= least), None
+        wanted = wanted[np.argsort(count[wanted], kind="stable")]
+        while len(wanted):
+            rank = np.zeros(len(count) + 1, np.int32)  # the last one is that of -1
+            rank[wanted] = np.arange(1, len(wanted) + 1)
+            at = np.flatnonzero((rank > 0)[pair]) if at is None else at[rank[pair[at]] > 0]
+            taken = places(at, rank[pair[at]])
+            used = np.bincount(rank[pair[taken]], minlength=len(wanted) + 1)[1:]
+            if used.min() > 1:
+                break
+            if used[-1] < 2:  # the first choice lost places to itself only: a run of one symbol, which never will be worth a rule
+                own = symbols[wanted, 0] == symbols[wanted, 1]
+                count[wanted if own.all() else wanted[-1:]] = 0
+            wanted = wanted[used > 1]
+        if not len(wanted):
+            continue
+        made = symbols[wanted]
+        rules.append(made)
+        ends, size = np.append(ends, ends[made[:, 1]]), np.append(size, size[made].sum(1))
+        name = base + many - 1 + rank[pair[taken]]
+        many += len(wanted)
+        lost = []
+        for beside in (taken, taken + 1, taken[taken > 0] - 1):
+            lost.append(pair[beside])
+            pair[beside] = -2
+        lost = np.concatenate(lost)
+        count = np.maximum(count - np.bincount(lost[lost >= 0], minlength=len(count)), 0)
+        s[taken] = name
         keep = np.ones(len(s), bool)
-        keep[at + 1] = False
-        s[at] = name[k[at]]
-        s = s[keep]
-    return s, np.concatenate(rules).astype(np.int32), base
+        keep[taken + 1] = False
+        keep = np.flatnonzero(keep)
+        s, pair = s[keep], pair[keep]
+        at = np.flatnonzero(pair == -2)
+        pair[at] = -1
+        at = at[at < len(s) - 1]
+        at = at[~ends[s[at]]]
+        pair[at], more, n = numbered(at, len(count))
+        symbols, count = np.concatenate([symbols, more]), np.concatenate([count, n])
+    return s, np.concatenate(rules), base, size[base:]
 
 
 class Grammar:
-    """Expansions of all symbols of a shard: terminals are their own, nonterminals are laid out one after another."""
+    """Expansion of symbols from the top down: each step splits all nonterminals that are left, so work and memory follow the ids that are asked for."""
 
     def __init__(self, rules: np.ndarray, base: int, lengths: np.ndarray):
-        self.base, self.lengths = base, lengths
-        out: list[list[int]] = []
-        for a, b in rules.tolist():
-            out.append((out[a - base] if a >= base else [a]) + (out[b - base] if b >= base else [b]))
-        self.flat = np.concatenate([np.arange(base), *map(np.array, out)]).astype(np.int32) if out else np.arange(base, dtype=np.int32)
-        self.sizes = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])
+        self.rules, self.base = rules.astype(np.int64), base
+        self.size = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])  # of every symbol's expansion
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        return ragged(self.sizes, symbols, self.flat) if len(symbols) else np.zeros(0, np.int32)
+        ends = np.cumsum(self.size[symbols])
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        symbols, at = symbols.astype(np.int64), ends - self.size[symbols]
+        while len(symbols):
+            leaf = symbols < self.base
+            out[at[leaf]] = symbols[leaf]
+            symbols, at = self.halves(symbols[~leaf], at[~leaf])
+        return out
+
+    def halves(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two symbols of each nonterminal, and where their expansions begin."""
+        both = self.rules[symbols - self.base]
+        return both.ravel(), np.stack([at, at + self.size[both[:, 0]]], 1).ravel()
 
     def span(self, symbols: np.ndarray, start: int, stop: int) -> np.ndarray:
-        """The ids start to stop of a document, expanding only the symbols that cover them."""
-        ends = np.cumsum(self.sizes[symbols])
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
-        skip = int(ends[a - 1]) if a else 0
-        return self.expand(symbols[a:b])[start - skip : stop - skip]
-
-
-def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    n: list[int] = []
-    for a, b in rules.tolist():
-        n.append((n[a - base] if a >= base else 1) + (n[b - base] if b >= base else 1))
-    return np.array(n, np.int64)
+        """The ids start to stop of a document, expanding only what covers them."""
+        ends = np.cumsum(self.size[symbols])
+        stop = max(start, min(stop, int(ends[-1]) if len(ends) else 0))
+        out, symbols, at = np.empty(stop - start, np.int32), symbols.astype(np.int64), ends - self.size[symbols]
+        while len(symbols):
+            inside = (at < stop) & (at + self.size[symbols] > start)
+            symbols, at = symbols[inside], at[inside]
+            leaf = symbols < self.base
+            out[at[leaf] - start] = symbols[leaf]
+            symbols, at = self.halves(symbols[~leaf], at[~leaf])
+        return out
 
 
 SHARD = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("n_symbols", pa.list_(pa.int64())), ("base", pa.int32()), ("rules", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int64())), ("wide", pa.bool_()), ("symbols", pa.binary())])
@@ -181,11 +239,9 @@ SHARD_DDL = "part int, shard int, doc_ids array<long>, n_ids array<long>, n_symb
 
 def pack(part: int, shard: int, docs: list, ids: list[np.ndarray]) -> pa.RecordBatch:
     n = np.array([len(x) for x in ids], np.int64)
-    symbols, rules, base = compress(np.concatenate(ids))
-    lengths = expansion_lengths(rules, base)
+    symbols, rules, base, lengths = compress(np.concatenate(ids))
     # END is last in each document, so the ends of documents in symbols are where their ids end
-    sizes = np.where(symbols >= base, lengths[np.maximum(symbols - base, 0)] if len(lengths) else 1, 1)
-    ends = np.searchsorted(np.cumsum(sizes), np.cumsum(n)) + 1
+    ends = np.searchsorted(np.cumsum(Grammar(rules, base, lengths).size[symbols]), np.cumsum(n)) + 1
     wide = base + len(rules) > 1 << 16
     row = (part, shard, docs, n, np.diff(ends, prepend=0), base, rules.ravel(), lengths, wide, symbols.astype("<u4" if wide else "<u2").tobytes())
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SHARD, strict=True)], schema=SHARD)
@@ -198,7 +254,7 @@ def sharding(path: str, shard_ids: int):
         part, shard, encode, docs, ids, n = TaskContext.get().partitionId(), 0, WordEncoder(path), [], [], 0
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets, 1 << 22):
+            for i, j in slices(offsets):
                 for doc, x in zip(batch.column(0).slice(i, j - i).to_pylist(), encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]), strict=True):
                     docs.append(doc), ids.append(np.append(x, np.int32(END)))
                     n += len(x) + 1
@@ -218,14 +274,26 @@ def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> Data
     return written(dealt.mapInArrow(sharding(path, shard_ids), SHARD_DDL), "token-shards")
 
 
+def grammar_of(row: dict) -> tuple[Grammar, np.ndarray]:
+    """The grammar and the symbols of a shard row."""
+    as_array = lambda x: x.values.to_numpy() if isinstance(x, pa.ListScalar) else np.array(x)
+    symbols = row["symbols"].as_buffer() if isinstance(row["symbols"], pa.BinaryScalar) else row["symbols"]
+    return Grammar(as_array(row["rules"]).astype(np.int32).reshape(-1, 2), row["base"], as_array(row["lengths"])), np.frombuffer(symbols, "<u4" if row["wide"] else "<u2")
+
+
 def shard_documents(row: dict):
     """(doc_id, position in the shard, ids) of each document of one shard row."""
-    grammar = Grammar(np.array(row["rules"], np.int32).reshape(-1, 2), row["base"], np.array(row["lengths"], np.int64))
-    symbols = np.frombuffer(row["symbols"], "<u4" if row["wide"] else "<u2").astype(np.int64)
-    ends, k = np.cumsum(row["n_symbols"], dtype=np.int64), 0
-    for doc, a, b in zip(row["doc_ids"], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        yield doc, k, grammar.expand(symbols[a:b])
-        k += 1
+    grammar, symbols = grammar_of(row)
+    ids, ends = grammar.expand(symbols), np.cumsum(row["n_ids"], dtype=np.int64).tolist()
+    for k, (doc, a, b) in enumerate(zip(row["doc_ids"], [0, *ends[:-1]], ends, strict=True)):
+        yield doc, k, ids[a:b]
+
+
+def document(row: dict, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The ids, or those from start to stop, of the k-th document of a shard row: only its own symbols are read."""
+    grammar, symbols = grammar_of(row)
+    a = sum(row["n_symbols"][:k])
+    return grammar.span(symbols[a : a + row["n_symbols"][k]], start, row["n_ids"][k] if stop is None else stop)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -233,7 +301,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {f.name: batch.column(k)[i] if f.name in ("rules", "lengths", "symbols") else batch.column(k)[i].as_py() for k, f in enumerate(batch.schema)}
                 docs, before, ids, n = [], [], [], 0
                 for doc, _, x in shard_documents(row):
                     docs.append(doc), before.append(n), ids.append(x.astype("<u4").tobytes())
@@ -245,7 +314,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 def token_positions(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the shards alone."""
-    totals = shards.select("part", "shard", F.expr("aggregate(n_ids, 0L, (a, x) -> a + x)").alias("n"))
-    starts = totals.withColumn("first", F.expr("coalesce(sum(n) over (order by part, shard rows between unbounded preceding and 1 preceding), 0L)")).drop("n")
+    totals = written(shards.select("part", "shard", F.expr("aggregate(n_ids, 0L, (a, x) -> a + x)").alias("n")), "shard-totals")
+    before = lambda order, within="": F.expr(f"coalesce(sum(n) over ({within} order by {order} rows between unbounded preceding and 1 preceding), 0L)")
+    parts_before = totals.groupBy("part").agg(F.sum("n").alias("n")).select("part", before("part").alias("of_parts"))  # one row a partition
+    starts = totals.withColumn("first", before("shard", "partition by part")).join(F.broadcast(parts_before), "part").select("part", "shard", (F.col("first") + F.col("of_parts")).alias("first"))
     rows = read_shards(shards).select("doc_id", "part", "shard", "before", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     return rows.join(small(written(starts, "shard-starts")), ["part", "shard"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

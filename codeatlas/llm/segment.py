@@ -99,7 +99,11 @@ class Distinct:
         starts, ends = cut(points, offsets, spaced)
         self.first = np.searchsorted(starts, offsets)
         self.whole = "".join(texts)
-        _, one, self.at = np.unique(Spans(spread(points)).hash(starts, ends), return_index=True, return_inverse=True)
+        hashes = Spans(spread(points)).hash(starts, ends)
+        order = np.argsort(hashes)
+        new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])[: len(order)]
+        self.at, one = np.empty(len(order), np.int64), order[new]
+        self.at[order] = np.cumsum(new) - 1
         self.start, self.size = starts[one], (ends - starts)[one]
         if not same(points, starts, ends, self.start[self.at], self.size[self.at]):
             place: dict[str, int] = {}
@@ -118,8 +122,9 @@ def same(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.nd
     """Whether each span starts..ends holds the same code points as the span of that size from others on."""
     if (ends - starts != sizes).any():
         return False
-    for i in range(0, len(starts), 1 << 16):
-        n, a, b = sizes[i : i + (1 << 16)], starts[i : i + (1 << 16)], others[i : i + (1 << 16)]
+    step = 1 << 13  # small enough for a cache
+    for i in range(0, len(starts), step):
+        n, a, b = sizes[i : i + step], starts[i : i + step], others[i : i + step]
         k = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
         if (points[k] != points[k + np.repeat(b - a, n)]).any():
             return False
