@@ -2,6 +2,7 @@
 
 import argparse
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from .operators import lookups, paths, summaries
 from .sources import index
 
 
+VERSION = "1.0.0"
+
+
 def session(name: str = "codeatlas") -> SparkSession:
     return SparkSession.builder.appName(name).getOrCreate()
 
@@ -23,6 +27,8 @@ def settings() -> dict[str, str]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="codeatlas")
+    p.add_argument("--version", action="version", version=f"codeatlas {VERSION}")
+    p.add_argument("--log-level", default="ERROR", choices=("DEBUG", "INFO", "WARN", "ERROR"))
     p.add_argument("--store", default=os.environ.get("CODEATLAS_STORE", "codeatlas-store"))
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("config")
@@ -63,30 +69,48 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> list[DataFrame]:
             index.clear(spark, a.store)
         if a.incremental:
             return [index.refresh(spark, a.path, a.store, a.strict)]
+        begun = time.time()
         index.save(index.extract(spark, a.path, a.strict), a.store)
-        return [index.run_counts(index.load(spark, a.store))]
+        x = index.load(spark, a.store)
+        return [index.run_report(x, index.model_graph(x), time.time() - begun)]
     g = index.model_graph(index.load(spark, a.store))
     if a.command == "stats":
         return [summaries.statistics(g)]
     if a.command == "dependencies":
         return [(lookups.module_dependents if a.reverse else lookups.module_dependencies)(g, a.module)]
     if a.command == "find-model":
-        return [lookups.ranked_definitions(g, a.model)] + ([lookups.model_fields(g, a.model).limit(a.limit)] if a.fields else [])
+        return [lookups.ranked_definitions(g, a.model)] + (limited(lookups.model_fields(g, a.model), a.limit) if a.fields else [])
     if a.command == "list-models":
         m = lookups.models_in_module(g, a.module)
         return [m.select("name", shortened(F.col("description"), 50).alias("description"), base_name(F.col("file_path")).alias("file"))]
     if a.command == "inheritance":
         return [paths.ancestors(g, a.model, a.depth).filter(F.col("parent") != a.model), lookups.model_children(g, a.model)]
     if a.command == "find-field":
-        return [lookups.find_field(g, a.field, a.model).limit(a.limit)]
+        return limited(lookups.find_field(g, a.field, a.model), a.limit)
     return [g.sql(a.text)]
 
 
+def show(df: DataFrame) -> None:
+    """Prints all rows, a partition at a time."""
+    print(" | ".join(df.columns))
+    n = 0
+    for n, row in enumerate(df.toLocalIterator(), 1):
+        print(" | ".join("" if x is None else str(x) for x in row))
+    print(f"({n} rows)")
+
+
+def limited(df: DataFrame, limit: int) -> list[DataFrame]:
+    """The first rows, and how many there are of how many."""
+    n = df.count()
+    return [df.limit(limit), df.sparkSession.createDataFrame([(min(n, limit), n)], "showing long, of long")]
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session()
+    spark.sparkContext.setLogLevel(a.log_level)
     for df in answer(spark, a):
-        df.show(1000, truncate=80)
+        show(df)
     return 0
 
 

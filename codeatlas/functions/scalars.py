@@ -3,7 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VIEW_TYPES = ("form", "tree", "kanban", "search", "graph", "pivot", "calendar", "activity")
+#: The kinds of views.
+VIEW_TYPES = ("form", "tree", "kanban", "search", "calendar", "graph", "pivot", "qweb")
 
 
 def model_kind(name: Column, inherits: Column) -> Column:
@@ -39,6 +40,11 @@ def shortened(text: Column, n: int = 40) -> Column:
     return F.substring(F.coalesce(text, F.lit("")), 1, n)
 
 
+def first_items(items: Column, n: int = 3) -> Column:
+    """The first n elements of an array, all of a shorter one."""
+    return F.slice(items, 1, n)
+
+
 def links(text: Column) -> Column:
     """All href values in double quotes."""
     return F.regexp_extract_all(text, F.lit('href="([^"]*)"'), F.lit(1))

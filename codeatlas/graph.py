@@ -21,6 +21,8 @@ class Graph:
     fields: DataFrame
     views: DataFrame
     edges: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: All edges in one table (src, dst, rel_type, field), where they are stored so: counts over types then take one scan.
+    edge_table: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -28,6 +30,8 @@ class Graph:
 
     def typed_edges(self, *types: str) -> DataFrame:
         """(src, dst, rel_type, field) over several edge types."""
+        if self.edge_table is not None:
+            return self.edge_table.filter(F.col("rel_type").isin(*types)) if types else self.edge_table
         out = None
         for t in types or tuple(self.edges):
             e = self.edges[t]
@@ -44,9 +48,11 @@ class Graph:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (local tests), a new one of our own."""
+    """The folder of spark.checkpoint.dir; only where that is unset in local mode (tests), a new one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

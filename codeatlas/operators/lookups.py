@@ -50,8 +50,8 @@ def path_priority(path: Column) -> Column:
 
 
 def model_definitions(graph: Graph, name: str, limit: int = 5) -> DataFrame:
-    """model, file_path, module_name and priority of a model's definitions; the first rows are the likeliest origin."""
-    m = graph.models.filter(F.col("name") == name).select(F.col("name").alias("model"), "file_path", "description")
+    """model, file_path, module_name, priority, class and line of a model's definitions; the first rows are the likeliest origin."""
+    m = graph.models.filter(F.col("name") == name).select(F.col("name").alias("model"), "file_path", "description", "class_name", "line_number")
     defined = graph.edges["DEFINED_IN"].select(F.col("src").alias("model"), F.col("dst").alias("module_name"))
     found = m.join(defined, "model", "left").withColumn("priority", path_priority(F.col("file_path"))).distinct()
     return found.orderBy("priority", F.asc_nulls_last("file_path"), F.asc_nulls_last("module_name")).limit(limit)

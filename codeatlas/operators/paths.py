@@ -1,13 +1,19 @@
 """Paths of variable length. A path never uses an edge twice but may meet a node again, and each path is a row of its own.
 
-Each level is one join with the edges, settled in the shared folder; loops end with the depth bound or the first empty level.
+Each level is one join with the edges; every few levels are settled in the shared folder at once. Loops end with the depth bound or the first
+empty level.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, settled
 
+#: Levels that are settled at once: the first of them are computed again for each later one, which is little beside the last.
+LEVELS = 3
+
 
 def trails(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFrame:
     """(start, node, depth, path) of all trails of least to most edges from starts (start). edges: (a, b), with id and label if given."""
@@ -15,15 +21,19 @@ def trails(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFr
     e = e if "label" in e.columns else e.withColumn("label", F.lit(None).cast("string"))
     kind = e.schema["id"].dataType.simpleString()
     level = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array("start").alias("path"), F.expr(f"cast(array() as array<{kind}>)").alias("used"), F.lit(None).cast("string").alias("first_label"))
-    out = level if least == 0 else None
-    for depth in range(1, most + 1):
-        step = level.join(e, F.col("node") == F.col("a")).filter(~F.array_contains("used", F.col("id")))
-        level = settled(step.select("start", F.col("b").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("b")).alias("path"), F.array_append("used", F.col("id")).alias("used"), F.coalesce("first_label", "label").alias("first_label")), "trails")
+    out = level if least == 0 else level.limit(0)
+    for depth in range(1, most + 1, LEVELS):
+        levels = []
+        for d in range(depth, min(depth + LEVELS, most + 1)):
+            step = level.join(e, F.col("node") == F.col("a")).filter(~F.array_contains("used", F.col("id")))
+            level = step.select("start", F.col("b").alias("node"), F.lit(d).alias("depth"), F.array_append("path", F.col("b")).alias("path"), F.array_append("used", F.col("id")).alias("used"), F.coalesce("first_label", "label").alias("first_label"))
+            levels.append(level)
+        found = settled(reduce(DataFrame.unionByName, levels), "trails")
+        out = out.unionByName(found.filter(F.col("depth") >= least))
+        level = found.filter(F.col("depth") == depth + len(levels) - 1)
         if level.isEmpty():
             break
-        if depth >= least:
-            out = level if out is None else out.unionByName(level)
-    return (out if out is not None else level.limit(0)).drop("used")
+    return out.drop("used")
 
 
 def _arcs(df: DataFrame, reverse: bool = False) -> DataFrame:
@@ -70,19 +80,21 @@ def dependency_cycles(graph: Graph, max_depth: int = 10) -> DataFrame:
 def dependency_chains(graph: Graph, source: str, max_depth: int = 10) -> DataFrame:
     """target, path, depth: one shortest path, the least in order, to every module that can be reached."""
     arcs = _arcs(graph.edges["DEPENDS_ON"])
-    level = graph.modules.filter(F.col("name") == source).select(F.col("name").alias("node"), F.array("name").alias("path")).distinct()
-    seen, out = level.select("node"), None
-    for depth in range(1, max_depth + 1):
-        step = level.join(arcs, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"))
-        step = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        level = settled(step, "chains")
+    level = graph.modules.filter(F.col("name") == source).select(F.col("name").alias("node"), F.array("name").alias("path"), F.lit(0).alias("depth")).distinct()
+    out = level
+    for depth in range(1, max_depth + 1, LEVELS):
+        levels, seen = [], out.select("node")
+        for d in range(depth, min(depth + LEVELS, max_depth + 1)):
+            step = level.join(arcs, F.col("node") == F.col("a")).select(F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"), F.lit(d).alias("depth"))
+            level = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"), F.min("depth").alias("depth"))
+            levels.append(level)
+            seen = seen.unionByName(level.select("node"))
+        found = settled(reduce(DataFrame.unionByName, levels), "chains")
+        out = out.unionByName(found)
+        level = found.filter(F.col("depth") == depth + len(levels) - 1)
         if level.isEmpty():
             break
-        seen = seen.unionByName(level.select("node"))
-        part = level.withColumn("depth", F.lit(depth))
-        out = part if out is None else out.unionByName(part)
-    out = out if out is not None else level.withColumn("depth", F.lit(0)).limit(0)
-    return out.select(F.col("node").alias("target"), "path", "depth")
+    return out.filter("depth > 0").select(F.col("node").alias("target"), "path", "depth")
 
 
 def dependency_chain(graph: Graph, source: str, target: str, max_depth: int = 10) -> DataFrame:

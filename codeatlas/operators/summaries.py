@@ -19,6 +19,10 @@ def node_counts(graph: Graph) -> DataFrame:
 
 def edge_counts(graph: Graph, types: tuple[str, ...] = EDGE_TYPES) -> DataFrame:
     """rel_type, n for every type, zero if there are none."""
+    if graph.edge_table is not None:
+        names = graph.spark.createDataFrame([(t,) for t in types], "rel_type string")
+        found = graph.typed_edges(*types).groupBy("rel_type").agg(F.count("*").alias("n"))
+        return names.join(F.broadcast(found), "rel_type", "left").select("rel_type", F.coalesce("n", F.lit(0).cast("long")).alias("n"))  # a row a type
     out = None
     for t in types:
         part = (graph.edges[t].agg(F.count("*").alias("n")) if t in graph.edges else graph.spark.range(1).select(F.lit(0).cast("long").alias("n"))).select(F.lit(t).alias("rel_type"), "n")

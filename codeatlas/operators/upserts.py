@@ -60,15 +60,31 @@ def save(graph: Graph, path: str, mode: str = "overwrite") -> dict[str, str]:
     for name, columns in order.items():
         places[name] = f"{path}/{name}"
         df = getattr(graph, name)
-        df.sortWithinPartitions(*[c for c in columns if c in df.columns]).write.mode(mode).parquet(places[name])
-    for t, df in graph.edges.items():
-        places[t] = f"{path}/edges/{t}"
-        df.sortWithinPartitions("src", "dst").write.mode(mode).parquet(places[t])
+        keys = [c for c in columns if c in df.columns]
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).parquet(places[name])
+    places["edges"] = f"{path}/edges"
+    graph.typed_edges().repartitionByRange("rel_type", "src").sortWithinPartitions("rel_type", "src", "dst").write.mode(mode).partitionBy("rel_type").parquet(places["edges"])
     return places
 
 
 def load(spark, path: str, types: Sequence[str]) -> Graph:
-    return Graph(*[spark.read.parquet(f"{path}/{n}") for n in ("modules", "models", "fields", "views")], {t: spark.read.parquet(f"{path}/edges/{t}") for t in types})
+    """A saved graph. Edges of a type are a partition of one table, so a query reads only the types that it names."""
+    table = spark.read.schema("src string, dst string, field string, rel_type string").parquet(f"{path}/edges").select("src", "dst", "rel_type", "field")
+    return Graph(*[spark.read.parquet(f"{path}/{n}") for n in ("modules", "models", "fields", "views")], {t: table.filter(F.col("rel_type") == t).select("src", "dst", "field") for t in types}, table)
+
+
+def verify_schema(graph: Graph) -> DataFrame:
+    """constraint, table, key, holds: of each uniqueness constraint whether its table has the columns, and every key once and without nulls."""
+    out = None
+    for name, keys in NODE_KEYS.items():
+        df = getattr(graph, name)
+        if set(keys) <= set(df.columns):
+            bad = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.max((F.col("n") > 1) | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))), F.lit(False)).alias("bad"))
+        else:
+            bad = graph.spark.range(1).select(F.lit(True).alias("bad"))
+        part = bad.select(F.lit(f"{name}_unique").alias("constraint"), F.lit(name).alias("table"), F.lit(",".join(keys)).alias("key"), (~F.col("bad")).alias("holds"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def dump_json(df: DataFrame, path: str) -> None:

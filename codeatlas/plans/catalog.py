@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..graph import Graph
 from ..operators import changes, lookups, paths, summaries, upserts
-from ..sources import records, syntax
-from . import derive
+from ..sources import index, records, syntax
+from . import derive, trees
 from .derive import TWINS, read
+from .trees import TREES
 
 MODULE, MODEL, VIEW = "Supplier#000000001", "100", "0.0"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,9 +32,9 @@ def on_graph(f: Callable[..., DataFrame], *args, **named) -> Callable[[SparkSess
 register("module_by_name", lambda s, d: lookups.find_module(derive.graph(s, d), MODULE).drop("id"), f"SELECT * FROM modules WHERE name = '{MODULE}'")
 register("module_dependencies", on_graph(lookups.module_dependencies, MODULE), f"SELECT name AS dependency, version, category FROM depends JOIN modules ON dst = name WHERE src = '{MODULE}'")
 register("module_dependents", on_graph(lookups.module_dependents, MODULE), f"SELECT name AS dependent, version, category FROM depends JOIN modules ON src = name WHERE dst = '{MODULE}'")
-register("list_modules", on_graph(lookups.list_modules, "GERMANY", True), "SELECT name, version, category, summary, installable FROM modules WHERE category = 'GERMANY' AND installable")
+register("list_modules", on_graph(lookups.list_modules, "NATION_9", True), "SELECT name, version, category, summary, installable FROM modules WHERE category = 'NATION_9' AND installable")
 register("list_all_modules", on_graph(lookups.list_modules, ""), "SELECT name, version, category, summary, installable FROM modules")
-_RANKED = f"SELECT DISTINCT m.name AS model, file_path, description, d.dst AS module_name, CAST(CASE WHEN contains(file_path, '/base/') THEN 0 WHEN contains(file_path, '/core/') THEN 1 WHEN contains(file_path, '/addons/') THEN 2 ELSE 3 END AS INTEGER) AS priority FROM models m LEFT JOIN defined d ON d.src = m.name WHERE m.name = '{MODEL}' ORDER BY priority, file_path, module_name LIMIT 5"
+_RANKED = f"SELECT DISTINCT m.name AS model, file_path, description, class_name, line_number, d.dst AS module_name, CAST(CASE WHEN contains(file_path, '/base/') THEN 0 WHEN contains(file_path, '/core/') THEN 1 WHEN contains(file_path, '/addons/') THEN 2 ELSE 3 END AS INTEGER) AS priority FROM models m LEFT JOIN defined d ON d.src = m.name WHERE m.name = '{MODEL}' ORDER BY priority, file_path, module_name LIMIT 5"
 register("model_definitions", on_graph(lookups.model_definitions, MODEL), _RANKED)
 register("ranked_definitions", on_graph(lookups.ranked_definitions, MODEL), f"SELECT *, CASE WHEN row_number() OVER (ORDER BY priority, file_path, module_name) = 1 THEN 'base' ELSE 'extension' END AS kind FROM ({_RANKED}) t")
 register("model_children", on_graph(lookups.model_children, MODEL), f"SELECT name AS child, description FROM inherits JOIN models ON src = name WHERE dst = '{MODEL}'")
@@ -47,21 +49,21 @@ register("computed_fields", on_graph(lookups.computed_fields), "SELECT name AS f
 register("views_of_model", on_graph(lookups.views_of_model, "1"), "SELECT xml_id, name, view_type FROM views WHERE model = '1'")
 register("implied_module_dependencies", on_graph(lookups.implied_dependencies, MODULE), f"SELECT DISTINCT d2.dst AS dependency FROM defined d1 JOIN inherits i ON i.src = d1.src JOIN defined d2 ON d2.src = i.dst WHERE d1.dst = '{MODULE}' AND d2.dst <> '{MODULE}'")
 register("inheritance_pairs", on_graph(lookups.inheritance_pairs), "SELECT src AS child, dst AS parent FROM inherits ORDER BY child, parent LIMIT 25")
-register("module_contents", on_graph(lookups.module_contents, MODULE), f"SELECT dst AS module, 'Model' AS label, src AS contained FROM defined WHERE dst = '{MODULE}' ORDER BY contained LIMIT 50")
+register("module_contents", on_graph(lookups.module_contents, MODULE, 1000), f"SELECT * FROM (SELECT dst AS module, 'Model' AS label, src AS contained FROM defined WHERE dst = '{MODULE}' UNION ALL SELECT module, 'View', xml_id FROM views WHERE module = '{MODULE}') t ORDER BY label, contained LIMIT 1000")
 
 # ---- paths
 _UP = "r AS (SELECT name AS start, name AS node, 0 AS depth FROM models WHERE name = '{m}' UNION ALL SELECT r.start, i.{to}, r.depth + 1 FROM r JOIN inherits i ON i.{at} = r.node WHERE r.depth < 10)"
 register("inheritance_tree", on_graph(paths.ancestors, "1000"), ", " + _UP.format(m="1000", to="dst", at="src") + " SELECT start AS model, node AS parent, depth FROM r")
 register("transitive_children", on_graph(paths.descendants, "5"), ", " + _UP.format(m="5", to="src", at="dst") + " SELECT m.name, m.module, m.description, depth FROM r JOIN models m ON m.name = r.node WHERE depth > 0")
 register("view_extensions", on_graph(paths.view_extensions, VIEW), f", r AS (SELECT xml_id AS node, 0 AS depth FROM views WHERE xml_id = '{VIEW}' UNION ALL SELECT e.src, r.depth + 1 FROM r JOIN extends e ON e.dst = r.node WHERE r.depth < 10) SELECT xml_id, name, view_type, depth FROM r JOIN views ON xml_id = node WHERE depth > 0")
-register("dependency_cycles", lambda s, d: paths.dependency_cycles(derive.graph(s, d), 4).withColumn("cycle_path", F.array_join("cycle_path", ">")), """, r AS (
+register("dependency_cycles", lambda s, d: paths.dependency_cycles(derive.graph(s, d)).withColumn("cycle_path", F.array_join("cycle_path", ">")), """, r AS (
   SELECT src AS st, dst, 1 AS d, [concat(src, '|', dst)] AS tr, concat(src, '>', dst) AS p FROM depends UNION ALL
   SELECT r.st, e.dst, r.d + 1, list_append(r.tr, concat(e.src, '|', e.dst)), concat(r.p, '>', e.dst) FROM r JOIN depends e ON r.dst = e.src
-  WHERE r.d < 4 AND NOT list_contains(r.tr, concat(e.src, '|', e.dst)))
+  WHERE r.d < 10 AND NOT list_contains(r.tr, concat(e.src, '|', e.dst)))
 SELECT st AS module, d AS cycle_length, p AS cycle_path FROM r WHERE st = dst""")
-register("shortest_dependency_path", lambda s, d: paths.dependency_chains(derive.graph(s, d), MODULE, 6).withColumn("path", F.array_join("path", ">")), f""", r AS (
+register("shortest_dependency_path", lambda s, d: paths.dependency_chains(derive.graph(s, d), MODULE).withColumn("path", F.array_join("path", ">")), f""", r AS (
   SELECT dst, 1 AS d, [src, dst] AS nd FROM depends WHERE src = '{MODULE}' AND dst <> src UNION ALL
-  SELECT e.dst, r.d + 1, list_append(r.nd, e.dst) FROM r JOIN depends e ON r.dst = e.src WHERE r.d < 6 AND NOT list_contains(r.nd, e.dst))
+  SELECT e.dst, r.d + 1, list_append(r.nd, e.dst) FROM r JOIN depends e ON r.dst = e.src WHERE r.d < 10 AND NOT list_contains(r.nd, e.dst))
 SELECT dst AS target, array_to_string(nd, '>') AS path, d AS depth FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY d, nd) AS rn FROM r) z WHERE rn = 1""")
 register("model_neighbourhood", on_graph(paths.neighbourhood, "1000"), """, e0 AS (
   SELECT src, dst, 'INHERITS_FROM' AS ty, concat('I', src, '|', dst) AS id FROM inherits UNION ALL SELECT src, dst, 'DELEGATES_TO', concat('D', src, '|', dst, field) FROM delegates),
@@ -75,6 +77,7 @@ _NODES = "SELECT 'Module' AS label, count(*) AS n FROM modules UNION ALL SELECT
 _EDGES = "SELECT 'DEPENDS_ON' AS rel_type, count(*) AS n FROM depends UNION ALL SELECT 'INHERITS_FROM', count(*) FROM inherits UNION ALL SELECT 'DELEGATES_TO', count(*) FROM delegates UNION ALL SELECT 'DEFINED_IN', count(*) FROM defined UNION ALL SELECT 'BELONGS_TO', count(*) FROM fields UNION ALL SELECT 'REFERENCES', count(*) FROM fields WHERE comodel_name IS NOT NULL"
 _VIEW_EDGES = " UNION ALL SELECT 'DISPLAYS', count(*) FROM views UNION ALL SELECT 'EXTENDS', count(*) FROM extends"
 register("node_counts", on_graph(summaries.node_counts), _NODES)
+register("label_counts", lambda s, d: summaries.label_counts(derive.graph(s, d)).select(F.array_join("labels", "|").alias("labels"), "n"), f"SELECT label AS labels, n FROM ({_NODES}) t")
 register("edge_counts", on_graph(summaries.edge_counts), _EDGES + _VIEW_EDGES + " UNION ALL SELECT 'CONTAINS', 0 UNION ALL SELECT 'INHERITS', 0")
 register("graph_statistics", on_graph(summaries.statistics), f", n AS ({_NODES}), e AS ({_EDGES}{_VIEW_EDGES}) SELECT 'node' AS kind, label AS name, CAST(n AS BIGINT) AS n FROM n UNION ALL SELECT 'node', 'total', CAST(sum(n) AS BIGINT) FROM n UNION ALL SELECT 'edge', rel_type, n FROM e UNION ALL SELECT 'edge', 'total', CAST(sum(n) AS BIGINT) FROM e")
 register("graph_overview", on_graph(summaries.overview), "SELECT (SELECT count(*) FROM modules) AS modules, (SELECT count(*) FROM models) AS models, (SELECT count(*) FROM fields) AS fields, (SELECT count(*) FROM depends) AS dependencies, (SELECT count(*) FROM inherits) AS inheritances")
@@ -109,11 +112,12 @@ register("orphan_views", on_graph(lambda g: summaries.orphan_views(g.views.withC
 register("upsert_last_writer", on_graph(lambda g: g.fields), "SELECT * FROM fields")
 register("upsert_into_snapshot", lambda s, d: upserts.upsert(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("n_name"), "s_suppkey"), ["n_nationkey"], ["s_suppkey"]), "SELECT n_nationkey, coalesce(max_by(s_name, s_suppkey), any_value(n_name)) AS n_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 0 GROUP BY n_nationkey", twins=False)
 _KEPT, _KNOWN = "not startswith(file_path, '/base/')", "not startswith(file_path, '/other/')"
-register("edge_endpoint_check", on_graph(lambda g: upserts.linked(g.edges["INHERITS_FROM"], g.models.filter(_KEPT), g.models.filter(_KNOWN))), "SELECT DISTINCT src, dst FROM inherits JOIN models a ON a.name = src JOIN models b ON b.name = dst WHERE a.file_path NOT LIKE '/base/%' AND b.file_path NOT LIKE '/other/%'")
+register("edge_endpoint_check", on_graph(lambda g: upserts.linked(g.edges["INHERITS_FROM"].select("src", "dst"), g.models.filter(_KEPT), g.models.filter(_KNOWN))), "SELECT DISTINCT src, dst FROM inherits JOIN models a ON a.name = src JOIN models b ON b.name = dst WHERE a.file_path NOT LIKE '/base/%' AND b.file_path NOT LIKE '/other/%'")
 register("dangling_edges", on_graph(lambda g: upserts.dangling(g.edges["REFERENCES"].select("src", "dst"), g.models, g.models.filter(_KNOWN))), "SELECT DISTINCT model_name AS src, comodel_name AS dst, false AS src_missing, true AS dst_missing FROM fields JOIN models m ON m.name = comodel_name WHERE m.file_path LIKE '/other/%'")
-register("edge_dedupe", lambda s, d: read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct(), "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem", twins=False)
+register("edge_dedupe", lambda s, d: upserts.linked(read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), read(s, d, "part"), read(s, d, "supplier"), "p_partkey", "s_suppkey"), "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey", twins=False)
 register("inherits_by_name", lambda s, d: upserts.inherits_by_name(read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("module"), F.array(F.concat(F.substring("n_name", 1, 1), F.lit("")), "n_name").alias("inherits"))), "SELECT DISTINCT a.n_name AS src, CAST(a.n_regionkey AS VARCHAR) AS src_module, b.n_name AS dst, CAST(b.n_regionkey AS VARCHAR) AS dst_module FROM nation a JOIN nation b ON b.n_name = a.n_name OR b.n_name = substr(a.n_name, 1, 1)", twins=False)
-register("constraint_violations", lambda s, d: upserts.violations(derive.graph(s, d)), "SELECT 'modules' AS \"table\", concat('[\"', name, '\"]') AS key, count(*) AS n FROM modules GROUP BY name HAVING count(*) > 1")
+register("constraint_violations", lambda s, d: upserts.violations(doubled(s, d)), "SELECT 'models' AS \"table\", concat('[\"', description, '\"]') AS key, count(*) AS n FROM models GROUP BY description HAVING count(*) > 1")
+register("verify_schema", lambda s, d: upserts.verify_schema(doubled(s, d)), "SELECT 'modules_unique' AS \"constraint\", 'modules' AS \"table\", 'name' AS key, true AS holds UNION ALL SELECT 'models_unique', 'models', 'name', false UNION ALL SELECT 'fields_unique', 'fields', 'name,model_name', true UNION ALL SELECT 'views_unique', 'views', 'xml_id', true", twins=False)
 
 # ---- changes
 _STATE = """WITH prev AS (SELECT concat('d', doc_id) AS path, sha256(text) AS h FROM documents),
@@ -121,6 +125,12 @@ cur AS (SELECT concat('d', d.doc_id) AS path, CASE WHEN quality = 1 THEN sha256(
   UNION ALL SELECT concat('b', item_id), sha256(text) FROM benchmark) """
 
 
+def doubled(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph with models named by their descriptions, which several share."""
+    g = derive.graph(spark, sf_dir)
+    return Graph(g.modules, g.models.withColumn("name", F.col("description")), g.fields, g.views, g.edges)
+
+
 def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """An earlier and a current state of files: all documents, and then the labelled ones, those of low quality edited, with the benchmark's items."""
     docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
@@ -142,7 +152,8 @@ _KINDS = " ".join(f"WHEN contains(lower(html), '<{k}') THEN '{k}'" for k in ("na
 register("view_type_detect", lambda s, d: read(s, d, "pages").select("page_id", scalars.view_kind(F.col("html"), ("nav", "article", "form")).alias("kind")), f"SELECT page_id, CASE {_KINDS} ELSE 'unknown' END AS kind FROM pages", twins=False)
 register("extract_links", lambda s, d: read(s, d, "pages").select("page_id", F.explode(scalars.links(F.col("html"))).alias("link")), "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages", twins=False)
 register("qualify_ids", lambda s, d: read(s, d, "part").select("p_partkey", scalars.qualified(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("x."), "p_name")).otherwise(F.col("p_name"))).alias("xml_id")), "SELECT p_partkey, CASE WHEN contains(CASE WHEN p_partkey % 2 = 0 THEN 'x.' || p_name ELSE p_name END, '.') THEN CASE WHEN p_partkey % 2 = 0 THEN 'x.' || p_name ELSE p_name END ELSE concat(p_brand, '.', p_name) END AS xml_id FROM part", twins=False)
-register("serialise_values", lambda s, d: read(s, d, "nation").select("n_nationkey", scalars.serialised(F.array("n_regionkey", "n_nationkey"), True).alias("value")), "SELECT n_nationkey, concat('[', n_regionkey, ',', n_nationkey, ']') AS value FROM nation", twins=False)
+register("serialise_values", lambda s, d: read(s, d, "part").select("p_partkey", scalars.serialised(F.split("p_name", " "), True).alias("value"), scalars.serialised(F.col("p_size"), False).alias("plain")), "SELECT p_partkey, concat('[\"', replace(p_name, ' ', '\",\"'), '\"]') AS value, p_size AS plain FROM part", twins=False)
+register("first_items", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(scalars.first_items(F.split("p_name", " "), 1), "|").alias("first"), F.array_join(scalars.first_items(F.split("p_type", " ")), "|").alias("three")), "SELECT p_partkey, string_split(p_name, ' ')[1] AS first, array_to_string(string_split(p_type, ' ')[1:3], '|') AS three FROM part", twins=False)
 register("split_lists", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(scalars.csv_list(F.concat(F.lit(" "), F.regexp_replace("p_name", " ", " ,, "))), "|").alias("parts")), "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(concat(' ', replace(p_name, ' ', ' ,, ')), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM part", twins=False)
 register("base_names", lambda s, d: derive.models(s, d).select("name", scalars.base_name(F.col("file_path")).alias("file"), scalars.shortened(F.col("description"), 10).alias("short")), "SELECT name, string_split(file_path, '/')[-1] AS file, substr(coalesce(description, ''), 1, 10) AS short FROM models")
 
@@ -188,3 +199,23 @@ register("parse_manifests_strict", lambda s, d: parsed_modules(s, d, True), "SEL
 register("parse_models", lambda s, d: parsed_defs(s, d).select("name", "class_name", "model_type", F.array_join("inherits", "|").alias("inherits"), "description", "line_number"), "SELECT CAST(p_partkey AS VARCHAR) AS name, 'Part' AS class_name, 'redefined' AS model_type, p_brand AS inherits, p_type AS description, 3 AS line_number FROM part", twins=False)
 register("parse_fields", lambda s, d: records.fields(parsed_defs(s, d)).select("name", "model_name", "field_type", "string", "required", "comodel_name", "default", "default_type"), "SELECT 'size' AS name, CAST(p_partkey AS VARCHAR) AS model_name, 'Integer' AS field_type, 'Size' AS string, true AS required, CAST(NULL AS VARCHAR) AS comodel_name, CAST(p_size AS VARCHAR) AS \"default\", 'int' AS default_type FROM part UNION ALL SELECT 'maker', CAST(p_partkey AS VARCHAR), 'Many2one', NULL, NULL, p_brand, NULL, NULL FROM part", twins=False)
 register("parse_views", lambda s, d: records.views(syntax.parse_records(view_texts(s, d)), view_texts(s, d)).select("xml_id", "name", "model", "view_type", "module", "inherit_id", "priority", "mode"), "SELECT xml_id, name, model, view_type, module, inherit_id, 16 AS priority, CASE WHEN inherit_id IS NULL THEN 'primary' ELSE 'extension' END AS mode FROM views")
+
+# ---- whole runs, over source trees written from tables
+_DEPENDS = "SELECT a.name AS src, b.name AS dst FROM mods a JOIN mods b ON b.name = concat('m', a.s_nationkey)"
+_PARENTS = "SELECT a.name AS src, b.name AS dst FROM files a JOIN files b ON b.p_partkey = a.p_partkey - 1"
+_SHOWN = "SELECT concat(m.name, '.v') AS src, f.name AS dst FROM mods m JOIN files f ON f.p_partkey = m.s_suppkey"
+
+
+def tree_query(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    register(name, query, TREES + sql, twins=False)
+
+
+tree_query("index_modules", lambda s, d: trees.model_graph(s, d).modules.select("name", "display_name", "version", "installable", F.array_join("depends", "|").alias("depends")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, s_acctbal > 0 AS installable, concat('m', s_nationkey) AS depends FROM mods")
+tree_query("index_models", lambda s, d: trees.model_graph(s, d).models.select("name", "module", "description", "class_name", "line_number"), "SELECT name, module, p_type AS description, 'Part' AS class_name, 3 AS line_number FROM files")
+tree_query("index_fields", lambda s, d: trees.model_graph(s, d).fields.select("name", "model_name", "field_type", "default", "comodel_name"), "SELECT 'size' AS name, name AS model_name, 'Integer' AS field_type, CAST(p_size AS VARCHAR) AS \"default\", CAST(NULL AS VARCHAR) AS comodel_name FROM files UNION ALL SELECT 'same', name, 'Many2one', NULL, name FROM files")
+tree_query("index_views", lambda s, d: trees.model_graph(s, d).views.select("xml_id", "name", "model", "view_type", "module", "line_number"), "SELECT concat(name, '.v') AS xml_id, display_name AS name, concat('part.', s_suppkey) AS model, 'kanban' AS view_type, name AS module, 0 AS line_number FROM mods")
+tree_query("index_edges", lambda s, d: trees.model_graph(s, d).typed_edges("DEPENDS_ON", "INHERITS_FROM", "DEFINED_IN", "REFERENCES", "DISPLAYS", "BELONGS_TO"), f"SELECT *, 'DEPENDS_ON' AS rel_type, CAST(NULL AS VARCHAR) AS field FROM ({_DEPENDS}) UNION ALL SELECT *, 'INHERITS_FROM', NULL FROM ({_PARENTS}) UNION ALL SELECT name, module, 'DEFINED_IN', NULL FROM files UNION ALL SELECT name, name, 'REFERENCES', 'same' FROM files UNION ALL SELECT *, 'DISPLAYS', NULL FROM ({_SHOWN}) UNION ALL SELECT name, name, 'BELONGS_TO', unnest(['same', 'size']) FROM files")
+tree_query("index_class_edges", lambda s, d: trees.class_graph(s, d).typed_edges("CONTAINS", "INHERITS", "DISPLAYS"), f"SELECT module AS src, concat(module, ':', name) AS dst, 'CONTAINS' AS rel_type, CAST(NULL AS VARCHAR) AS field FROM files UNION ALL SELECT name, concat(name, '.v'), 'CONTAINS', NULL FROM mods UNION ALL SELECT concat(a.module, ':', a.name), concat(b.module, ':', b.name), 'INHERITS', NULL FROM ({_PARENTS}) e JOIN files a ON a.name = src JOIN files b ON b.name = dst UNION ALL SELECT src, concat(module, ':', dst), 'DISPLAYS', NULL FROM ({_SHOWN}) e JOIN files f ON f.name = dst")
+tree_query("index_counts", lambda s, d: index.run_report(trees.indexed(s, d)[1], trees.model_graph(s, d), trees.indexed(s, d)[2]).filter("name <> 'seconds'"), f"SELECT 'modules' AS name, CAST(count(*) AS DOUBLE) AS n FROM mods UNION ALL SELECT 'defs', count(*) FROM files UNION ALL SELECT 'fields', 2 * count(*) FROM files UNION ALL SELECT 'views', count(*) FROM mods UNION ALL SELECT 'broken', 0 UNION ALL SELECT 'errors', 0 UNION ALL SELECT 'state', (SELECT count(*) FROM files) + 2 * count(*) FROM mods UNION ALL SELECT 'relationships', (SELECT count(*) FROM ({_DEPENDS})) + (SELECT count(*) FROM ({_PARENTS})) + (SELECT count(*) FROM ({_SHOWN})) + 4 * (SELECT count(*) FROM files)")
+tree_query("index_refresh", trees.refreshed, "SELECT CASE WHEN p_size BETWEEN 1 AND 5 THEN 'modified' WHEN p_size BETWEEN 6 AND 9 THEN 'deleted' ELSE 'unchanged' END AS change, count(*) + CASE WHEN any_value(p_size) > 9 THEN 2 * (SELECT count(*) FROM mods) ELSE 0 END AS n FROM files GROUP BY 1 UNION ALL SELECT 'new', count(*) FROM mods")
+tree_query("find_module_in_tree", lambda s, d: index.find_module(s, trees.indexed(s, d)[0], "m7").select("name", "display_name", "version", F.array_join("depends", "|").alias("depends")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, concat('m', s_nationkey) AS depends FROM mods WHERE name = 'm7'")

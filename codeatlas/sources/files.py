@@ -30,7 +30,7 @@ def _file_system(root: str):
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
 
 
-def listing(spark: SparkSession, root: str, hidden: bool = False, most: int = 64) -> DataFrame:
+def listing(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
     """All entries below a root (path, parent, name, is_dir, length, modified, depth), paths relative to it; dot-directories only if hidden.
 
     depth is the number of directories above an entry, so files of the root have depth 0. Links to directories aren't followed, and
@@ -59,14 +59,13 @@ def listing(spark: SparkSession, root: str, hidden: bool = False, most: int = 64
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "parent", "name", "is_dir", "length", "modified", "depth"])
 
     level, out = spark.createDataFrame([("", 0)], "path string, depth int"), None
-    for _ in range(most):
+    while True:
         found = settled(level.mapInArrow(children, LISTED), "listing")
         out = found if out is None else out.unionByName(found)
         level = found.filter("is_dir").select("path", (F.col("depth") + 1).alias("depth"))
         if level.isEmpty():
             return out
         level = level.repartition("path")
-    raise RecursionError(f"more than {most} levels of directories")
 
 
 def contents(files: DataFrame, root: str) -> DataFrame:

@@ -26,20 +26,21 @@ class Extracted:
 def extract(spark: SparkSession, root: str, strict: bool = False, intended: bool = True, max_depth: int | None = 3, known: DataFrame | None = None) -> Extracted:
     """Records of a tree. known: a former state; files with an unchanged hash are then not parsed again.
 
-    Module rows and the owners of files always cover the whole tree, as they decide what every other file belongs to.
+    Module rows and the owners of files always cover the whole tree, as they decide what every other file belongs to. Only the strict reading
+    leaves out files that are too large.
     """
     listed = settled(files.listing(spark, root, hidden=strict), "tree")
     found = settled(files.module_directories(listed, max_depth, inclusive=not strict, hidden=strict), "modules")
-    small = F.col("manifest_bytes") <= files.MANIFEST_BYTES
-    manifests = syntax.parse_manifests(files.contents(found.filter(small).select(F.col("manifest").alias("path")), root))
+    under = lambda c, most: F.col(c) <= most if strict else F.lit(True)
+    manifests = syntax.parse_manifests(files.contents(found.filter(under("manifest_bytes", files.MANIFEST_BYTES)).select(F.col("manifest").alias("path")), root))
     modules = settled(records.modules(found, manifests, strict), "module-records")
     inside = settled(files.module_files(listed, found).filter(files.is_watched_file()), "module-files")
     state = settled(files.states(inside, root, time.time()), "state")
     if known is not None:
         inside = inside.join(changes.changed(known, state).select("path"), "path", "left_semi")
-    python = inside.filter(files.is_model_file(strict) & (F.col("length") <= files.PYTHON_BYTES))
-    xml = inside.filter(files.is_view_file() & (F.col("length") <= files.XML_BYTES))
-    classes = settled(syntax.parse_classes(files.contents(python, root)), "classes")
+    python = inside.filter(files.is_model_file(strict) & under("length", files.PYTHON_BYTES))
+    xml = inside.filter(files.is_view_file() & under("length", files.XML_BYTES))
+    classes = settled(syntax.parse_classes(files.contents(python, root), strict), "classes")
     found_views = settled(syntax.parse_records(files.contents(xml, root)), "records")
     defs = settled(records.model_definitions(classes, python, strict), "definitions")
     owners = defs if strict else _field_owners(defs, intended)
@@ -159,6 +160,23 @@ def refresh(spark: SparkSession, root: str, store: str, strict: bool = False, in
     return told.groupBy("change").agg(F.count("*").alias("n"))
 
 
+def find_module(spark: SparkSession, root: str, name: str, strict: bool = True, max_depth: int | None = 3) -> DataFrame:
+    """The record of one module of a tree, by the name of its directory: only its own manifest is read."""
+    listed = settled(files.listing(spark, root, hidden=strict), "tree")
+    found = files.module_directories(listed, max_depth, inclusive=not strict, hidden=strict).filter(F.col("module") == name)
+    return records.modules(found, syntax.parse_manifests(files.contents(found.select(F.col("manifest").alias("path")), root)), strict)
+
+
+def run_report(x: Extracted, graph: Graph, seconds: float) -> DataFrame:
+    """run_counts() with the run's errors (broken files and errors of modules), relationships and duration: name, n."""
+    errors = x.broken.select(F.lit(1).alias("e")).unionByName(x.modules.select(F.explode("errors")).select(F.lit(1).alias("e"))).agg(F.count("*").alias("n"))
+    more = [errors.select(F.lit("errors").alias("name"), F.col("n").cast("double").alias("n")), graph.typed_edges().agg(F.count("*").cast("double").alias("n")).select(F.lit("relationships").alias("name"), "n"), x.modules.sparkSession.createDataFrame([("seconds", float(seconds))], "name string, n double")]
+    out = run_counts(x).withColumn("n", F.col("n").cast("double"))
+    for part in more:
+        out = out.unionByName(part)
+    return out
+
+
 def run_counts(x: Extracted) -> DataFrame:
     """name, n: what a run has found."""
     out = None

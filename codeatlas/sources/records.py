@@ -114,7 +114,7 @@ def fields(defs: DataFrame, strict: bool = False, intended: bool = True) -> Data
 
 
 def views(parsed: DataFrame, owners: DataFrame, intended: bool = True) -> DataFrame:
-    """One row a view record. Plain rules drop views whose priority is no whole number."""
+    """One row a view record; lines aren't known, so line_number is 0. Plain rules drop views whose priority is no whole number."""
     rows = parsed.filter("error is null").join(owners.select("path", "module"), "path")
     f = lambda n: F.col("fields").getItem(n)
     said = lambda n: F.when(f(n).isNotNull(), F.coalesce(F.when(f(n)["ref"] != "", f(n)["ref"]), f(n)["text"], F.lit("")))
@@ -130,7 +130,7 @@ def views(parsed: DataFrame, owners: DataFrame, intended: bool = True) -> DataFr
         whole = number.isNotNull()
     errors = F.array_compact(F.array(F.when(F.col("id") == "", "missing id"), F.when((F.coalesce(F.col("model"), F.lit("")) == "") & F.col("inherit_id").isNull(), "neither model nor inherited view")))
     out = rows.withColumn("p", priority).withColumn("e", f("priority")["eval"]).filter(whole)
-    out = out.select("id", qualified(F.col("module"), F.col("id")).alias("xml_id"), F.coalesce(said("name"), F.lit("")).alias("name"), F.coalesce(said("model"), F.lit("")).alias("model"), kind.alias("view_type"), "module", inherit.alias("inherit_id"), number.alias("priority"), F.when(inherit.isNotNull(), "extension").otherwise("primary").alias("mode"), F.col("path").alias("file_path"), F.col("position").alias("position"))
+    out = out.select("id", qualified(F.col("module"), F.col("id")).alias("xml_id"), F.coalesce(said("name"), F.lit("")).alias("name"), F.coalesce(said("model"), F.lit("")).alias("model"), kind.alias("view_type"), "module", inherit.alias("inherit_id"), number.alias("priority"), F.when(inherit.isNotNull(), "extension").otherwise("primary").alias("mode"), F.col("path").alias("file_path"), F.lit(0).alias("line_number"), F.col("position").alias("position"))
     return out.withColumn("errors", errors).drop("id")
 
 

@@ -80,10 +80,17 @@ def dotted(node: ast.AST) -> str | None:
     return None
 
 
-def classes(content: bytes) -> Iterator[tuple]:
-    """Every class of a file, nested ones too, with the plain assignments in its body: literals to underscored names, and calls."""
+def classes(content: bytes, strict: bool = False) -> Iterator[tuple]:
+    """Every class of a file, nested ones too, with the plain assignments in its body: literals to underscored names, and calls.
+
+    strict: a file that isn't UTF-8 is an error.
+    """
+    text, utf8 = decoded(content)
+    if strict and not utf8:
+        yield None, None, None, None, None, "not UTF-8"
+        return
     try:
-        tree = ast.parse(decoded(content)[0])
+        tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as e:
         yield None, None, None, None, None, f"{type(e).__name__}: {e}"
         return
@@ -145,8 +152,8 @@ def parse_manifests(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_rows(manifest, _names(MANIFEST), False), MANIFEST)
 
 
-def parse_classes(files: DataFrame) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_rows(classes, _names(CLASS), True), CLASS)
+def parse_classes(files: DataFrame, strict: bool = False) -> DataFrame:
+    return files.select("path", "content").mapInPandas(_rows(lambda content: classes(content, strict), _names(CLASS), True), CLASS)
 
 
 def parse_records(files: DataFrame) -> DataFrame:
