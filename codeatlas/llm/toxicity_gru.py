@@ -2,14 +2,14 @@
 
 Each word enters as an embedding of its hash beside the mean embedding of its character n-grams. The network is trained in
 numpy on the driver from at most FIT_ROWS labelled texts outside the held-out fold, a third of them toxic at most, and scores
-all windows of SPAN words, each STRIDE words after the last, of every whole text; a text's score is its highest window's.
+all windows of SPAN words, each STRIDE words (half a window) after the last, of every whole text; a text's score is its highest window's.
+A text of over FIT_WORDS words is trained on by that many of its words, in runs of SPAN from places that a hash draws, so the driver holds
+at most FIT_ROWS times FIT_WORDS words.
 As only whole texts have labels, training takes the windows that score highest so far, of toxic and of clean texts alike.
 The last bias is then moved by the log odds between the sample's share of toxic texts and that of all labels.
 
-A word that follows itself at once is read once: runs of one word say nothing new, and would drive the state off its range.
-
 Defined results: a text without words, or null, scores 0. Repeated rows get equal scores, one row each. Without labels of both
-classes every score is 0. Null doc_id counts as not held out. An empty table gives an empty result. Other columns are ignored.
+classes every score is 0. Null doc_id counts as not held out. A labelled doc_id with several texts is trained on by the least of them. An empty table gives an empty result. Other columns are ignored.
 """
 
 import numpy as np
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample, texts_of
-from .shared import pieces, slices, text_bytes
-from .words import Words
+from .shared import pieces, released, slices, text_bytes
+from .words import Words, mix
 
 FIT_ROWS, THRESHOLD = 4_500, 0.7
-SPAN, STRIDE = 64, 56
+FIT_WORDS, SPAN, STRIDE = 4096, 64, 32
 WORDS, CHARS, E, H, A = 1 << 18, 1 << 16, 8, 8, 8
 f32 = np.float32
 
@@ -32,13 +32,8 @@ class Vocabulary:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         w = Words(data, offsets, lower=True)
-        every, keep = w.hashes(), np.ones(len(w.starts), bool)
-        keep[1:] = every[1:] != every[:-1]
-        keep[w.first[:-1][w.counts > 0]] = True
-        hashes, one, self.at = np.unique(every[keep], return_index=True, return_inverse=True)
-        one = np.flatnonzero(keep)[one]
-        self.first = np.append(0, np.cumsum(keep))[w.first]
-        self.counts = np.diff(self.first)
+        hashes, one, self.at = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        self.first, self.counts = w.first, w.counts
         self.hashes, self.word = hashes, (hashes % WORDS).astype(np.int64)
         starts, ends = w.starts[one], w.ends[one]
         grams, owner = [], []
@@ -244,10 +239,27 @@ def scores(net: ToxicNet, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def shortened(batches):
+    """(doc_id, text, y) with FIT_WORDS words of a longer text: runs of SPAN words, one from each of as many equal parts, where a hash of the part says."""
+    for batch in batches:
+        for rows, data, offsets in pieces(batch):
+            w, texts = Words(data, offsets), []
+            for k in range(rows.num_rows):
+                raw, (a, b) = data[offsets[k] : offsets[k + 1]], w.first[k : k + 2]
+                if b - a > FIT_WORDS:
+                    runs = FIT_WORDS // SPAN
+                    borders = np.linspace(a, b, runs + 1).astype(np.int64)
+                    at = borders[:-1] + (mix(np.arange(runs, dtype=np.uint64) + w.hashes()[borders[:-1]]) % np.maximum(np.diff(borders) - SPAN, 1).astype(np.uint64)).astype(np.int64)
+                    raw = b" ".join(data[w.starts[i] : w.ends[i + SPAN - 1]].tobytes() for i in at.tolist())
+                texts.append(bytes(raw).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), rows.column(2)], ["doc_id", "text", "y"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicNet:
     """A network of labels.toxic from at most `rows` labelled texts of the training fold."""
     chosen = sample(labels, "toxic", fold(3) != 1, rows, balanced=True)
-    found = texts_of(docs, chosen).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    read = texts_of(docs, chosen).mapInArrow(released(shortened), "doc_id long, text string, y int")
+    found = read.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     y = found["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return ToxicNet()
@@ -267,5 +279,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
             for part, data, offsets in pieces(batch, most=1 << 21):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(net.value, data, offsets))], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(scored), "doc_id long, score double")
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
