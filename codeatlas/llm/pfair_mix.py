@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .shared import small, written
 
-BLOCK_CHARS, BUCKETS, POWER = 1 << 18, 1024, 0.7
+BLOCK_CHARS, BUCKET_ROWS, POWER = 1 << 18, 4096, 0.7
 PLAN = "source string, k long, t long, real boolean"
 
 
@@ -129,7 +129,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], block_chars: int =
     """doc_id, source, size, block, slot and in_mix for each row of docs (doc_id, source, text), and the columns to carry."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.length(text).cast("long").alias("size"), F.xxhash64(text).alias("tie"), *([F.struct(*carry).alias("carried")] if carry else []))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)).cast("int"))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("before", F.expr("coalesce(sum(sum) over (partition by source order by bucket rows between unbounded preceding and 1 preceding), 0L)")).withColumn("total", F.expr("sum(sum) over (partition by source)")).drop("sum")
     sums = written(sums, "mix-sums")
