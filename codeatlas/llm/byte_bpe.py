@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding (operator 5) by a shuffle of the distinct words of the whole corpus.
 
 Texts are cut into pre-tokens with their positions. Documents are taken in lists of about LIST_BYTES of text; a document's row keeps, for
-each position, the number of its word in the list, and each distinct word of a list is exploded to a row of its own. The words' rows are
-shuffled and sorted by word, so each distinct word of the corpus is encoded once, beside all lists that have it; its ids are joined back to
-these, and every list reassembles its documents by position. Positions are written once, bucketed by list, so that they never move again.
-Decoding looks ids up in the table of token bytes, whose size the vocabulary fixes.
+each position, the number of its word in the list. The distinct words of a list are exploded to PACKS rows by their hash, each with a packed
+array of words and their numbers. These rows are shuffled and sorted by pack, so each distinct word of the corpus is encoded once, beside
+all lists that have it; its ids are joined back to these, and every list reassembles its documents by position. Positions are written
+once, bucketed by list, so that they never move again. Decoding looks ids up in the table of token bytes, whose size the vocabulary fixes.
 
 Defined results: null and empty texts have no tokens and hash as empty bytes. Repeated rows and repeated or null doc_ids give one
 result row each. Texts are taken whole at any length. An empty table gives an empty result. Other columns are ignored.
@@ -17,16 +17,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segment import Distinct, ragged
 from .shared import parts, released, shared_dir, slices, text_bytes
+from .words import Spans, mix
 
 #: Bytes of text whose words share one list, and bytes of text that are cut at once.
 LIST_BYTES, PIECE = 16 << 20, 1 << 20
-#: Bytes of ids and text that a task hands on at once, and words.
-OUT_BYTES, OUT_WORDS = 4 << 20, 1 << 14
+#: Bytes of ids and text that a task hands on at once.
+OUT_BYTES = 4 << 20
 
 
 @functools.cache
@@ -42,20 +44,38 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-#: A list's number has its task above LIST_BITS; a word's spot has the list's number above WORD_BITS, and the word's number in the list.
-LIST_BITS, WORD_BITS = 18, 26
-LISTED = "list long, doc_id long, at array<int>, spot long, word string"
-LISTED_ARROW = pa.schema([("list", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("spot", pa.int64()), ("word", pa.string())])
+#: Parts of all words by hash: a task remembers the words of one of them.
+PACKS = 1024
+LISTED = "list long, doc_id long, at array<int>, pack int, words binary, sizes binary, numbers binary"
+LISTED_ARROW = pa.schema([("list", pa.int64()), ("doc_id", pa.int64()), ("at", pa.list_(pa.int32())), ("pack", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("numbers", pa.binary())])
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """An array's bytes, all first ones before all second ones and so on, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def unsqueeze(b: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def pack_of(words: list[bytes]) -> np.ndarray:
+    """The pack of each word, by a hash of its bytes."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    h = Spans(mix(np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1))).hash(ends - sizes, ends)
+    return (h % np.uint64(PACKS)).astype(np.int32)
 
 
 def listing(batches):
-    """(doc_id, text) to rows of documents (list, doc_id, at) and rows of words (list, spot, word): at holds the numbers of a document's words, in order.
+    """(doc_id, text) to rows of documents (list, doc_id, at) and rows of words (list, pack, words, sizes, numbers): at holds the numbers of a document's words, in order.
 
     A list's words are numbered by falling frequency, so that most numbers are small.
     """
     from pyspark import TaskContext
 
-    number, place, ids, places, sizes, held = TaskContext.get().partitionId() << LIST_BITS, {}, [], [], [], 0
+    number, place, ids, places, sizes, held = TaskContext.get().partitionId() << 32, {}, [], [], [], 0
     for batch in batches:
         _, offsets = text_bytes(batch.column(1))
         for i, j in slices(offsets, PIECE):
@@ -78,9 +98,16 @@ def listed(number: int, place: dict[str, int], ids: list, places: list[np.ndarra
     rank[often] = np.arange(len(often), dtype=np.int32)
     at, words = rank[at], list(place)
     place.clear()
-    for i in range(0, len(often), OUT_WORDS):
-        own = [words[k] for k in often[i : i + OUT_WORDS].tolist()]
-        yield columns(list=np.full(len(own), number), spot=(number << WORD_BITS) + np.arange(i, i + len(own)), word=own)
+    words = [words[k].encode() for k in often.tolist()]
+    pack = pack_of(words)
+    order = np.argsort(pack, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(pack[order], prepend=-1)), len(order))
+    rows = []
+    for i, j in itertools.pairwise(cuts.tolist()):
+        own = [words[k] for k in order[i:j].tolist()]
+        rows.append((pack[order[i]], squeeze(np.frombuffer(b"".join(own), np.uint8)), squeeze(np.fromiter(map(len, own), np.uint32, j - i)), squeeze(order[i:j].astype(np.uint32))))
+    if rows:
+        yield columns(list=np.full(len(rows), number), **dict(zip(("pack", "words", "sizes", "numbers"), zip(*rows, strict=True), strict=True)))
     ends = np.cumsum(sizes)
     cuts = np.searchsorted(ends, np.arange(OUT_BYTES // 4, ends[-1] + OUT_BYTES // 4, OUT_BYTES // 4), "right") if len(ends) else []
     for i, j in itertools.pairwise(sorted({0, *np.minimum(np.asarray(cuts, np.int64) + 1, len(ids)).tolist(), len(ids)})):
@@ -96,18 +123,27 @@ def columns(**given) -> pa.RecordBatch:
 
 
 def coding(path: str, pattern: str):
-    """Rows (spot, word), sorted by word, to (spot, ids): a word is encoded at its first row, and its ids go to all rows of it."""
+    """Rows (list, pack, words, sizes, numbers), sorted by pack, to (list, numbers, ids, counts): each word of a pack is encoded once."""
 
     def run(batches):
-        encode, table, last, ids = encoding(path, pattern).encode_ordinary, ranks(path), None, b""
+        encode, table, last, known = encoding(path, pattern).encode_ordinary, ranks(path), None, {}
+
+        def ids_of(w: bytes) -> tuple[int, ...]:
+            found = known.get(w)
+            if found is None:
+                found = known[w] = (table[w],) if w in table else tuple(encode(w.decode()))
+            return found
+
         for batch in batches:
-            found = []
-            for w in batch.column(1).to_pylist():
-                if w != last:
-                    last, own = w, table.get(w.encode())
-                    ids = np.array(encode(w) if own is None else [own], "<u4").tobytes()
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["spot", "ids"])
+            out = []
+            for pack, data, sizes in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if pack != last:
+                    last, known = pack, {}
+                raw, ends = unsqueeze(data, np.uint8).tobytes(), np.cumsum(unsqueeze(sizes, np.uint32).astype(np.int64)).tolist()
+                found = [ids_of(raw[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                n = np.fromiter(map(len, found), np.uint32, len(found))
+                out.append((squeeze(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(n.sum()))), squeeze(n)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array([x[k] for x in out], pa.binary()) for k in (0, 1))], ["of", "numbers", "ids", "counts"])
 
     return run
 
@@ -132,14 +168,13 @@ def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).astype(np.int64)
 
 
-def flat_ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a column of ids as bytes."""
-    lists = column.to_pylist()
-    return np.frombuffer(b"".join(lists), "<u4").astype(np.int32), np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+def joined(column: pa.ChunkedArray) -> np.ndarray:
+    """All values of a column of squeezed arrays."""
+    return np.concatenate([np.zeros(0, np.uint32), *(unsqueeze(x, np.uint32) for x in column.to_pylist())])
 
 
 def reassembling(path: str):
-    """The documents of one list (doc_id, at) and the ids of its words (spot, ids) to one row for each document."""
+    """The documents of one list (doc_id, at) and the ids of its words (numbers, ids, counts) to one row for each document."""
 
     def run(_key, docs: pa.Table, words: pa.Table) -> pa.Table:
         rows, done, held = [], [], 0
@@ -148,9 +183,9 @@ def reassembling(path: str):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
 
         length, table, begin = token_bytes(path)
-        ids, n = flat_ids(words.column("ids"))
+        ids, n = joined(words.column("ids")).astype(np.int32), joined(words.column("counts")).astype(np.int64)
         row = np.empty(len(n), np.int64)
-        row[words.column("spot").to_numpy() & ((1 << WORD_BITS) - 1)] = np.arange(len(n))
+        row[joined(words.column("numbers"))] = np.arange(len(n))
         first = np.cumsum(n) - n
         at, sizes = flat(docs.column("at")) if docs.num_rows else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         end = 0
@@ -176,7 +211,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     # a table bucketed by list: the join by list below finds the positions where they are
     texts.mapInArrow(released(listing), LISTED).write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "list").saveAsTable(name)
     made = spark.table(name)
-    words = made.filter("word is not null").select("spot", "word").repartition(n, "word").sortWithinPartitions("word")
-    ids = words.mapInArrow(released(coding(path, pattern)), "spot long, ids binary").select(F.shiftright("spot", WORD_BITS).alias("of"), "spot", "ids")
+    words = made.filter("pack is not null").select("list", "pack", "words", "sizes", "numbers").repartition(n, "pack").sortWithinPartitions("pack")
+    ids = words.mapInArrow(released(coding(path, pattern)), "of long, numbers binary, ids binary, counts binary")
     places = made.filter("at is not null").select("list", "doc_id", "at")
     return places.groupBy("list").cogroup(ids.groupBy("of")).applyInArrow(reassembling(path), "doc_id long, n_tokens long, ids binary, decoded binary")
