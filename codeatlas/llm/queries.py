@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, hyperminhash, linmaxmatch, pfair_mix, quality_gam, repair_grammar, robust_rules, toxicity_gru, vafile
+from . import byte_bpe, html_extract, hyperminhash, line_bloom, linmaxmatch, pfair_mix, quality_gam, repair_grammar, robust_rules, toxicity_gru, vafile
 from .shared import table
 
 
@@ -61,15 +61,20 @@ def op10_linmaxmatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linmaxmatch.token_counts(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_line_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_bloom.drop_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_html_consensus_paths, op3_vafile_topk, op4_toxicity_gru, op5_byte_bpe, op6_hyperminhash_dedup, op7_pfair_mix, op8_repair_token_ids, op9_mcd_quality_rules, op10_linmaxmatch_counts, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_html_consensus_paths, op3_vafile_topk, op4_toxicity_gru, op5_byte_bpe, op6_hyperminhash_dedup, op7_pfair_mix, op8_repair_token_ids, op9_mcd_quality_rules, op10_linmaxmatch_counts, op11_line_bloom_dedup, pipeline)}
 
-#: Equal to op3: the candidates, scores and ranks of a full scan. The other operators have no SQL twin and are tested against brute force.
+#: op3: the candidates, scores and ranks of a full scan. Operators without an SQL twin are tested against brute force.
 ORACLES = {
     "op3_vafile_topk": """
 WITH v AS (
@@ -80,5 +85,15 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_line_bloom_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, i, lines[i] AS line FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d) x),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+h AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT r, i, doc_id, line, last IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN h USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
 """,
 }

@@ -123,3 +123,25 @@ def shape_counts(w: Words) -> dict[str, np.ndarray]:
         covered[found + k] = True
     out["n_repeat_words"] = np.bincount(word_doc, covered, n).astype(np.int64)
     return out
+
+
+def equal_slices(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Whether a[x : x + n] and b[y : y + n] hold the same bytes, for each start and length; about that many bytes are compared at once."""
+    out = np.ones(len(lengths), bool)
+    ends = np.cumsum(lengths)
+    i = 0
+    while i < len(lengths):
+        before = ends[i] - lengths[i]
+        j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
+        n = lengths[i:j]
+        first = ends[i:j] - n - before
+        for at in range(0, int(n.sum()) if j == i + 1 else 1, most):  # a slice of more bytes than that is compared in parts
+            if j == i + 1:
+                size = min(most, int(n[0]) - at)
+                out[i] &= bool((a[a_starts[i] + at : a_starts[i] + at + size] == b[b_starts[i] + at : b_starts[i] + at + size]).all())
+            else:
+                k = np.arange(int(n.sum()))
+                bad = a[k + np.repeat(a_starts[i:j] - first, n)] != b[k + np.repeat(b_starts[i:j] - first, n)]
+                out[i:j][np.unique(np.searchsorted(ends[i:j] - before, k[bad], "right"))] = False
+        i = j
+    return out
