@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, html_extract, hyperminhash, line_bloom, linmaxmatch, pfair_mix, quality_gam, repair_grammar, robust_rules, toxicity_gru, vafile
+from . import byte_bpe, centroids, html_extract, hyperminhash, line_bloom, linmaxmatch, pfair_mix, quality_gam, repair_grammar, robust_rules, toxicity_gru, vafile
 from .shared import table
 
 
@@ -66,13 +66,32 @@ def op11_line_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_gemm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_html_consensus_paths, op3_vafile_topk, op4_toxicity_gru, op5_byte_bpe, op6_hyperminhash_dedup, op7_pfair_mix, op8_repair_token_ids, op9_mcd_quality_rules, op10_linmaxmatch_counts, op11_line_bloom_dedup, pipeline)}
+def _rounds(n: int = 3) -> str:
+    """SQL of the rounds of op12: a<i> assigns vectors to the centroids c<i>, and c<i + 1> are what their means make of them."""
+    sql = ""
+    for i in range(n + 1):
+        sql += f"""
+x{i} AS (SELECT v.r, c.j, list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{i} c),
+a{i} AS (SELECT r, j, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, j) AS n FROM x{i}) y WHERE n = 1),"""
+        if i < n:
+            sql += f"""
+m{i} AS (SELECT j, list(m ORDER BY g) AS c FROM (
+  SELECT j, g, (sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM (SELECT j, unnest(v) AS y, unnest(range(64)) AS g FROM a{i} JOIN v USING (r)) z GROUP BY j, g) w GROUP BY j),
+c{i + 1} AS (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m USING (j)),"""
+    return sql
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_html_consensus_paths, op3_vafile_topk, op4_toxicity_gru, op5_byte_bpe, op6_hyperminhash_dedup, op7_pfair_mix, op8_repair_token_ids, op9_mcd_quality_rules, op10_linmaxmatch_counts, op11_line_bloom_dedup, op12_gemm_centroids, pipeline)}
 
 #: op3: the candidates, scores and ranks of a full scan. Operators without an SQL twin are tested against brute force.
 ORACLES = {
@@ -95,5 +114,15 @@ m AS (SELECT r, i, doc_id, line, last IS NOT NULL AND doc_id IS DISTINCT FROM la
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r
+""",
+    "op12_gemm_centroids": f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS HUGEINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM v QUALIFY j < 16),{_rounds()}
+s AS (SELECT j, sum(d) AS own FROM a3 GROUP BY j)
+SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(own AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(own) FROM s) AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a3 a JOIN v USING (r) JOIN s USING (j) JOIN c3 c USING (j)
 """,
 }
