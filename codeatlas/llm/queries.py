@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, html_extract, hyperminhash, line_bloom, linmaxmatch, pfair_mix, quality_gam, repair_grammar, robust_rules, toxicity_gru, vafile
+from . import byte_bpe, centroids, html_extract, hyperminhash, line_bloom, linmaxmatch, pfair_mix, quality_gam, repair_grammar, robust_rules, source_divergence, toxicity_gru, vafile
 from .shared import table
 
 
@@ -70,6 +70,10 @@ def op12_gemm_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +95,7 @@ c{i + 1} AS (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m US
     return sql
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_html_consensus_paths, op3_vafile_topk, op4_toxicity_gru, op5_byte_bpe, op6_hyperminhash_dedup, op7_pfair_mix, op8_repair_token_ids, op9_mcd_quality_rules, op10_linmaxmatch_counts, op11_line_bloom_dedup, op12_gemm_centroids, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_gam, op2_html_consensus_paths, op3_vafile_topk, op4_toxicity_gru, op5_byte_bpe, op6_hyperminhash_dedup, op7_pfair_mix, op8_repair_token_ids, op9_mcd_quality_rules, op10_linmaxmatch_counts, op11_line_bloom_dedup, op12_gemm_centroids, op13_source_divergence, pipeline)}
 
 #: op3: the candidates, scores and ranks of a full scan. Operators without an SQL twin are tested against brute force.
 ORACLES = {
@@ -124,5 +128,28 @@ s AS (SELECT j, sum(d) AS own FROM a3 GROUP BY j)
 SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(own AS BIGINT) AS cluster_inertia,
   CAST((SELECT sum(own) FROM s) AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
 FROM a3 a JOIN v USING (r) JOIN s USING (j) JOIN c3 c USING (j)
+""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT r, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) x),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM c JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM l JOIN v USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+both_ AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """,
 }
