@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 EDGE_TYPES = ("DEPENDS_ON", "INHERITS_FROM", "DELEGATES_TO", "DEFINED_IN", "BELONGS_TO", "REFERENCES", "CONTAINS", "INHERITS", "DISPLAYS", "EXTENDS")
@@ -63,3 +63,10 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, name: str = "step", **metrics: Column) -> tuple[DataFrame, dict]:
+    """df settled, and aggregates of its rows taken while they were written."""
+    seen = Observation()
+    out = settled(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    return out, seen.get

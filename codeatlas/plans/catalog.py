@@ -13,7 +13,7 @@ from . import derive, trees
 from .derive import TWINS, read
 from .trees import TREES
 
-MODULE, MODEL, VIEW = "Supplier#000000001", "100", "0.0"
+MODULE, TARGET, MODEL, VIEW = "Supplier#000000001", "Supplier#000000007", "100", "0.0"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -61,10 +61,15 @@ register("dependency_cycles", lambda s, d: paths.dependency_cycles(derive.graph(
   SELECT r.st, e.dst, r.d + 1, list_append(r.tr, concat(e.src, '|', e.dst)), concat(r.p, '>', e.dst) FROM r JOIN depends e ON r.dst = e.src
   WHERE r.d < 10 AND NOT list_contains(r.tr, concat(e.src, '|', e.dst)))
 SELECT st AS module, d AS cycle_length, p AS cycle_path FROM r WHERE st = dst""")
-register("shortest_dependency_path", lambda s, d: paths.dependency_chains(derive.graph(s, d), MODULE).withColumn("path", F.array_join("path", ">")), f""", r AS (
+_CHAINS = f""", r AS (
   SELECT dst, 1 AS d, [src, dst] AS nd FROM depends WHERE src = '{MODULE}' AND dst <> src UNION ALL
   SELECT e.dst, r.d + 1, list_append(r.nd, e.dst) FROM r JOIN depends e ON r.dst = e.src WHERE r.d < 10 AND NOT list_contains(r.nd, e.dst))
-SELECT dst AS target, array_to_string(nd, '>') AS path, d AS depth FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY d, nd) AS rn FROM r) z WHERE rn = 1""")
+SELECT dst AS target, array_to_string(nd, '>') AS path, d AS depth FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY d, nd) AS rn FROM r) z WHERE rn = 1"""
+register("shortest_dependency_path", lambda s, d: paths.dependency_chains(derive.graph(s, d), MODULE).withColumn("path", F.array_join("path", ">")), _CHAINS)
+register("shortest_path_between", lambda s, d: paths.dependency_chain(derive.graph(s, d), MODULE, TARGET).withColumn("path", F.array_join("path", ">")), f"{_CHAINS} AND dst = '{TARGET}'".replace("dst AS target, ", "", 1))
+register("dependency_components", on_graph(paths.dependency_components), """, r AS (SELECT DISTINCT src, dst FROM depends UNION SELECT r.src, e.dst FROM r JOIN depends e ON r.dst = e.src),
+m AS (SELECT a.src AS module, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
+SELECT module, component, count(*) OVER (PARTITION BY component) AS size FROM m""")
 register("model_neighbourhood", on_graph(paths.neighbourhood, "1000"), """, e0 AS (
   SELECT src, dst, 'INHERITS_FROM' AS ty, concat('I', src, '|', dst) AS id FROM inherits UNION ALL SELECT src, dst, 'DELEGATES_TO', concat('D', src, '|', dst, field) FROM delegates),
 e AS (SELECT src AS a, dst AS b, ty, id FROM e0 UNION ALL SELECT dst, src, ty, id FROM e0),

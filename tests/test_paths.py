@@ -44,6 +44,57 @@ def test_chains_are_shortest(spark):
         paths.dependency_chain(g, "m0", "m0")
 
 
+def graph_of(spark, edges, n):
+    nodes = spark.createDataFrame([(f"m{k}",) for k in range(n)], "name string")
+    return Graph(nodes, nodes, nodes, nodes, {"DEPENDS_ON": spark.createDataFrame(edges, "src string, dst string")})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chain_between_two(spark, seed):
+    """Each pair's chain from two fronts is that of the search from one side; no row where there is none or it is too long."""
+    r = random.Random(seed)
+    edges = sorted({(f"m{r.randrange(14)}", f"m{r.randrange(14)}") for _ in range(24)})
+    g = graph_of(spark, edges, 14)
+    want = {x["target"]: (list(x["path"]), x["depth"]) for x in paths.dependency_chains(g, "m1", 4).collect()}
+    for target in ("m0", "m2", "m5", "m9", "m13", "unknown"):
+        got = [(list(x["path"]), x["depth"]) for x in paths.dependency_chain(g, "m1", target, 4).collect()]
+        assert got == ([want[target]] if target in want else [])
+
+
+def reach(edges):
+    out = {a: {b for x, b in edges if x == a} for a in {x for e in edges for x in e}}
+    while True:
+        new = {a: bs | {c for b in bs for c in out[b]} for a, bs in out.items()}
+        if new == out:
+            return out
+        out = new
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components(spark, seed):
+    r = random.Random(seed)
+    edges = sorted({(f"m{r.randrange(20)}", f"m{r.randrange(20)}") for _ in range(26)})
+    to = reach(edges)
+    own = {a: {b for b in to[a] if a in to[b]} for a in to}
+    want = {(a, min(bs), len(bs)) for a, bs in own.items() if len(bs) > 1}
+    assert {tuple(x) for x in paths.dependency_components(graph_of(spark, edges, 20)).collect()} == want
+    inside = {tuple(x) for x in paths.cyclic_arcs(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert inside == {(a, b) for a, b in edges if a == b or a in to[b]}
+
+
+def test_no_cycles(spark):
+    g = graph_of(spark, [("m0", "m1"), ("m1", "m2"), ("m0", "m2")], 3)
+    assert paths.dependency_components(g).count() == 0 and paths.dependency_cycles(g).count() == 0 and paths.dependency_cycles(g, by_component=True).count() == 0
+
+
+@pytest.mark.parametrize(("most", "by_component"), [(5, False), (6, True), (1, False)])
+def test_cycles_from_two_halves(spark, most, by_component):
+    r = random.Random(most)
+    edges = sorted({(f"m{r.randrange(8)}", f"m{r.randrange(8)}") for _ in range(16)} | {("m3", "m3")})
+    got = sorted((x["module"], x["cycle_length"], list(x["cycle_path"])) for x in paths.dependency_cycles(graph_of(spark, edges, 8), most, by_component).collect())
+    assert got == sorted((s, d, p) for s in {a for a, _ in edges} for n, d, p in brute(edges, s, 1, most) if n == s)
+
+
 ROW = st.tuples(st.sampled_from("abc"), st.integers(0, 3), st.sampled_from("xyz"))
 
 
