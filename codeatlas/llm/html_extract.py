@@ -8,7 +8,8 @@ From there the scope goes up: to the article or main element around it, and else
 Boilerplate is left out: menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by tag,
 role, and class or id. A class or id marks boilerplate if it is such a word, or made of such words and words of layout alone
 (cookie-notice and site-nav, but not has-sidebar, entry-header or related-work); nothing that holds an article or main element is
-boilerplate. If nothing is left of a page, classes and ids don't count. Block ends separate blocks; white space inside a block becomes one
+boilerplate. A form around at least half of the text that is left, with much text for each control, is a frame of the whole page and
+counts as a plain container. If nothing is left of a page, classes and ids don't count. Block ends separate blocks; white space inside a block becomes one
 space; character references are decoded.
 
 Paths are told apart by chained 64-bit digests, so time and memory follow the length of a page, whatever its depth.
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .shared import released, small, written
 
-#: Serialised size (in rows) up to which the hosts' winning paths are broadcast; beyond it page ids are joined with them by a shuffle.
-BROADCAST_HOSTS = 200_000
+#: Hosts up to which their winning paths are broadcast; beyond it pages are shuffled to them, those of each host in SALTS parts.
+BROADCAST_HOSTS, SALTS = 200_000, 16
+#: Characters of text for each visible control, from which a form around half of a page's text isn't one to be filled in.
+CONTROL_CHARS = 80
 #: Votes of a sibling path, as a share of the winner's, from which it counts as another part of the article; share of links in a text that isn't one.
 LIKE, LINKS = 0.4, 1 / 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +46,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class and id names that mark what isn't the article, and words of layout that may stand beside them.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar aside rail widget widgets header masthead topbar footer bottombar colophon comment comments respond replies disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search form pagination pager skip hidden".split())
 LAYOUT = frozenset("bar bars block blocks bottom box boxes button buttons column container global group holder inner item items left link links list lists main outer panel primary right row secondary section sections site slot sticky thread top unit wrap wrapper zone area".split())
+#: Types of inputs that a form frame of a whole page has as well.
+UNSEEN = frozenset("hidden submit button image reset".split())
 CENTRE = frozenset(("article", "main"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
@@ -85,7 +90,10 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.path, self.container, self.by_tag, self.by_name = ["html"], [-1], [path_of("html")], [0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
+        self.controls: list[int] = []  # the elements around visible controls of forms
         self.read(html)
+        if "form" in self.tag:
+            self.frames()
         n = range(len(self.tag) - 1, 0, -1)
         holds = [False] * len(self.tag)  # a part of the page that is meant to be read
         for i in n:
@@ -104,6 +112,22 @@ class Page:
             self.dropped = self.barred
         self.blocks = [b for b in self.blocks if not self.dropped[b[0]]]
 
+    def frames(self) -> None:
+        """Forms that frame a page count as plain containers."""
+        left, text, controls = [True] * len(self.tag), [0] * len(self.tag), [0] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            left[i] = left[self.parent[i]] and not self.by_name[i] and (not self.by_tag[i] or self.tag[i] == "form")
+        for node, words, _ in self.blocks:
+            text[node] += len(words) if left[node] else 0
+        for node in self.controls:
+            controls[node] += 1
+        for i in range(len(self.tag) - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+            controls[self.parent[i]] += controls[i]
+        for i, tag in enumerate(self.tag):
+            if tag == "form" and left[i] and 0 < text[0] <= 2 * text[i] and text[i] >= CONTROL_CHARS * controls[i]:
+                self.by_tag[i] = False
+
     def add(self, tag: str, attrs: str, parent: int) -> int:
         name, mark = tag, False
         if attrs.strip("/ \n\t"):
@@ -183,8 +207,12 @@ class Page:
             if tag in VOID:
                 if tag == "hr":
                     end()
+                if tag == "input" and open_["form"] and attributes(t[3]).get("type", "").lower() not in UNSEEN:
+                    self.controls.append(node)
                 continue
             if tag in RAW:
+                if open_["form"] and tag in ("textarea", "select"):
+                    self.controls.append(node)
                 if not t[3].endswith("/"):
                     close = CLOSING[tag].search(html, at)
                     at = close.end() if close else n
@@ -309,5 +337,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [Page(html or "").text(frozenset(paths or ())) for html, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    read = rows.join(small(chosen, BROADCAST_HOSTS), "host", "left").select("page_id", "url", "html", "paths")
+    if chosen.count() <= BROADCAST_HOSTS:
+        read = rows.join(F.broadcast(chosen), "host", "left")
+    else:
+        salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        read = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    read = read.select("page_id", "url", "html", "paths")
     return read.mapInArrow(released(reading), "page_id long, url string, text string").select("*", F.length("text").cast("long").alias("n_chars"))

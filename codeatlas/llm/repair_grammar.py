@@ -1,11 +1,11 @@
 """Token-ID output (operator 8): ids in Re-Pair grammar compression, written by Spark, with random access.
 
-Documents are range-partitioned and sorted by doc_id; each partition encodes its texts and writes shards of about SHARD_IDS ids. A
+Documents are range-partitioned and sorted by doc_id (rows of equal doc_ids by a hash of their texts); each partition encodes its texts and writes shards of about SHARD_IDS ids. A
 shard repeatedly replaces its most frequent pairs of ids by nonterminals, until no pair can be replaced twice, and never across the end
 of a document. Its row stores rules, the expansion length of each rule, the symbols, and for each document its number of symbols and of
 ids, so that one document, or a range of its ids, is decoded alone.
 
-Defined results: null and empty texts have only the end id. Rows with a null doc_id come first, equal doc_ids in the order of their
+Defined results: null and empty texts have only the end id. Rows with a null doc_id come first, equal doc_ids in the order of hashes of their
 texts; repeated rows are written each. A text is never split between shards. An empty table gives no shards and an empty result.
 Other columns are ignored.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segment import Distinct
+from .segment import Distinct, unknown
 from .shared import parts, slices, small, text_bytes, written
 
 END, SHARD_IDS, SHARE = 1, 1 << 18, 4
@@ -48,7 +48,10 @@ def word_coder(path: str):
 
 
 class WordEncoder:
-    """Ids of texts under a tokenizer that lower-cases, drops white space and codes each word on its own; words are coded once."""
+    """Ids of texts under a tokenizer that lower-cases, drops white space and codes each word on its own; words are coded once.
+
+    Texts with special tokens, or with code points that Python's tables don't know, go whole to the library.
+    """
 
     def __init__(self, path: str):
         self.tok, self.path = tokenizer(path), path
@@ -86,7 +89,7 @@ class WordEncoder:
             self.count += len(part)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {k for k, t in enumerate(texts) if "<" in t and any(s in t for s in self.special)}
+        odd = {k for k, t in enumerate(texts) if "<" in t and any(s in t for s in self.special)} | unknown(texts)
         found = Distinct([self.normal(t) if k not in odd else "" for k, t in enumerate(texts)], False)
         if self.count > KNOWN:
             self.clear()
@@ -103,6 +106,12 @@ class WordEncoder:
         return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32) if k in odd else every[ends[k] : ends[k + 1]] for k, t in enumerate(texts)]
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder a process: a later task finds the words of earlier ones."""
+    return WordEncoder(path)
+
+
 def places(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Those of the places `at` (ascending) of pairs that are replaced: where pairs overlap, the one of the highest rank, in a run of one pair every second."""
     taken = [at[:0]]
@@ -251,7 +260,7 @@ def sharding(path: str, shard_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part, shard, encode, docs, ids, n = TaskContext.get().partitionId(), 0, WordEncoder(path), [], [], 0
+        part, shard, encode, docs, ids, n = TaskContext.get().partitionId(), 0, encoder(path), [], [], 0
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
             for i, j in slices(offsets):
@@ -270,7 +279,9 @@ def sharding(path: str, shard_ids: int):
 def write_shards(docs: DataFrame, path: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes docs (doc_id, text) and writes their shards to the shared folder; the rows of the written table."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dealt = rows.repartitionByRange(parts(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # with a hash of the text in the range's key, rows of one doc_id or without any are shared by tasks too
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    dealt = rows.repartitionByRange(parts(docs), *order).sortWithinPartitions(*order, "text")
     return written(dealt.mapInArrow(sharding(path, shard_ids), SHARD_DDL), "token-shards")
 
 

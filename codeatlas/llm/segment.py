@@ -5,6 +5,7 @@ and runs of white space. BARE, for lower-cased words: contractions, runs of lett
 space is dropped. Tests compare both with the regular expressions.
 """
 
+import functools
 import sys
 import unicodedata
 
@@ -14,17 +15,28 @@ from .words import Spans, mix
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 BLANKS = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-_classes: list[np.ndarray] = []
+
+
+@functools.cache
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each code point, and whether Python's tables don't know it."""
+    kinds = {"L": LETTER, "N": NUMBER}
+    found = list(map(unicodedata.category, map(chr, range(sys.maxunicode + 1))))
+    out = np.array([kinds.get(c[0], OTHER) for c in found], np.uint8)
+    out[list(BLANKS)] = SPACE
+    return out, np.array([c == "Cn" for c in found])
 
 
 def classes() -> np.ndarray:
-    if not _classes:
-        out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-        kinds = {"L": LETTER, "N": NUMBER}
-        out[:] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)]
-        out[list(BLANKS)] = SPACE
-        _classes.append(out)
-    return _classes[0]
+    return tables()[0]
+
+
+def unknown(texts: list[str]) -> set[int]:
+    """The numbers of texts with a code point that Python's tables call unassigned: a library with later tables may take it for a letter or fold its case."""
+    wide = [k for k, t in enumerate(texts) if not t.isascii()]
+    points, offsets = code_points([texts[k] for k in wide])
+    at = np.flatnonzero(tables()[1][points])
+    return {wide[k] for k in np.unique(np.searchsorted(offsets, at, "right") - 1).tolist()}
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

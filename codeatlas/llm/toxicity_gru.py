@@ -3,8 +3,8 @@
 Each word enters as an embedding of its hash beside the mean embedding of its character n-grams. The network is trained in
 numpy on the driver from at most FIT_ROWS labelled texts outside the held-out fold, a third of them toxic at most, and scores
 all windows of SPAN words, each STRIDE words (half a window) after the last, of every whole text; a text's score is its highest window's.
-A text of over FIT_WORDS words is trained on by that many of its words, in runs of SPAN from places that a hash draws, so the driver holds
-at most FIT_ROWS times FIT_WORDS words.
+These texts are trained on whole. Should they hold more than FIT_BYTES together, tasks draw the same share of runs of SPAN words of every one of them
+by hash, so that what reaches the driver is bounded; runs of over RUN_BYTES, of words no language has, are then never drawn.
 As only whole texts have labels, training takes the windows that score highest so far, of toxic and of clean texts alike.
 The last bias is then moved by the log odds between the sample's share of toxic texts and that of all labels.
 
@@ -22,7 +22,8 @@ from .shared import pieces, released, slices, text_bytes
 from .words import Words, mix
 
 FIT_ROWS, THRESHOLD = 4_500, 0.7
-FIT_WORDS, SPAN, STRIDE = 4096, 64, 32
+SPAN, STRIDE = 64, 32
+FIT_BYTES, RUN_BYTES = 32 << 20, 1 << 16
 WORDS, CHARS, E, H, A = 1 << 18, 1 << 16, 8, 8, 8
 f32 = np.float32
 
@@ -239,26 +240,32 @@ def scores(net: ToxicNet, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def shortened(batches):
-    """(doc_id, text, y) with FIT_WORDS words of a longer text: runs of SPAN words, one from each of as many equal parts, where a hash of the part says."""
-    for batch in batches:
-        for rows, data, offsets in pieces(batch):
-            w, texts = Words(data, offsets), []
-            for k in range(rows.num_rows):
-                raw, (a, b) = data[offsets[k] : offsets[k + 1]], w.first[k : k + 2]
-                if b - a > FIT_WORDS:
-                    runs = FIT_WORDS // SPAN
-                    borders = np.linspace(a, b, runs + 1).astype(np.int64)
-                    at = borders[:-1] + (mix(np.arange(runs, dtype=np.uint64) + w.hashes()[borders[:-1]]) % np.maximum(np.diff(borders) - SPAN, 1).astype(np.uint64)).astype(np.int64)
-                    raw = b" ".join(data[w.starts[i] : w.ends[i + SPAN - 1]].tobytes() for i in at.tolist())
-                texts.append(bytes(raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), rows.column(2)], ["doc_id", "text", "y"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicNet:
-    """A network of labels.toxic from at most `rows` labelled texts of the training fold."""
+def drawn(share: float):
+    """(doc_id, text, y) with that share of each text's runs of SPAN words, drawn by a hash of the run; runs of over RUN_BYTES never are."""
+    top = np.uint64(int(share * ((1 << 64) - 1)))
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in pieces(batch):
+                w, texts = Words(data, offsets), []
+                hashes = w.hashes()
+                for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                    firsts = np.arange(a, b, SPAN)
+                    lasts = np.minimum(firsts + SPAN, b) - 1
+                    keep = (mix(hashes[firsts] + np.arange(len(firsts), dtype=np.uint64)) <= top) & (w.ends[lasts] - w.starts[firsts] <= RUN_BYTES)
+                    texts.append(b" ".join(data[w.starts[i] : w.ends[j]].tobytes() for i, j in zip(firsts[keep].tolist(), lasts[keep].tolist(), strict=True)).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string()), rows.column(2)], ["doc_id", "text", "y"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> ToxicNet:
+    """A network of labels.toxic from at most `rows` labelled texts of the training fold, or from runs of them of about most_bytes together."""
     chosen = sample(labels, "toxic", fold(3) != 1, rows, balanced=True)
-    read = texts_of(docs, chosen).mapInArrow(released(shortened), "doc_id long, text string, y int")
+    read = texts_of(docs, chosen)
+    held = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if held > most_bytes:
+        read = read.mapInArrow(released(drawn(most_bytes / held)), "doc_id long, text string, y int")
     found = read.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     y = found["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():

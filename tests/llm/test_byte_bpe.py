@@ -39,3 +39,11 @@ def test_query_hashes(spark):
     r = QUERIES["op5_byte_bpe"](spark, "/root/testdata/sf0.001").orderBy("doc_id").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(f"doc_id = {r['doc_id']}").first()["text"]
     assert r["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_every_code_point(spark, tokenizer):
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f"a{chr(c)}b {chr(c)}" for c in points[i : i + 4096]) for i in range(0, len(points), 4096)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: bytes(r["ids"]) for r in encode(df).collect()}
+    assert all(got[k] == np.array(tokenizer.encode_ordinary(t), "<u4").tobytes() for k, t in enumerate(texts))

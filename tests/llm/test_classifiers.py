@@ -92,3 +92,94 @@ def test_network_gradients():
         down = loss()
         flat[i] = keep
         assert abs((up - down) / (2 * eps) - grad[i]) < 2e-3
+
+
+SOME = ["", "one", "a b a b a b c", "Ein Satz, über viele Wörter! Und noch | einer.\n\n  Und noch | einer.\n", "x" * 300 + " 12 3,4 A|B #tag\tTAB", " \n\t", "日本 の 文 the the the THE\nthe\nthe\n", "word " * 500]
+
+
+def plain_features(text):
+    """The features of one text, by loops over words and lines."""
+    import math
+    import re
+
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    n, size = max(len(words), 1), max(len(text.encode()), 1)
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    again = {i + k for i, t in enumerate(three) if three.count(t) > 1 for k in range(3)}
+    count = lambda chars: sum(text.count(c) for c in chars)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    n_lines = text.count("\n") + 1
+    return [math.log1p(len(words)), sum(map(len, words)) / n, count("#*$%&|<>") / n, (len(lines) - len(set(lines))) / n_lines, len(again) / n, count(upper) / max(count(upper + lower), 1), count("!") / n, count("|") / n, count("0123456789") / size, count(".") / n, count(",") / n, sum(ord(c) > 127 for c in text) / size, len(set(words)) / n, math.log1p(len(words) / n_lines), sum(len(w.encode()) <= 2 for w in words) / n]
+
+
+def test_quality_against_plain_python(spark):
+    """Features by loops, and a score summed from the tables entry by entry."""
+    from bisect import bisect_right
+    from math import exp
+
+    place = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{place}/documents.parquet"), spark.read.parquet(f"{place}/labels.parquet")
+    model = quality_gam.fit(docs, labels)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()][:40] + list(enumerate(SOME))
+    got = quality_gam.features(*bytes_of([t for _, t in rows]))
+    for (_, text), x in zip(rows, got, strict=True):
+        plain = plain_features(text or "")
+        assert np.allclose(x, plain, rtol=1e-9, atol=1e-12), [(f, a, b) for f, a, b in zip(quality_gam.FEATURES, x, plain, strict=True) if abs(a - b) > 1e-9]
+        f = model.base + sum(float(t[bisect_right(list(e), v)]) for e, t, v in zip(model.edges, model.tables, plain, strict=True))
+        f += sum(float(t[bisect_right(list(model.rough[i]), plain[i])][bisect_right(list(model.rough[j]), plain[j])]) for i, j, t in model.pairs)
+        assert abs(model.score(x[None])[0] - 1 / (1 + exp(-f))) < 1e-6
+
+
+def bytes_of(texts):
+    import pyarrow as pa
+
+    from codeatlas.llm.shared import text_bytes
+
+    return text_bytes(pa.array(texts, pa.string()))
+
+
+def test_toxicity_against_plain_python(odd_documents):
+    """The score of whole texts by a loop over windows, places and gates, one number at a time where the network has vectors."""
+    r = np.random.RandomState(2)
+    net = toxicity_gru.ToxicNet(5)
+    net.trained, H, SPAN = True, toxicity_gru.H, toxicity_gru.SPAN
+    texts = [*SOME[:7], " ".join(r.choice(["you", "are", "fine", "x", "über", "and", "so-on"], 150))]
+    got = toxicity_gru.scores(net, *bytes_of(texts))
+    squash, p = lambda x: 1 / (1 + np.exp(-np.asarray(x, float))), net.p
+    for text, score in zip(texts, got, strict=True):
+        words = text.split()  # the same words, for these texts
+        best = 0.0
+        for begin in range(0, max(len(words) - SPAN, 0) + toxicity_gru.STRIDE if words else 0, toxicity_gru.STRIDE):
+            own = words[begin : begin + SPAN]
+            if not own or begin and begin >= len(words) - SPAN + toxicity_gru.STRIDE:
+                continue
+            xs = [net.inputs(toxicity_gru.Vocabulary(*bytes_of([w])))[0].astype(float) for w in own]
+            states = {}
+            for d in "fb":
+                h, out = np.zeros(H), []
+                for x in xs if d == "f" else xs[::-1]:
+                    g, u = x @ p[f"in_{d}"] + p[f"in_b_{d}"], h @ p[f"rec_{d}"]
+                    z, reset = squash(g[:H] + u[:H]), squash(g[H : 2 * H] + u[H : 2 * H])
+                    h = (1 - z) * np.tanh(g[2 * H :] + reset * u[2 * H :]) + z * h
+                    out.append(h)
+                states[d] = out if d == "f" else out[::-1]
+            both = [np.concatenate([a, b]) for a, b in zip(states["f"], states["b"], strict=True)]
+            weight = np.exp([float(np.tanh(s @ p["att"] + p["att_b"]) @ p["att_v"]) for s in both])
+            pooled = sum(w * s for w, s in zip(weight / weight.sum(), both, strict=True))
+            best = max(best, float(squash(pooled @ p["out"] + p["bias"][0])))
+        assert abs(score - best) < 1e-4
+
+
+def test_training_texts_are_drawn_by_runs(spark, odd):
+    """Whole texts below the bound; above it about the same share of each text's runs, words in their order, and no giant words."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(64 * 100))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([text, "y" * 70_000, None]), pa.array([1, 0, 0], pa.int32())], ["doc_id", "text", "y"])
+    (got,) = toxicity_gru.drawn(0.5)(iter([batch]))
+    words = got.column(1)[0].as_py().split()
+    assert 30 * 64 <= len(words) <= 70 * 64 and words == sorted(words, key=lambda w: int(w[1:])) and all(int(a[1:]) % 64 == 0 for a in words[::64])
+    assert got.column(1)[1].as_py() == "" and got.column(1)[2].as_py() == ""
+    labels = odd.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    assert toxicity_gru.fit(odd, labels, most_bytes=20_000).trained

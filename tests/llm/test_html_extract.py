@@ -49,6 +49,12 @@ WORDS = "Some words of an article that goes on for a while. "
         ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article>", "Let x=1 be."),
         ("<article><div don't><p>One</p></div><p>it's two</p></article>", "One\n\nit's two"),
         ('<form id="aspnetForm"><div id="main"><article><p>One</p></article></div><input value="x">Go</form>', "One"),
+        ('<body><form id="aspnetForm"><div id="content"><p>Article about forms</p></div></form></body>', "Article about forms"),
+        ('<body><form action="./"><input type="hidden" name="state" value="x"><div class="nav"><a href="/">Menu</a></div><div class="page"><h1>Title</h1><p>Body</p></div><input type="submit" value="Go"></form></body>', "Title\n\nBody"),
+        (f'<body><form><div class="top"><input name="q"></div><div class="page"><p>{WORDS * 4}</p></div></form></body>', (WORDS * 4).strip()),
+        (f'<body><div class="page"><p>{WORDS}</p></div><form><p>Sign up for letters</p><input name="mail"></form></body>', WORDS.strip()),
+        ('<body><nav>Menu</nav><form><label>Name <input name="n"></label><select><option>a</select><p>Tell us who you are</p></form></body>', ""),
+        ('<body><form class="login-form"><p>Welcome back, dear reader</p></form><p>Text</p></body>', "Text"),
         ("<article><header><h1>Title</h1><p>Standfirst</p></header><p>Body</p><footer>Foot</footer></article>", "Title\n\nStandfirst\n\nBody"),
         ('<main><article><p>Post</p><article class="comment"><p>A reader says so</p></article></article></main>', "Post"),
         ('<div class="comments"><p>All that this page has</p></div>', "All that this page has"),
@@ -86,6 +92,17 @@ def test_written_pages(spark):
     assert got == {p[0]: p[3] for p in pages}
 
 
+def test_many_hosts(spark, monkeypatch):
+    """Beyond the broadcast pages go to their host's paths by a join, those of one host in several parts."""
+    r = random.Random(8)
+    pages = [(k, f"https://h{k % 3}.example/{k}" if k % 5 else None, written_page(r)[0]) for k in range(120)] + [(None, None, None), (7, "odd", "<p>x")] * 2
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    rows = lambda: sorted((tuple(x) for x in h.main_text(df).collect()), key=repr)
+    want = rows()
+    monkeypatch.setattr(h, "BROADCAST_HOSTS", 0)
+    assert rows() == want
+
+
 def test_odd_markup():
     for text in ("<", "<<<", "</p>", "<p", "<p class='", "<!-- never closed", "<script>", "<table><tr><td>x", "a < b", "&#xFFFFFF;&bogus;", "<p/><br/>x", "\x00", "<a =''", "<a b='<c d=\""):
         assert isinstance(extract(text), str)
