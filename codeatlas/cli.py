@@ -70,9 +70,9 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> list[DataFrame]:
         if a.incremental:
             return [index.refresh(spark, a.path, a.store, a.strict)]
         begun = time.time()
-        index.save(index.extract(spark, a.path, a.strict), a.store)
-        x = index.load(spark, a.store)
-        return [index.run_report(x, index.model_graph(x), time.time() - begun)]
+        counts = index.save(index.extract(spark, a.path, a.strict), a.store)
+        g = index.model_graph(index.load(spark, a.store))
+        return [index.run_report(spark, counts, g.typed_edges().count(), time.time() - begun)]
     g = index.model_graph(index.load(spark, a.store))
     if a.command == "stats":
         return [summaries.statistics(g)]

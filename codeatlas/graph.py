@@ -65,8 +65,14 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def watched(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and aggregates of its rows that are there, as .get, once an action has gone over them."""
+    seen = Observation()
+    return df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), seen
+
+
 def observed(df: DataFrame, name: str = "step", **metrics: Column) -> tuple[DataFrame, dict]:
     """df settled, and aggregates of its rows taken while they were written."""
-    seen = Observation()
-    out = settled(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    df, seen = watched(df, **metrics)
+    out = settled(df, name)
     return out, seen.get

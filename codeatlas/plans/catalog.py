@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..graph import Graph
 from ..operators import changes, lookups, paths, summaries, upserts
-from ..sources import index, records, syntax
+from ..sources import files, index, records, syntax, tree
 from . import derive, trees
 from .derive import TWINS, read
 from .trees import TREES
@@ -28,6 +28,10 @@ def on_graph(f: Callable[..., DataFrame], *args, **named) -> Callable[[SparkSess
     return lambda spark, sf_dir: f(derive.graph(spark, sf_dir), *args, **named)
 
 
+# ---- the stored graph, whose making is this query's time and no other's
+_MADE = " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) AS n FROM {table}" for label, table in (("Module", "modules"), ("Model", "models"), ("Field", "fields"), ("View", "views")))
+register("stored_graph", on_graph(summaries.node_counts), _MADE)
+
 # ---- lookups
 register("module_by_name", lambda s, d: lookups.find_module(derive.graph(s, d), MODULE).drop("id"), f"SELECT * FROM modules WHERE name = '{MODULE}'")
 register("module_dependencies", on_graph(lookups.module_dependencies, MODULE), f"SELECT name AS dependency, version, category FROM depends JOIN modules ON dst = name WHERE src = '{MODULE}'")
@@ -208,6 +212,8 @@ register("parse_views", lambda s, d: records.views(syntax.parse_records(view_tex
 # ---- whole runs, over source trees written from tables
 _DEPENDS = "SELECT a.name AS src, b.name AS dst FROM mods a JOIN mods b ON b.name = concat('m', a.s_nationkey)"
 _PARENTS = "SELECT a.name AS src, b.name AS dst FROM files a JOIN files b ON b.p_partkey = a.p_partkey - 1"
+_DELEGATED = "SELECT a.name AS src, b.name AS dst, 'base_id' AS field FROM files a JOIN files b ON b.p_partkey = a.p_partkey - 1 WHERE a.p_size % 2 = 0"
+_EXTENDED = "SELECT concat(a.name, '.v') AS src, concat(b.name, '.v') AS dst FROM mods a JOIN mods b ON b.name = concat('m', a.s_nationkey) WHERE a.name <> b.name"
 _SHOWN = "SELECT concat(m.name, '.v') AS src, f.name AS dst FROM mods m JOIN files f ON f.p_partkey = m.s_suppkey"
 
 
@@ -219,8 +225,10 @@ tree_query("index_modules", lambda s, d: trees.model_graph(s, d).modules.select(
 tree_query("index_models", lambda s, d: trees.model_graph(s, d).models.select("name", "module", "description", "class_name", "line_number"), "SELECT name, module, p_type AS description, 'Part' AS class_name, 3 AS line_number FROM files")
 tree_query("index_fields", lambda s, d: trees.model_graph(s, d).fields.select("name", "model_name", "field_type", "default", "comodel_name"), "SELECT 'size' AS name, name AS model_name, 'Integer' AS field_type, CAST(p_size AS VARCHAR) AS \"default\", CAST(NULL AS VARCHAR) AS comodel_name FROM files UNION ALL SELECT 'same', name, 'Many2one', NULL, name FROM files")
 tree_query("index_views", lambda s, d: trees.model_graph(s, d).views.select("xml_id", "name", "model", "view_type", "module", "line_number"), "SELECT concat(name, '.v') AS xml_id, display_name AS name, concat('part.', s_suppkey) AS model, 'kanban' AS view_type, name AS module, 0 AS line_number FROM mods")
-tree_query("index_edges", lambda s, d: trees.model_graph(s, d).typed_edges("DEPENDS_ON", "INHERITS_FROM", "DEFINED_IN", "REFERENCES", "DISPLAYS", "BELONGS_TO"), f"SELECT *, 'DEPENDS_ON' AS rel_type, CAST(NULL AS VARCHAR) AS field FROM ({_DEPENDS}) UNION ALL SELECT *, 'INHERITS_FROM', NULL FROM ({_PARENTS}) UNION ALL SELECT name, module, 'DEFINED_IN', NULL FROM files UNION ALL SELECT name, name, 'REFERENCES', 'same' FROM files UNION ALL SELECT *, 'DISPLAYS', NULL FROM ({_SHOWN}) UNION ALL SELECT name, name, 'BELONGS_TO', unnest(['same', 'size']) FROM files")
+tree_query("index_edges", lambda s, d: trees.model_graph(s, d).typed_edges("DEPENDS_ON", "INHERITS_FROM", "DEFINED_IN", "REFERENCES", "DISPLAYS", "BELONGS_TO", "DELEGATES_TO", "EXTENDS"), f"SELECT *, 'DEPENDS_ON' AS rel_type, CAST(NULL AS VARCHAR) AS field FROM ({_DEPENDS}) UNION ALL SELECT *, 'INHERITS_FROM', NULL FROM ({_PARENTS}) UNION ALL SELECT name, module, 'DEFINED_IN', NULL FROM files UNION ALL SELECT name, name, 'REFERENCES', 'same' FROM files UNION ALL SELECT *, 'DISPLAYS', NULL FROM ({_SHOWN}) UNION ALL SELECT name, name, 'BELONGS_TO', unnest(['same', 'size']) FROM files UNION ALL SELECT src, dst, 'DELEGATES_TO', field FROM ({_DELEGATED}) UNION ALL SELECT *, 'EXTENDS', NULL FROM ({_EXTENDED})")
 tree_query("index_class_edges", lambda s, d: trees.class_graph(s, d).typed_edges("CONTAINS", "INHERITS", "DISPLAYS"), f"SELECT module AS src, concat(module, ':', name) AS dst, 'CONTAINS' AS rel_type, CAST(NULL AS VARCHAR) AS field FROM files UNION ALL SELECT name, concat(name, '.v'), 'CONTAINS', NULL FROM mods UNION ALL SELECT concat(a.module, ':', a.name), concat(b.module, ':', b.name), 'INHERITS', NULL FROM ({_PARENTS}) e JOIN files a ON a.name = src JOIN files b ON b.name = dst UNION ALL SELECT src, concat(module, ':', dst), 'DISPLAYS', NULL FROM ({_SHOWN}) e JOIN files f ON f.name = dst")
-tree_query("index_counts", lambda s, d: index.run_report(trees.indexed(s, d)[1], trees.model_graph(s, d), trees.indexed(s, d)[2]).filter("name <> 'seconds'"), f"SELECT 'modules' AS name, CAST(count(*) AS DOUBLE) AS n FROM mods UNION ALL SELECT 'defs', count(*) FROM files UNION ALL SELECT 'fields', 2 * count(*) FROM files UNION ALL SELECT 'views', count(*) FROM mods UNION ALL SELECT 'broken', 0 UNION ALL SELECT 'errors', 0 UNION ALL SELECT 'state', (SELECT count(*) FROM files) + 2 * count(*) FROM mods UNION ALL SELECT 'relationships', (SELECT count(*) FROM ({_DEPENDS})) + (SELECT count(*) FROM ({_PARENTS})) + (SELECT count(*) FROM ({_SHOWN})) + 4 * (SELECT count(*) FROM files)")
+tree_query("index_counts", lambda s, d: trees.indexed(s, d).report.filter("name <> 'seconds'"), f"SELECT 'modules' AS name, CAST(count(*) AS DOUBLE) AS n FROM mods UNION ALL SELECT 'defs', count(*) FROM files UNION ALL SELECT 'fields', 2 * count(*) FROM files UNION ALL SELECT 'views', count(*) FROM mods UNION ALL SELECT 'broken', 0 UNION ALL SELECT 'errors', 0 UNION ALL SELECT 'state', (SELECT count(*) FROM files) + 2 * count(*) FROM mods UNION ALL SELECT 'relationships', (SELECT count(*) FROM ({_DEPENDS})) + (SELECT count(*) FROM ({_PARENTS})) + (SELECT count(*) FROM ({_SHOWN})) + (SELECT count(*) FROM ({_DELEGATED})) + (SELECT count(*) FROM ({_EXTENDED})) + 4 * (SELECT count(*) FROM files)")
 tree_query("index_refresh", trees.refreshed, "SELECT CASE WHEN p_size BETWEEN 1 AND 5 THEN 'modified' WHEN p_size BETWEEN 6 AND 9 THEN 'deleted' ELSE 'unchanged' END AS change, count(*) + CASE WHEN any_value(p_size) > 9 THEN 2 * (SELECT count(*) FROM mods) ELSE 0 END AS n FROM files GROUP BY 1 UNION ALL SELECT 'new', count(*) FROM mods")
-tree_query("find_module_in_tree", lambda s, d: index.find_module(s, trees.indexed(s, d)[0], "m7").select("name", "display_name", "version", F.array_join("depends", "|").alias("depends")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, concat('m', s_nationkey) AS depends FROM mods WHERE name = 'm7'")
+tree_query("find_module_in_tree", lambda s, d: index.find_module(s, trees.indexed(s, d).root, "m7").select("name", "display_name", "version", F.array_join("depends", "|").alias("depends")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, concat('m', s_nationkey) AS depends FROM mods WHERE name = 'm7'")
+tree_query("scan_tree", lambda s, d: tree.read(s, trees.indexed(s, d).root).filter((F.col("depth") == 2) & F.col("name").endswith(".xml") & (F.col("length") <= files.XML_BYTES)).select("path", "directory", "is_dir", "depth"), "SELECT concat(name, '/views/v.xml') AS path, 'views' AS directory, false AS is_dir, 2 AS depth FROM mods")
+tree_query("index_refresh_unchanged", trees.unchanged, "SELECT 'unchanged' AS change, (SELECT count(*) FROM files) + 2 * count(*) AS n FROM mods")

@@ -17,7 +17,7 @@ WRITE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quant
 
 
 FOLLOWERS = 2
-_stored: dict[tuple[str, str], Graph] = {}
+_stored: dict[tuple, Graph] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +78,16 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat_ws(".", text("conv_id"), text("turn")).alias("xml_id"), F.col("role").alias("name"), text("turn").alias("model"), F.expr("case when turn = 0 then 'form' else 'tree' end").alias("view_type"), F.concat(F.lit("Supplier#"), F.lpad((F.col("conv_id") % 10 + 1).cast("string"), 9, "0")).alias("module"), F.when(F.col("turn") > 0, F.concat_ws(".", text("conv_id"), (F.col("turn") - 1).cast("string"))).alias("inherit_id"))
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the tables of a folder, to tell whether they are those that something was made from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((x.getPath().getName(), fs.getContentSummary(x.getPath()).getLength(), x.getModificationTime()) for x in fs.listStatus(at)))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The derived graph as stored tables, sorted by what queries look up."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
     if key not in _stored:
         g, place = derived(spark, sf_dir), f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
         save(g, place)

@@ -1,21 +1,24 @@
 """Source trees written from the relational tables by Spark tasks, and queries that index them.
 
 A supplier is a module that depends on the module numbered like its nation. A part with lines is a file of the module of its least supplier:
-it defines a model that inherits from the model of the part before it, with a number and a reference to itself. Each module has one view.
+it defines a model that inherits from the model of the part before it (and delegates to it, if its size is even), with a number and a reference to
+itself. Each module has one view, which extends that of the module it depends on.
 """
 
 import time
 import uuid
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph, shared_dir
+from ..operators import upserts
 from ..sources import files, index
-from .derive import read, text
+from .derive import read, stamp, text
 
-_made: dict[tuple[str, str], tuple[str, index.Extracted, float]] = {}
+_made: dict[tuple, "Indexed"] = {}
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +26,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
     home = F.concat(F.lit("m"), text("s_suppkey"))
     manifests = s.select(F.concat(home, F.lit("/__manifest__.py")).alias("path"), F.concat(F.lit("{'name': '"), "s_name", F.lit("', 'version': '1."), text("s_nationkey"), F.lit("', 'depends': ['m"), text("s_nationkey"), F.lit("'], 'installable': "), F.when(F.col("s_acctbal") > 0, "True").otherwise("False"), F.lit("}")).alias("content"), F.lit(None).cast("long").alias("part"))
-    views = s.select(F.concat(home, F.lit("/views/v.xml")).alias("path"), F.concat(F.lit('<data><record id="v" model="ir.ui.view"><field name="name">'), "s_name", F.lit('</field><field name="model">part.'), text("s_suppkey"), F.lit('</field><field name="arch" type="xml"><kanban/></field></record></data>')).alias("content"), F.lit(None).cast("long").alias("part"))
+    views = s.select(F.concat(home, F.lit("/views/v.xml")).alias("path"), F.concat(F.lit('<data><record id="v" model="ir.ui.view"><field name="name">'), "s_name", F.lit('</field><field name="model">part.'), text("s_suppkey"), F.lit("</field>"), F.when(F.col("s_suppkey") != F.col("s_nationkey"), F.concat(F.lit('<field name="inherit_id" ref="m'), text("s_nationkey"), F.lit('.v"/>'))).otherwise(""), F.lit('<field name="arch" type="xml"><kanban/></field></record></data>')).alias("content"), F.lit(None).cast("long").alias("part"))
     owners = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
     p = read(spark, sf_dir, "part").join(owners, "p_partkey")
-    body = F.concat(F.lit("from x import fields, models\n\nclass Part(models.Model):\n    _name = 'part."), text("p_partkey"), F.lit("'\n    _inherit = ['part."), (F.col("p_partkey") - 1).cast("string"), F.lit("']\n    _description = '"), "p_type", F.lit("'\n    size = fields.Integer('Size', default="), text("p_size"), F.lit(")\n    same = fields.Many2one('part."), text("p_partkey"), F.lit("')\n"))
+    body = F.concat(F.lit("from x import fields, models\n\nclass Part(models.Model):\n    _name = 'part."), text("p_partkey"), F.lit("'\n    _inherit = ['part."), (F.col("p_partkey") - 1).cast("string"), F.lit("']\n    _description = '"), "p_type", F.lit("'\n    size = fields.Integer('Size', default="), text("p_size"), F.lit(")\n    same = fields.Many2one('part."), text("p_partkey"), F.lit("')\n"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("    _inherits = {'part."), (F.col("p_partkey") - 1).cast("string"), F.lit("': 'base_id'}\n"))).otherwise(""))
     models = p.select(F.concat(home, F.lit("/models/p"), text("p_partkey"), F.lit(".py")).alias("path"), body.alias("content"), F.col("p_partkey").alias("part"))
     return manifests.unionByName(views).unionByName(models)
 
@@ -52,24 +55,44 @@ def put(rows: DataFrame, root: str) -> None:
     rows.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> tuple[str, index.Extracted, float]:
-    """The root of the tree, what a full run has extracted from it, stored and read back, and the run's seconds; once for a folder and an application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+@dataclass(frozen=True)
+class Indexed:
+    """A tree, the store of a full run over it, and the run's graph as stored tables."""
+
+    root: str
+    store: str
+    records: index.Extracted
+    graph: Graph
+    report: DataFrame
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Indexed:
+    """A tree written from the tables and indexed in full, once for a folder's files and an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
     if key not in _made:
-        root, store = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}", f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+        root, store, place = (f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("tree", "store", "graph"))
         put(sources(spark, sf_dir), root)
         begun = time.time()
-        index.save(index.extract(spark, root), store)
-        _made[key] = root, index.load(spark, store), time.time() - begun
+        counts = index.save(index.extract(spark, root), store)
+        records = index.load(spark, store)
+        g = index.model_graph(records)
+        edges = upserts.save(g, place)["edges"]
+        _made[key] = Indexed(root, store, records, upserts.load(spark, place, tuple(g.edges)), index.run_report(spark, counts, edges, time.time() - begun))
     return _made[key]
 
 
 def model_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return index.model_graph(indexed(spark, sf_dir)[1])
+    return indexed(spark, sf_dir).graph
 
 
 def class_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return index.class_graph(indexed(spark, sf_dir)[1])
+    return index.class_graph(indexed(spark, sf_dir).records)
+
+
+def unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """change, n of a refresh of a tree that hasn't changed."""
+    x = indexed(spark, sf_dir)
+    return index.refresh(spark, x.root, x.store)
 
 
 def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:

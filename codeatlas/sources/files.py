@@ -1,18 +1,16 @@
-"""Trees of files as DataFrames.
-
-Spark's own file sources skip names with a leading underscore, which manifests have, so directories are listed by tasks: one job a
-level of the tree, each directory read by one task, nothing gathered on the driver. Any file system of pyarrow.fs will do, if all
-executors can read it. Contents are read only for the files that a predicate leaves over.
-"""
+"""Trees of files as DataFrames, listed by the data source of tree.py; contents are read only for the files that a predicate leaves over."""
 
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import settled
-from .schemas import CONTENT, LISTED
+from . import tree
+from .schemas import CONTENT
+from .tree import ModuleRootError
+from .tree import file_system as _file_system
 
 #: Fixed names of manifest files, the preferred one first.
 MANIFESTS = ("__manifest__.py", "__openerp__.py")
@@ -20,52 +18,15 @@ MANIFESTS = ("__manifest__.py", "__openerp__.py")
 MANIFEST_BYTES, PYTHON_BYTES, XML_BYTES = 1 << 20, 1 << 20, 10 << 20
 
 
-class ModuleRootError(ValueError):
-    """The root of a scan is missing or no directory."""
-
-
-def _file_system(root: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-
-
 def listing(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
     """All entries below a root (path, parent, name, is_dir, length, modified, depth), paths relative to it; dot-directories only if hidden.
 
-    depth is the number of directories above an entry, so files of the root have depth 0. Links to directories aren't followed, and
-    directories that can't be read have no entries.
+    depth is the number of directories above an entry, so files of the root have depth 0.
     """
-    from pyarrow import fs as arrow_fs
-
     fs, base = _file_system(root)
     if fs.get_file_info(base).type != arrow_fs.FileType.Directory:
         raise ModuleRootError(f"no such directory: {root}")
-
-    def children(batches):
-        import os
-
-        system, top = _file_system(root)
-        for batch in batches:
-            for parent, depth in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = system.get_file_info(arrow_fs.FileSelector(f"{top.rstrip('/')}/{parent}".rstrip("/") or "/", recursive=False))
-                except OSError:
-                    continue
-                local = isinstance(system, arrow_fs.LocalFileSystem)
-                keep = [x for x in found if not (x.type == arrow_fs.FileType.Directory and ((not hidden and x.base_name.startswith(".")) or (local and os.path.islink(x.path))))]
-                columns = ([f"{parent}/{x.base_name}".lstrip("/") for x in keep], [parent] * len(keep), [x.base_name for x in keep], [x.type == arrow_fs.FileType.Directory for x in keep], [x.size for x in keep], [x.mtime.timestamp() if x.mtime else None for x in keep], [depth] * len(keep))
-                kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "parent", "name", "is_dir", "length", "modified", "depth"])
-
-    level, out = spark.createDataFrame([("", 0)], "path string, depth int"), None
-    while True:
-        found = settled(level.mapInArrow(children, LISTED), "listing")
-        out = found if out is None else out.unionByName(found)
-        level = found.filter("is_dir").select("path", (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
-            return out
-        level = level.repartition("path")
+    return tree.read(spark, root, hidden=hidden).drop("directory", "content")
 
 
 def contents(files: DataFrame, root: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """From a tree of source files to a graph, in full or only for the files that changed."""
 
+import json
 import time
+from collections.abc import Collection
 from dataclasses import dataclass, fields as columns_of
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import Graph, settled
+from ..graph import Graph, settled, watched
 from ..operators import changes, upserts
-from . import files, records, syntax
+from . import files, records, syntax, tree
 
 
 @dataclass(frozen=True)
@@ -101,80 +103,157 @@ def class_graph(x: Extracted) -> Graph:
     return Graph(modules, models, fields, views, edges)
 
 
-# ---- a store of extracted records in versions, so that a reader never meets a half-written one
+# ---- a store of extracted records: tables in buckets by a hash of the file's path, in versions, so that a reader never meets a half-written one
+
+#: Buckets of a new store. A refresh writes the buckets that a changed file falls into; all others stay with the version that wrote them.
+BUCKETS = 32
+#: The column with the file that a row comes from.
+PATH_OF = {"modules": "file_path", "defs": "file_path", "fields": "file_path", "views": "file_path", "broken": "path", "state": "path"}
+MAP, RUN = "version long, bucket int, at long", "version long, name string, n long"
+
+
+def bucket_of(path: str, buckets: int) -> Column:
+    """The bucket of a file; records without one are in bucket 0."""
+    return F.coalesce(F.pmod(F.xxhash64(path), F.lit(buckets)), F.lit(0)).cast("int")
+
+
+def _map(spark: SparkSession, store: str) -> DataFrame:
+    """Which version wrote each bucket, as each version sees it."""
+    return spark.read.schema(MAP).parquet(f"{store}/versions")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _children(spark: SparkSession, path: str) -> set[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {x.getPath().getName() for x in fs.listStatus(at)} if fs.exists(at) else set()
 
 
 def versions(spark: SparkSession, store: str) -> list[int]:
-    from pyspark.errors import AnalysisException
+    return sorted(r[0] for r in _map(spark, store).select("version").distinct().collect()) if _there(spark, f"{store}/versions") else []
+
 
-    try:
-        return sorted(r[0] for r in spark.read.schema("version long").parquet(f"{store}/versions").collect())
-    except AnalysisException:
-        return []
+def _write(x: Extracted, store: str, version: int, buckets: int) -> dict[str, int]:
+    """Writes all rows of x under a version, by bucket; counts of rows, and of errors, taken while they are written."""
+    counts = {}
+    for c in columns_of(Extracted):
+        df = getattr(x, c.name)
+        metrics = {"n": F.count(F.lit(1)), "errors": F.coalesce(F.sum(F.size("errors")), F.lit(0)) if c.name == "modules" else F.lit(0)}
+        placed, seen = watched(df.withColumn("bucket", bucket_of(PATH_OF[c.name], buckets)).repartition("bucket"), **metrics)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/version={version}/{c.name}")
+        counts[c.name] = seen.get["n"]
+        counts["errors"] = counts.get("errors", 0) + seen.get["errors"] + (counts["broken"] if c.name == "broken" else 0)
+    return counts
 
 
-def save(x: Extracted, store: str) -> int:
-    """Writes a new version and only then lists it."""
+def save(x: Extracted, store: str, buckets: int = BUCKETS) -> dict[str, int]:
+    """Writes a new version of everything and only then lists it. The run's counts, which are stored too."""
     spark = x.modules.sparkSession
     version = max(versions(spark, store), default=0) + 1
-    for c in columns_of(Extracted):
-        getattr(x, c.name).write.mode("overwrite").parquet(f"{store}/version={version}/{c.name}")
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{store}/versions")
-    return version
+    counts = _write(x, store, version, buckets)
+    kinds = [(version, c.name, getattr(x, c.name).schema.json()) for c in columns_of(Extracted)]
+    spark.createDataFrame(kinds, "version long, name string, schema string").coalesce(1).write.mode("append").parquet(f"{store}/schemas")
+    _list(spark, store, version, dict.fromkeys(range(buckets), version), counts)
+    return counts
+
 
+def _list(spark: SparkSession, store: str, version: int, at: dict[int, int], counts: dict[str, int]) -> None:
+    spark.createDataFrame([(version, k, n) for k, n in counts.items()], RUN).coalesce(1).write.mode("append").parquet(f"{store}/runs")
+    spark.createDataFrame([(version, b, v) for b, v in at.items()], MAP).coalesce(1).write.mode("append").parquet(f"{store}/versions")
 
-def load(spark: SparkSession, store: str, version: int | None = None) -> Extracted:
+
+def runs(spark: SparkSession, store: str) -> DataFrame:
+    """version, name, n: what each run has written, and its errors."""
+    return spark.read.schema(RUN).parquet(f"{store}/runs")
+
+
+def _at(spark: SparkSession, store: str, version: int | None) -> dict[int, int]:
     have = versions(spark, store)
     if not have:
         raise FileNotFoundError(f"no index in {store}")
-    place = f"{store}/version={version or have[-1]}"
-    return Extracted(*[spark.read.parquet(f"{place}/{c.name}") for c in columns_of(Extracted)])
+    return {r["bucket"]: r["at"] for r in _map(spark, store).filter(F.col("version") == (version or have[-1])).collect()}
+
+
+def load(spark: SparkSession, store: str, version: int | None = None, buckets: Collection[int] | None = None) -> Extracted:
+    """The newest version, or another one; all of it, or some buckets alone."""
+    from pyspark.sql.types import StructType
+
+    at = _at(spark, store, version)
+    kinds = {r["name"]: r["schema"] for r in spark.read.parquet(f"{store}/schemas").orderBy("version").collect()}
+    out = []
+    for c in columns_of(Extracted):
+        written = {v: _children(spark, f"{store}/version={v}/{c.name}") for v in set(at.values())}
+        places = [f"{store}/version={v}/{c.name}/bucket={b}" for b, v in sorted(at.items()) if (buckets is None or b in buckets) and f"bucket={b}" in written[v]]
+        schema = StructType.fromJson(json.loads(kinds[c.name]))
+        out.append(spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema))
+    return Extracted(*out)
 
 
-def clear(spark: SparkSession, store: str) -> int:
+def clear(spark: SparkSession, store: str) -> dict[str, int]:
     """A new version without records; earlier versions stay readable by number."""
+    at = _at(spark, store, None)
     x = load(spark, store)
-    return save(Extracted(*[getattr(x, c.name).limit(0) for c in columns_of(Extracted)]), store)
+    return save(Extracted(*[getattr(x, c.name).limit(0) for c in columns_of(Extracted)]), store, len(at))
 
 
 def refresh(spark: SparkSession, root: str, store: str, strict: bool = False, intended: bool = True, max_depth: int | None = 3) -> DataFrame:
     """Brings a store up to date: only new and modified files are parsed, records of deleted ones go. Returns change, n.
 
-    A file that fails to parse loses its former records and is listed as broken; it is parsed again when it changes.
+    Only the buckets of changed files are read and written again. A file that fails to parse loses its former records and is listed as broken; it
+    is parsed again when it changes. Without changes no version is made.
     """
     if not versions(spark, store):
-        x = extract(spark, root, strict, intended, max_depth)
-        save(x, store)
-        return x.state.agg(F.count("*").alias("n")).select(F.lit("new").alias("change"), "n")
+        counts = save(extract(spark, root, strict, intended, max_depth), store)
+        return spark.createDataFrame([("new", counts["state"])], "change string, n long")
+    at = _at(spark, store, None)
     old = load(spark, store)
     new = extract(spark, root, strict, intended, max_depth, old.state)
     told = settled(changes.changes(old.state, new.state), "changes")
-    stale = told.filter("change <> 'unchanged'").select(F.col("path").alias("file_path"))
-    moved = settled(stale, "stale")
-    merge = lambda a, b: a.join(moved, "file_path", "left_anti").select(*a.columns).unionByName(b.select(*a.columns))
-    paths = moved.select(F.col("file_path").alias("path"))
-    broken = old.broken.join(paths, "path", "left_anti").unionByName(new.broken)
-    kept = old.state.join(told.filter("change = 'unchanged'").select("path"), "path", "left_semi")
-    state = kept.unionByName(new.state.join(paths, "path", "left_semi").select(*kept.columns))
-    save(Extracted(new.modules, merge(old.defs, new.defs), merge(old.fields, new.fields), merge(old.views, new.views), broken, state), store)
-    return told.groupBy("change").agg(F.count("*").alias("n"))
+    # a module's record also changes when the preferred one of its manifests does
+    kinds = old.modules.columns
+    differ = lambda a, b: a.select(*kinds).exceptAll(b.select(*kinds)).select(F.col("file_path").alias("path"))
+    stale = told.filter("change <> 'unchanged'").select("path").unionByName(differ(old.modules, new.modules)).unionByName(differ(new.modules, old.modules))
+    touched = {r[0] for r in stale.select(bucket_of("path", len(at)).alias("b")).distinct().collect()}
+    out = told.groupBy("change").agg(F.count("*").alias("n"))
+    if not touched:
+        return out
+    moved = settled(told.filter("change <> 'unchanged'").select("path"), "moved")
+    part = load(spark, store, None, touched)
+
+    def merged(name: str) -> DataFrame:
+        a, b, key = getattr(part, name), getattr(new, name), PATH_OF[name]
+        within = b.filter(bucket_of(key, len(at)).isin(*touched))
+        if name == "modules":
+            return within
+        within = within.join(moved.select(F.col("path").alias(key)), key, "left_semi") if name == "state" else within
+        return a.join(moved.select(F.col("path").alias(key)), key, "left_anti").select(*a.columns).unionByName(within.select(*a.columns))
+
+    version = max(at.values()) + 1
+    version = max(version, versions(spark, store)[-1] + 1)
+    counts = _write(Extracted(*[merged(c.name) for c in columns_of(Extracted)]), store, version, len(at))
+    _list(spark, store, version, at | dict.fromkeys(touched, version), counts)
+    return out
 
 
 def find_module(spark: SparkSession, root: str, name: str, strict: bool = True, max_depth: int | None = 3) -> DataFrame:
-    """The record of one module of a tree, by the name of its directory: only its own manifest is read."""
-    listed = settled(files.listing(spark, root, hidden=strict), "tree")
-    found = files.module_directories(listed, max_depth, inclusive=not strict, hidden=strict).filter(F.col("module") == name)
-    return records.modules(found, syntax.parse_manifests(files.contents(found.select(F.col("manifest").alias("path")), root)), strict)
-
-
-def run_report(x: Extracted, graph: Graph, seconds: float) -> DataFrame:
-    """run_counts() with the run's errors (broken files and errors of modules), relationships and duration: name, n."""
-    errors = x.broken.select(F.lit(1).alias("e")).unionByName(x.modules.select(F.explode("errors")).select(F.lit(1).alias("e"))).agg(F.count("*").alias("n"))
-    more = [errors.select(F.lit("errors").alias("name"), F.col("n").cast("double").alias("n")), graph.typed_edges().agg(F.count("*").cast("double").alias("n")).select(F.lit("relationships").alias("name"), "n"), x.modules.sparkSession.createDataFrame([("seconds", float(seconds))], "name string, n double")]
-    out = run_counts(x).withColumn("n", F.col("n").cast("double"))
-    for part in more:
-        out = out.unionByName(part)
-    return out
+    """The record of one module of a tree, by the name of its directory. The walk stays out of modules, and only manifests of that name are opened."""
+    most = {"contentBytes": files.MANIFEST_BYTES} if strict else {}
+    rows = tree.read(spark, root, hidden=strict, prune=",".join(files.MANIFESTS), content=True, partitions=spark.sparkContext.defaultParallelism, **most).filter(F.col("name").isin(*files.MANIFESTS) & ~F.col("is_dir") & (F.col("directory") == name))
+    if max_depth is not None:
+        rows = rows.filter(F.col("depth") < max_depth if strict else F.col("depth") <= max_depth)
+    rows = rows.groupBy("parent").agg(F.min(F.struct(F.array_position(F.array(*map(F.lit, files.MANIFESTS)), F.col("name")).alias("k"), "path", "directory", "name", "length", "content")).alias("m")).select("m.*")
+    found = settled(rows.select(F.col("directory").alias("module"), F.col("path").alias("manifest"), F.col("name").alias("manifest_file"), F.col("length").alias("manifest_bytes"), "content"), "found")
+    return records.modules(found.drop("content"), syntax.parse_manifests(found.filter("content is not null").select(F.col("manifest").alias("path"), "content")), strict)
+
+
+def run_report(spark: SparkSession, counts: dict[str, int], relationships: int, seconds: float) -> DataFrame:
+    """name, n of a run, from what was counted while its records and edges were written: no table is read again."""
+    rows = [(k, float(n)) for k, n in counts.items()] + [("relationships", float(relationships)), ("seconds", float(seconds))]
+    return spark.createDataFrame(rows, "name string, n double")
 
 
 def run_counts(x: Extracted) -> DataFrame:

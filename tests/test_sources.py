@@ -196,3 +196,53 @@ def test_command_line(spark, tree, tmp_path, rows):
     assert rows(ask("find-field", "extra")[0], "model") == [("res.partner",)]
     assert ask("sql", "select count(*) from edges")[0].first()[0] > 0
     assert ask("stats")[0].count() > 0 and ask("config")[0].count() >= 1
+
+
+def places(store, version):
+    """table/bucket of all that a version has written."""
+    from pathlib import Path
+
+    return {"/".join(p.parts[-3:-1]) for p in Path(store).glob(f"version={version}/*/bucket=*/*.parquet")}
+
+
+def test_refresh_writes_touched_buckets_only(spark, tmp_path, rows):
+    root, store = tmp_path / "many", str(tmp_path / "store")
+    for k in range(40):
+        (root / f"m{k}/models").mkdir(parents=True)
+        (root / f"m{k}/__manifest__.py").write_text(f"{{'name': 'M{k}'}}")
+        (root / f"m{k}/models/a.py").write_text(f"class A(models.Model):\n    _name = 'a{k}'\n    x = fields.Char()\n")
+    index.refresh(spark, str(root), store)
+    assert index.versions(spark, store) == [1]
+    index.refresh(spark, str(root), store)
+    assert index.versions(spark, store) == [1]  # nothing has changed
+    (root / "m7/models/a.py").write_text("class A(models.Model):\n    _name = 'other'\n")
+    index.refresh(spark, str(root), store)
+    bucket = index.bucket_of("p", index.BUCKETS)
+    own = spark.createDataFrame([("m7/models/a.py",)], "p string").select(bucket).first()[0]
+    assert index.versions(spark, store) == [1, 2] and {p.split("/")[1] for p in places(store, 2)} == {f"bucket={own}"}
+    assert len(places(store, 1)) > 60
+    now, before = index.load(spark, store), index.load(spark, store, 1)
+    assert {r[0] for r in rows(before.defs, "name")} - {r[0] for r in rows(now.defs, "name")} == {"a7"}
+    assert now.fields.count() == 39 and before.fields.count() == 40 and rows(now.modules) == rows(before.modules)
+    (root / "m9/__manifest__.py").unlink()  # a module goes, with all its files
+    (root / "m3/__openerp__.py").write_text("{'name': 'older'}")  # not the preferred manifest
+    assert dict(index.refresh(spark, str(root), store).collect()) == {"deleted": 2, "new": 1, "unchanged": 78}
+    now = index.load(spark, store)
+    assert ("m9",) not in rows(now.modules, "name") and now.modules.count() == 39 and ("a9",) not in rows(now.defs, "name")
+    (root / "m3/__manifest__.py").unlink()
+    index.refresh(spark, str(root), store)
+    assert rows(index.load(spark, store).modules.filter("name = 'm3'"), "display_name", "manifest_file") == [("older", "__openerp__.py")]
+    full = index.extract(spark, str(root))
+    for name in ("modules", "defs", "fields", "views", "broken"):
+        assert rows(getattr(index.load(spark, store), name), *getattr(full, name).columns) == rows(getattr(full, name)), name
+
+
+def test_run_counts_are_taken_while_writing(spark, tree, tmp_path, rows):
+    x, store = index.extract(spark, str(tree), strict=True, max_depth=None), str(tmp_path / "store")
+    counts = index.save(x, store)
+    stored = index.load(spark, store)
+    assert {k: n for k, n in counts.items() if k != "errors"} == dict(index.run_counts(stored).collect())
+    assert counts["errors"] == stored.broken.count() + sum(len(r["errors"]) for r in stored.modules.collect()) > 2
+    assert dict(index.runs(spark, store).select("name", "n").collect()) == counts
+    report = dict(index.run_report(spark, counts, 7, 1.5).collect())
+    assert report["relationships"] == 7 and report["seconds"] == 1.5 and report["modules"] == counts["modules"]
