@@ -4,7 +4,7 @@ Texts are cut into pre-tokens with their positions. Documents are taken in lists
 each position, the number of its word in the list. The distinct words of a list are exploded to PACKS rows by their hash, each with a packed
 array of words and their numbers. These rows are shuffled and sorted by pack, so each distinct word of the corpus is encoded once, beside
 all lists that have it; its ids are joined back to these, and every list reassembles its documents by position. Positions are written
-once, bucketed by list, so that they never move again. Decoding looks ids up in the table of token bytes, whose size the vocabulary fixes.
+once, bucketed by list, so that they never move again (the catalogue holds that table only until the result is planned). Decoding looks ids up in the table of token bytes, whose size the vocabulary fixes.
 
 Defined results: null and empty texts have no tokens and hash as empty bytes. Repeated rows and repeated or null doc_ids give one
 result row each. Texts are taken whole at any length. An empty table gives an empty result. Other columns are ignored.
@@ -214,4 +214,6 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     words = made.filter("pack is not null").select("list", "pack", "words", "sizes", "numbers").repartition(n, "pack").sortWithinPartitions("pack")
     ids = words.mapInArrow(released(coding(path, pattern)), "of long, numbers binary, ids binary, counts binary")
     places = made.filter("at is not null").select("list", "doc_id", "at")
-    return places.groupBy("list").cogroup(ids.groupBy("of")).applyInArrow(reassembling(path), "doc_id long, n_tokens long, ids binary, decoded binary")
+    done = places.groupBy("list").cogroup(ids.groupBy("of")).applyInArrow(reassembling(path), "doc_id long, n_tokens long, ids binary, decoded binary")
+    spark.sql(f"DROP TABLE {name}")  # the catalogue forgets it; its files, which the plan has resolved, stay in the shared folder
+    return done

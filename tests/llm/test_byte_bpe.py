@@ -47,3 +47,10 @@ def test_every_code_point(spark, tokenizer):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: bytes(r["ids"]) for r in encode(df).collect()}
     assert all(got[k] == np.array(tokenizer.encode_ordinary(t), "<u4").tobytes() for k, t in enumerate(texts))
+
+
+def test_leaves_no_table(spark, odd, tokenizer):
+    before = {t.name for t in spark.catalog.listTables()}
+    done = encode(odd)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert done.count() == odd.count() and "SelectedBucketsCount" in done._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
