@@ -25,7 +25,8 @@ from .segment import Distinct, unknown
 from .shared import parts, slices, small, text_bytes, written
 
 END, SHARD_IDS, SHARE = 1, 1 << 18, 4
-KNOWN = 500_000  # words whose ids a task remembers
+KNOWN = 500_000  # words whose ids a process remembers
+SLICE = 2 << 20  # bytes of text that are cut into words at once
 
 
 @functools.cache
@@ -148,15 +149,20 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
 
     def numbered(at: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers from `first` on for the pairs at these positions, -1 for a pair that occurs once; the symbols and counts of the numbered ones."""
-        key = s[at].astype(np.int64) << 32 | s[at + 1]
-        order = np.argsort(key)
-        key = key[order]
+        wide, n = (base + many).bit_length(), len(at).bit_length()
+        if 2 * wide + n < 63:  # pairs with their places behind them: sorting values is faster than sorting places by values
+            key = np.sort((s[at].astype(np.int64) << wide | s[at + 1]) << n | np.arange(len(at)))
+            order, key = key & ((1 << n) - 1), key >> n
+        else:
+            key = s[at].astype(np.int64) << wide | s[at + 1]
+            order = np.argsort(key)
+            key = key[order]
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
         n = np.diff(np.append(new, len(key)))
         often, out = n > 1, np.empty(len(at), np.int64)
         out[order] = np.repeat(np.where(often, first - 1 + np.cumsum(often), -1), n)
         key = key[new[often]]
-        return out, np.stack([key >> 32, key & 0xFFFFFFFF], 1).astype(np.int32), n[often]
+        return out, np.stack([key >> wide, key & ((1 << wide) - 1)], 1).astype(np.int32), n[often]
 
     pair = np.full(len(s), -1, np.int64)
     at = np.flatnonzero(~ends[s[:-1]])
@@ -263,7 +269,7 @@ def sharding(path: str, shard_ids: int):
         part, shard, encode, docs, ids, n = TaskContext.get().partitionId(), 0, encoder(path), [], [], 0
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE):
                 for doc, x in zip(batch.column(0).slice(i, j - i).to_pylist(), encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]), strict=True):
                     docs.append(doc), ids.append(np.append(x, np.int32(END)))
                     n += len(x) + 1
