@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..graph import Graph
 from ..operators import changes, lookups, paths, summaries, upserts
-from ..sources import files, index, records, syntax, tree
+from ..sources import files, index, records, syntax, table_functions, tree
 from . import derive, trees
 from .derive import TWINS, read
 from .trees import TREES
@@ -182,9 +182,14 @@ def parsed_modules(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     return m.select("name", "display_name", "version", "category", "installable", F.array_join("depends", "|").alias("depends"), F.size("errors").alias("n_errors"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that may be one small file, dealt to all tasks before costly work on them."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("from x import fields, models\n\nclass Part(models.Model):\n    _name = '"), text_of("p_partkey"), F.lit("'\n    _inherit = ['"), "p_brand", F.lit("']\n    _description = \"\"\""), "p_type", F.lit("\"\"\"\n    size = fields.Integer('Size', required=True, default="), text_of("p_size"), F.lit(")\n    maker = fields.Many2one('"), "p_brand", F.lit("')\n\nclass Plain:\n    _name = 'none'\n"))
-    return read(spark, sf_dir, "part").select(text_of("p_partkey").alias("path"), text.cast("binary").alias("content"))
+    return spread(read(spark, sf_dir, "part")).select(text_of("p_partkey").alias("path"), text.cast("binary").alias("content"))
 
 
 def text_of(column: str):
@@ -197,7 +202,7 @@ def parsed_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def view_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = derive.views(spark, sf_dir)
+    v = spread(derive.views(spark, sf_dir))
     inherit = F.coalesce(F.concat(F.lit('<field name="inherit_id" ref="'), "inherit_id", F.lit('"/>')), F.lit(""))
     text = F.concat(F.lit('<data><record id="'), "xml_id", F.lit('" model="ir.ui.view"><field name="name">'), "name", F.lit('</field><field name="model">'), "model", F.lit("</field>"), inherit, F.lit('<field name="arch" type="xml"><'), "view_type", F.lit("/></field></record></data>"))
     return v.select(F.col("xml_id").alias("path"), "module", text.cast("binary").alias("content"))
@@ -232,3 +237,19 @@ tree_query("index_refresh", trees.refreshed, "SELECT CASE WHEN p_size BETWEEN 1
 tree_query("find_module_in_tree", lambda s, d: index.find_module(s, trees.indexed(s, d).root, "m7").select("name", "display_name", "version", F.array_join("depends", "|").alias("depends")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, concat('m', s_nationkey) AS depends FROM mods WHERE name = 'm7'")
 tree_query("scan_tree", lambda s, d: tree.read(s, trees.indexed(s, d).root).filter((F.col("depth") == 2) & F.col("name").endswith(".xml") & (F.col("length") <= files.XML_BYTES)).select("path", "directory", "is_dir", "depth"), "SELECT concat(name, '/views/v.xml') AS path, 'views' AS directory, false AS is_dir, 2 AS depth FROM mods")
 tree_query("index_refresh_unchanged", trees.unchanged, "SELECT 'unchanged' AS change, (SELECT count(*) FROM files) + 2 * count(*) AS n FROM mods")
+
+# ---- the parsers as table functions of SQL
+
+
+def with_functions(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table_functions.register(spark)
+        model_texts(spark, sf_dir).createOrReplaceTempView("model_files")
+        view_texts(spark, sf_dir).createOrReplaceTempView("view_files")
+        return spark.sql(text)
+
+    return run
+
+
+register("sql_parse_classes", with_functions("SELECT path, class_name, line_number, array_join(bases, '|') AS bases, attributes['_inherit'].items[0].text AS inherit, cast(size(fields) as bigint) AS n_fields FROM parse_classes(TABLE(SELECT path, content FROM model_files))"), "SELECT CAST(p_partkey AS VARCHAR) AS path, 'Part' AS class_name, 3 AS line_number, 'models.Model' AS bases, p_brand AS inherit, CAST(2 AS BIGINT) AS n_fields FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'Plain', 10, '', NULL, 0 FROM part", twins=False)
+register("sql_records_of", with_functions("SELECT f.path, f.module, r.id, r.fields['model'].text AS model, r.fields['arch'].child AS kind, r.fields['inherit_id'].ref AS inherit_id FROM view_files f, LATERAL records_of(f.content) r"), "SELECT xml_id AS path, module, xml_id AS id, model, view_type AS kind, inherit_id FROM views")

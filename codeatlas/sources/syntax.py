@@ -3,10 +3,12 @@
 import ast
 import json
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .schemas import CLASS, MANIFEST, RECORD
 
@@ -35,8 +37,9 @@ def value(x) -> dict:
     return item(x) | {"items": [item(y) for y in x] if isinstance(x, list) else None}
 
 
-def values(d: dict) -> dict:
-    return {k: value(v) for k, v in d.items() if isinstance(k, str)}
+def values(d: dict) -> list[tuple]:
+    """A map's entries."""
+    return [(k, value(v)) for k, v in d.items() if isinstance(k, str)]
 
 
 def decoded(content: bytes) -> tuple[str, bool]:
@@ -106,8 +109,8 @@ def classes(content: bytes, strict: bool = False) -> Iterator[tuple]:
                     attributes[name] = value(literal(stmt.value))
                 if isinstance(stmt.value, ast.Call) and isinstance(stmt.value.func, ast.Attribute):
                     call = stmt.value
-                    fields[name] = {"name": name, "owner": dotted(call.func.value), "type": call.func.attr, "first": value(literal(call.args[0])) if call.args else None, "keywords": {k.arg: value(literal(k.value)) for k in call.keywords if k.arg}}
-        yield node.name, node.lineno, [b for b in map(dotted, node.bases) if b], attributes, list(fields.values()), None
+                    fields[name] = {"name": name, "owner": dotted(call.func.value), "type": call.func.attr, "first": value(literal(call.args[0])) if call.args else None, "keywords": list({k.arg: value(literal(k.value)) for k in call.keywords if k.arg}.items())}
+        yield node.name, node.lineno, [b for b in map(dotted, node.bases) if b], list(attributes.items()), list(fields.values()), None
 
 
 def records(content: bytes, model: str = "ir.ui.view") -> Iterator[tuple]:
@@ -123,38 +126,40 @@ def records(content: bytes, model: str = "ir.ui.view") -> Iterator[tuple]:
             if f.get("name"):
                 child = next((c.tag for c in f if isinstance(c.tag, str)), None)
                 fields[f.get("name")] = {"ref": f.get("ref"), "text": f.text, "eval": f.get("eval"), "child": child}
-        yield r.get("id", ""), n, fields, None
+        yield r.get("id", ""), n, list(fields.items()), None
 
 
-def _rows(parse, columns: list[str], many: bool):
-    def run(frames):
-        for frame in frames:
-            out = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                out += [(path, *row) for row in (parse(bytes(content)) if many else [parse(bytes(content))])]
-            yield pd.DataFrame(out, columns=columns)
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
-    return run
 
+def parsed(path: pa.Array, content: pa.Array, parse: Callable, schema: pa.Schema, many: bool) -> pa.RecordBatch:
+    """What parse makes of each content, as rows of a schema; a null content is an empty file."""
+    rows = []
+    for p, c in zip(path.to_pylist(), content.to_pylist(), strict=True):
+        rows += [(p, *row) for row in (parse(c or b"") if many else [parse(c or b"")])]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-def _names(ddl: str) -> list[str]:
-    import re
 
-    flat, depth = "", 0
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        flat += c if not depth and c != ">" else ""
-    return [re.match(r"\s*(\w+)", part)[1] for part in flat.split(",")]
+def _mapped(files: DataFrame, parse: Callable, ddl: str, many: bool) -> DataFrame:
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            yield parsed(batch.column(0), batch.column(1), parse, schema, many)
+
+    return files.select("path", "content").mapInArrow(run, ddl)
 
 
 def parse_manifests(files: DataFrame) -> DataFrame:
     """files: (path, content). See schemas.MANIFEST."""
-    return files.select("path", "content").mapInPandas(_rows(manifest, _names(MANIFEST), False), MANIFEST)
+    return _mapped(files, manifest, MANIFEST, False)
 
 
 def parse_classes(files: DataFrame, strict: bool = False) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_rows(lambda content: classes(content, strict), _names(CLASS), True), CLASS)
+    return _mapped(files, lambda content: classes(content, strict), CLASS, True)
 
 
 def parse_records(files: DataFrame) -> DataFrame:
-    return files.select("path", "content").mapInPandas(_rows(records, _names(RECORD), True), RECORD)
+    return _mapped(files, records, RECORD, True)
