@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import base_name, shortened
-from .operators import lookups, paths, summaries
+from .graph import watched
+from .operators import lookups, paths, summaries, upserts
 from .sources import index
 
 
@@ -55,6 +56,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("field")
     c.add_argument("--model")
     c.add_argument("--limit", type=int, default=20)
+    c = sub.add_parser("dump", help="write a table of the store as JSON lines")
+    c.add_argument("path")
+    c.add_argument("--table", default="modules", choices=("modules", "models", "fields", "views", "edges"))
     c = sub.add_parser("sql")
     c.add_argument("text")
     return p
@@ -74,6 +78,11 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> list[DataFrame]:
         g = index.model_graph(index.load(spark, a.store))
         return [index.run_report(spark, counts, g.typed_edges().count(), time.time() - begun)]
     g = index.model_graph(index.load(spark, a.store))
+    if a.command == "dump":
+        df = g.typed_edges() if a.table == "edges" else getattr(g, a.table)
+        df, seen = watched(df, n=F.count(F.lit(1)))
+        upserts.dump_json(df, a.path)
+        return [spark.createDataFrame([(a.table, seen.get["n"])], "table string, n long")]
     if a.command == "stats":
         return [summaries.statistics(g)]
     if a.command == "dependencies":

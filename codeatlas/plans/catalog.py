@@ -118,7 +118,7 @@ register("large_models", lambda s, d: summaries.large_models(definitions(s, d),
 register("orphan_views", on_graph(lambda g: summaries.orphan_views(g.views.withColumn("model", F.when(F.col("view_type") == "form", "").otherwise(F.col("model")))).select("xml_id")), "SELECT xml_id FROM views WHERE view_type = 'form'")
 
 # ---- writing
-register("upsert_last_writer", on_graph(lambda g: g.fields), "SELECT * FROM fields")
+register("upsert_last_writer", derive.fields, "SELECT * FROM fields")
 register("upsert_into_snapshot", lambda s, d: upserts.upsert(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("n_name"), "s_suppkey"), ["n_nationkey"], ["s_suppkey"]), "SELECT n_nationkey, coalesce(max_by(s_name, s_suppkey), any_value(n_name)) AS n_name FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 0 GROUP BY n_nationkey", twins=False)
 _KEPT, _KNOWN = "not startswith(file_path, '/base/')", "not startswith(file_path, '/other/')"
 register("edge_endpoint_check", on_graph(lambda g: upserts.linked(g.edges["INHERITS_FROM"].select("src", "dst"), g.models.filter(_KEPT), g.models.filter(_KNOWN))), "SELECT DISTINCT src, dst FROM inherits JOIN models a ON a.name = src JOIN models b ON b.name = dst WHERE a.file_path NOT LIKE '/base/%' AND b.file_path NOT LIKE '/other/%'")
@@ -253,3 +253,10 @@ def with_functions(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 register("sql_parse_classes", with_functions("SELECT path, class_name, line_number, array_join(bases, '|') AS bases, attributes['_inherit'].items[0].text AS inherit, cast(size(fields) as bigint) AS n_fields FROM parse_classes(TABLE(SELECT path, content FROM model_files))"), "SELECT CAST(p_partkey AS VARCHAR) AS path, 'Part' AS class_name, 3 AS line_number, 'models.Model' AS bases, p_brand AS inherit, CAST(2 AS BIGINT) AS n_fields FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'Plain', 10, '', NULL, 0 FROM part", twins=False)
 register("sql_records_of", with_functions("SELECT f.path, f.module, r.id, r.fields['model'].text AS model, r.fields['arch'].child AS kind, r.fields['inherit_id'].ref AS inherit_id FROM view_files f, LATERAL records_of(f.content) r"), "SELECT xml_id AS path, module, xml_id AS id, model, view_type AS kind, inherit_id FROM views")
+
+# ---- the strict reading of the same tree
+tree_query("index_strict_modules", lambda s, d: trees.strict(s, d).modules.select("name", "display_name", "version", "category", "installable", F.array_join("depends", "|").alias("depends"), F.array_join("errors", "|").alias("errors")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, 'Uncategorized' AS category, s_acctbal > 0 AS installable, concat('m', s_nationkey) AS depends, concat('name ', display_name, ' differs from directory ', name) AS errors FROM mods")
+tree_query("index_strict_models", lambda s, d: trees.strict(s, d).defs.select("own_name", "name", "module", "class_name", "model_type", F.array_join("inherits", "|").alias("inherits"), F.to_json("inherits_delegation").alias("delegates"), "description", "line_number", F.col("n_fields").cast("long").alias("n_fields")), "SELECT name AS own_name, name, module, 'Part' AS class_name, 'redefined' AS model_type, concat('part.', p_partkey - 1) AS inherits, CASE WHEN p_size % 2 = 0 THEN concat('{\"part.', p_partkey - 1, '\":\"base_id\"}') ELSE '{}' END AS delegates, p_type AS description, 3 AS line_number, CAST(2 AS BIGINT) AS n_fields FROM files")
+tree_query("index_strict_fields", lambda s, d: trees.strict(s, d).fields.select("name", "model_name", "module", "field_type", "string", "required", "readonly", "comodel_name", "line_number"), "SELECT 'size' AS name, name AS model_name, module, 'Integer' AS field_type, '' AS string, false AS required, false AS readonly, CAST(NULL AS VARCHAR) AS comodel_name, 3 AS line_number FROM files UNION ALL SELECT 'same', name, module, 'Many2one', '', false, false, NULL, 3 FROM files")
+tree_query("index_strict_views", lambda s, d: trees.strict(s, d).views.select("xml_id", "name", "model", "view_type", "module", "inherit_id", "priority", "mode"), "SELECT concat(name, '.v') AS xml_id, display_name AS name, concat('part.', s_suppkey) AS model, 'kanban' AS view_type, name AS module, CASE WHEN s_suppkey <> s_nationkey THEN concat('m', s_nationkey, '.v') END AS inherit_id, 16 AS priority, CASE WHEN s_suppkey <> s_nationkey THEN 'extension' ELSE 'primary' END AS mode FROM mods")
+tree_query("index_modules_by_display_name", lambda s, d: index.class_graph(trees.strict(s, d), by_display_name=True).modules.select("name", "version", "file_path"), "SELECT display_name AS name, concat('1.', s_nationkey) AS version, concat(name, '/__manifest__.py') AS file_path FROM mods")

@@ -89,6 +89,15 @@ def class_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return index.class_graph(indexed(spark, sf_dir).records)
 
 
+def strict(spark: SparkSession, sf_dir: str) -> index.Extracted:
+    """What the strict reading makes of the same tree, at any depth; stored once beside it."""
+    x = indexed(spark, sf_dir)
+    store = f"{x.store}-strict"
+    if not index.versions(spark, store):
+        index.save(index.extract(spark, x.root, strict=True, max_depth=None), store)
+    return index.load(spark, store)
+
+
 def unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """change, n of a refresh of a tree that hasn't changed."""
     x = indexed(spark, sf_dir)

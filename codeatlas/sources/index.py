@@ -80,10 +80,15 @@ def model_graph(x: Extracted) -> Graph:
     return Graph(modules, models, fields, views, edges)
 
 
-def class_graph(x: Extracted) -> Graph:
-    """Models by name and module, extensions included: nodes are named module:name, INHERITS joins all definitions of equal names."""
+def class_graph(x: Extracted, by_display_name: bool = False) -> Graph:
+    """Models by name and module, extensions included: nodes are named module:name, INHERITS joins all definitions of equal names.
+
+    by_display_name: modules are keyed by the name in their manifest, as that reading's loader has them, and not by their directory; what names a
+    directory that is no such name then finds no module.
+    """
     place = ("file_path", "line_number")
-    modules = upserts.last_writer(x.modules, ["name"], ["file_path"])
+    named = x.modules.withColumn("name", F.col("display_name")) if by_display_name else x.modules
+    modules = upserts.last_writer(named, ["name"], ["file_path"])
     node = F.concat_ws(":", "module", "name")
     models = upserts.last_writer(x.defs.drop("own_name"), ["name", "module"], place).withColumn("label", F.col("name")).withColumn("name", node)
     views = upserts.last_writer(x.views, ["xml_id"], ("file_path", "position"))

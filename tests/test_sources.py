@@ -143,6 +143,28 @@ def test_class_graph(spark, tree, rows):
     assert ("base.form", "base:res.partner") in rows(g.edges["DISPLAYS"], "src", "dst")
 
 
+def test_modules_by_display_name(spark, tree, rows):
+    x = index.extract(spark, str(tree), strict=True, max_depth=None)
+    names = {r["name"] for r in x.modules.collect()}
+    g = index.class_graph(x, by_display_name=True)
+    shown = {r["display_name"] for r in x.modules.collect()}
+    assert {r[0] for r in rows(g.modules, "name")} == shown != names
+    assert {r[0] for r in rows(g.edges["CONTAINS"], "src")} <= shown
+
+
+def test_strict_skips_what_is_not_utf8(spark, tree, rows):
+    (tree / "base/models/latin.py").write_bytes("# é\nclass L(models.Model):\n    _name = 'latin.one'\n".encode("latin-1"))
+    (tree / "base/models/large.py").write_text("class B(models.Model):\n    _name = 'large.one'\n" + "#" * (1 << 20))
+    strict, loose = index.extract(spark, str(tree), strict=True, max_depth=None), index.extract(spark, str(tree))
+    assert not {("latin.one",), ("large.one",)} & set(rows(strict.defs, "name")) and {("latin.one",), ("large.one",)} <= set(rows(loose.defs, "name"))
+    assert ("base/models/latin.py", "not UTF-8") in rows(strict.broken, "path", "error")
+
+
+def test_dependency_lists(spark, rows):
+    m = spark.createDataFrame([("a", "p1", ["x"]), ("a", "p2", ["y", "z"]), ("b", "p1", [])], "name string, file_path string, depends array<string>")
+    assert rows(records.dependency_lists(m)) == [("a", ["y", "z"]), ("b", [])]
+
+
 def test_refresh(spark, tree, tmp_path, rows):
     store = str(tmp_path / "store")
     first = index.refresh(spark, str(tree), store)
@@ -195,6 +217,10 @@ def test_command_line(spark, tree, tmp_path, rows):
     assert rows(ask("inheritance", "res.partner")[0], "parent") == [("mail.thread",)]
     assert rows(ask("find-field", "extra")[0], "model") == [("res.partner",)]
     assert ask("sql", "select count(*) from edges")[0].first()[0] > 0
+    assert rows(ask("dump", str(tmp_path / "out"))[0]) == [("modules", 4)]
+    dumped = {r["name"]: r for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert set(dumped) == {"sale", "base", "old", "product"} and dumped["sale"]["depends"] == ["base", "product"] and dumped["sale"]["display_name"] == "Sales"
+    assert ask("dump", str(tmp_path / "edges"), "--table", "edges")[0].first()["n"] == spark.read.json(str(tmp_path / "edges")).count() > 0
     assert ask("stats")[0].count() > 0 and ask("config")[0].count() >= 1
 
 
