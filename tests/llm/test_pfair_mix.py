@@ -42,6 +42,27 @@ def test_odd_documents(odd, odd_documents):
     assert all(r["in_mix"] == (r["slot"] < horizon) for r in found)
 
 
+def test_odd_documents_by_exact_weights(odd, odd_documents):
+    """The form of the registered query: every row has a place, blocks of a source follow its sizes, and each slot holds one block, in the order of schedule()."""
+    weights = {"web": 3.0, None: 1.0, "book": 2.0}
+    found = p.mix(odd, weights, block_chars=2000).collect()
+    assert sorted(((r["doc_id"], r["source"], r["size"]) for r in found), key=repr) == sorted(((d[0], d[3], len(d[1] or "")) for d in odd_documents), key=repr)
+    sizes = defaultdict(int)
+    for r in found:
+        sizes[r["source"]] += r["size"]
+    whole = p.whole(weights)
+    plan = list(p.schedule([(s, whole[s], max(1, -(-sizes[s] // 2000))) for s in weights]))
+    at = {(s, k): t for s, k, t, real in plan if real}
+    end = next((t for _, _, t, real in plan if not real), None)
+    assert len(set(at.values())) == len(at)
+    for r in found:
+        assert r["block"] == min(r["start"] // 2000, max(0, -(-sizes[r["source"]] // 2000) - 1)) and r["slot"] == at[r["source"], r["block"]]
+        assert r["in_mix"] == (end is None or r["slot"] < end)
+    for s in weights:
+        places = sorted((r["start"], r["size"]) for r in found if r["source"] == s and r["size"])
+        assert not places or places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False))
+
+
 def test_sources_without_weight(odd):
     r = p.mix(odd, {"web": 1.0}, period=8).filter("source = 'book'").first()
     assert r["slot"] is None and r["in_mix"] is False
