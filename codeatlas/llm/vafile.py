@@ -5,7 +5,8 @@ smallest hashes), the outer ones reach to the least and greatest component of al
 dimension, in a file of their own; exact vectors stay in another one.
 
 A search scans the cells alone: groups of cells and of queries of bounded size are units of work, which give lower and upper bounds of
-inner products and pass on what may be among a query's k best. The kth lower bound over all units then cuts the candidates of each query.
+inner products and pass on what may be among a query's k best; one of them is scanned first, and its kth lower bounds are the floor of all others. The
+kth lower bound over all units then cuts the candidates of each query.
 Exact vectors are read in two steps, from the highest bounds down: first those of the 2 k best upper bounds, then those whose upper bound
 still reaches the kth exact score, so the k best are certain.
 
@@ -78,7 +79,10 @@ def bounds(q: np.ndarray, codes: np.ndarray, borders: np.ndarray) -> tuple[np.nd
 
 
 def scanned(k: int, borders: dict[int, np.ndarray]):
-    """The scan of one unit: cells (vec_id, tag, code) and queries (vec_id, v) to what may be among a query's k best: query_id, qtag, vec_id, tag, low, high."""
+    """The scan of one unit: cells (vec_id, tag, code) and queries (vec_id, v, floor) to what may be among a query's k best: query_id, qtag, vec_id, tag, low, high.
+
+    floor: a score that the query's kth best is known to reach.
+    """
 
     def unit(cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -88,12 +92,13 @@ def scanned(k: int, borders: dict[int, np.ndarray]):
             codes = np.frombuffer(b"".join(cells["code"]), np.uint8).reshape(len(ids), d).astype(np.int64)
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
             q, q_ids, q_tags = np.stack(asked["v"].to_numpy()).reshape(len(asked), d), asked["vec_id"].to_numpy(), asked["qtag"].to_numpy()
+            floors = asked["floor"].to_numpy(dtype=float)
             for i in range(0, len(q), BLOCK):
                 low, high = bounds(q[i : i + BLOCK], codes, borders.get(d, np.zeros((0, 2))))
                 own = ids[None, :] == q_ids[i : i + BLOCK, None]
                 low[own], high[own] = -np.inf, -np.inf
                 each = np.maximum.reduceat(low, first, axis=1)  # an id with several vectors counts once
-                floor = np.partition(each, -k, 1)[:, -k] if len(first) > k else np.full(len(low), -np.inf)
+                floor = np.maximum(np.partition(each, -k, 1)[:, -k] if len(first) > k else -np.inf, floors[i : i + BLOCK])
                 r, c = np.nonzero((high >= floor[:, None]) & (high > -np.inf))
                 out.append(pd.DataFrame({"query_id": q_ids[i + r], "qtag": q_tags[i + r], "vec_id": ids[c], "tag": tags[c], "low": low[r, c], "high": high[r, c]}))
         return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, t) for c, t in zip(("query_id", "qtag", "vec_id", "tag", "low", "high"), ("i8",) * 4 + ("f8",) * 2, strict=True)})
@@ -140,9 +145,18 @@ def candidates(df: DataFrame, is_query, k: int = K, scale: int = 64, cells: int
     deal = lambda g: F.pmod(F.xxhash64("vec_id"), F.lit(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
     left = codes.withColumn("gv", deal(groups_v)).withColumn("gq", every(groups_q))
-    right = queries.withColumn("gq", deal(groups_q)).withColumn("gv", every(groups_v))
-    found = left.repartition(parts(df), "gv", "gq", "d").groupBy("gv", "gq", "d").cogroup(right.groupBy("gv", "gq", "d")).applyInPandas(scanned(k, borders), "query_id long, qtag long, vec_id long, tag long, low double, high double")
-    found = written(found, "bounds")
+    asked = queries.withColumn("gq", deal(groups_q))
+
+    def bounded(cells: DataFrame, floors: DataFrame, units) -> DataFrame:
+        right = floors.withColumn("gv", units)
+        both = cells.repartition(parts(df), "gv", "gq", "d").groupBy("gv", "gq", "d").cogroup(right.groupBy("gv", "gq", "d"))
+        return written(both.applyInPandas(scanned(k, borders), "query_id long, qtag long, vec_id long, tag long, low double, high double"), "bounds")
+
+    # one unit's kth bound of each query first, so that all other units hand on only what may still be better
+    found = bounded(left.filter("gv = 0"), asked.withColumn("floor", F.lit(float("-inf"))), F.lit(0))
+    if groups_v > 1:
+        floors = asked.join(small(written(kth(found, "low", k).withColumnRenamed("kth", "floor"), "floors")), asked["vec_id"] == F.col("query_id"), "left").drop("query_id").na.fill(float("-inf"), ["floor"])
+        found = found.unionByName(bounded(left.filter("gv > 0"), floors, F.explode(F.sequence(F.lit(1), F.lit(groups_v - 1)))))
     left_over = found.join(small(written(kth(found, "low", k), "kth-bound")), "query_id", "left").filter(F.col("high") >= F.coalesce("kth", F.lit(float("-inf"))))
     return v, queries, left_over.select("query_id", "qtag", "vec_id", "tag", "high")
 
