@@ -144,11 +144,11 @@ def versions(spark: SparkSession, store: str) -> list[int]:
 
 def _write(x: Extracted, store: str, version: int, buckets: int) -> dict[str, int]:
     """Writes all rows of x under a version, by bucket; counts of rows, and of errors, taken while they are written."""
-    counts = {}
+    counts, tasks = {}, min(buckets, int(x.modules.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for c in columns_of(Extracted):
         df = getattr(x, c.name)
         metrics = {"n": F.count(F.lit(1)), "errors": F.coalesce(F.sum(F.size("errors")), F.lit(0)) if c.name == "modules" else F.lit(0)}
-        placed, seen = watched(df.withColumn("bucket", bucket_of(PATH_OF[c.name], buckets)).repartition("bucket"), **metrics)
+        placed, seen = watched(df.withColumn("bucket", bucket_of(PATH_OF[c.name], buckets)).repartition(tasks, "bucket"), **metrics)
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/version={version}/{c.name}")
         counts[c.name] = seen.get["n"]
         counts["errors"] = counts.get("errors", 0) + seen.get["errors"] + (counts["broken"] if c.name == "broken" else 0)
