@@ -26,7 +26,9 @@ from .shared import parts, released, shared_dir, slices, text_bytes
 from .words import Spans, mix
 
 #: Bytes of text whose words share one list, and bytes of text that are cut at once.
-LIST_BYTES, PIECE = 16 << 20, 1 << 20
+LIST_BYTES, PIECE = 16 << 20, 1 << 18
+#: Distinct words that are hashed at once.
+HASHED = 1 << 14
 #: Bytes of ids and text that a task hands on at once.
 OUT_BYTES = 4 << 20
 
@@ -61,11 +63,15 @@ def unsqueeze(b: bytes, kind) -> np.ndarray:
 
 
 def pack_of(words: list[bytes]) -> np.ndarray:
-    """The pack of each word, by a hash of its bytes."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes)
-    h = Spans(mix(np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1))).hash(ends - sizes, ends)
-    return (h % np.uint64(PACKS)).astype(np.int32)
+    """The pack of each word, by a hash of its bytes; HASHED words at once, as hashes take some fifty times the memory of what they are made of."""
+    out = np.empty(len(words), np.int32)
+    for i in range(0, len(words), HASHED):
+        some = words[i : i + HASHED]
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        ends = np.cumsum(sizes)
+        h = Spans(mix(np.frombuffer(b"".join(some), np.uint8).astype(np.uint64) + np.uint64(1))).hash(ends - sizes, ends)
+        out[i : i + HASHED] = h % np.uint64(PACKS)
+    return out
 
 
 def listing(batches):

@@ -54,3 +54,17 @@ def test_leaves_no_table(spark, odd, tokenizer):
     done = encode(odd)
     assert {t.name for t in spark.catalog.listTables()} == before
     assert done.count() == odd.count() and "SelectedBucketsCount" in done._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_packs_are_found_in_bounded_memory():
+    """The packs of many words, however they are dealt, with little memory beside the words."""
+    import tracemalloc
+
+    words = [f"word {k}".encode() for k in range(200_000)]
+    byte_bpe.pack_of(words[:10])
+    tracemalloc.start()
+    found = byte_bpe.pack_of(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    assert found[:100].tolist() == byte_bpe.pack_of(words[:100]).tolist() and found[-7:].tolist() == byte_bpe.pack_of(words[-7:]).tolist()
