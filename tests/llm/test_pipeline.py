@@ -80,3 +80,28 @@ def test_rules_judge_rows_not_ids(spark):
 @pytest.mark.parametrize("stage", [f for _, f in c.STAGES])
 def test_empty(spark, none, stage):
     assert stage(spark, none, DATA).count() == 0
+
+
+def test_tokens_lie_in_the_order_of_the_schedule(spark, odd, monkeypatch):
+    """Mixing decides where a document's tokens begin, and other weights move them."""
+    texts, tempered, mix = odd.select(*COLUMNS), c.pfair_mix.tempered, c.pfair_mix.mix
+    tok = byte_bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(c.pfair_mix, "mix", lambda *args, **named: mix(*args, block_chars=512, **named))
+    found = []
+    for power in (0.2, 2.0):
+        monkeypatch.setattr(c.pfair_mix, "tempered", lambda docs, power=power: tempered(docs, power))
+        laid = c.written(dict(c.STAGES)["mixing to target weights"](spark, texts, DATA), "laid")
+        assert content(laid) == content(texts)
+        rows = laid.orderBy(c.PLACE).collect()
+        want, at = [], 0
+        for r in rows:
+            n = len(tok.encode_ordinary(r["text"] or ""))
+            want.append((r["doc_id"], n, at))
+            at += n
+        got = [tuple(r) for r in c.encoding_stage(spark, laid, DATA).select("doc_id", "n_tokens", "start").collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        slots = {(r["doc_id"], r["source"], r["size"]): r["slot"] for r in c.pfair_mix.mix(texts, tempered(texts, power)).filter("doc_id < 60 and doc_id not in (3, 4, 5)").collect()}
+        order = [slots[k] for k in ((r["doc_id"], r["source"], len(r["text"] or "")) for r in rows) if k in slots]
+        assert len(order) > 50 and order == sorted(order)
+        found.append(sorted(got, key=repr))
+    assert found[0] != found[1]
