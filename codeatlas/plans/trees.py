@@ -18,6 +18,7 @@ from ..operators import upserts
 from ..sources import files, index
 from .derive import read, stamp, text
 
+_trees: dict[tuple, str] = {}
 _made: dict[tuple, "Indexed"] = {}
 
 
@@ -40,6 +41,7 @@ def put(rows: DataFrame, root: str) -> None:
     def run(batches):
         import posixpath
 
+        made = set()
         for batch in batches:
             system, top = files._file_system(root)
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -47,12 +49,15 @@ def put(rows: DataFrame, root: str) -> None:
                 if content is None:
                     system.delete_file(at)
                     continue
-                system.create_dir(posixpath.dirname(at), recursive=True)
+                if posixpath.dirname(at) not in made:
+                    system.create_dir(posixpath.dirname(at), recursive=True)
+                    made.add(posixpath.dirname(at))
                 with system.open_output_stream(at) as f:
                     f.write(content.encode())
             yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
 
-    rows.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism  # rows are few bytes, but each is a file to write
+    rows.select("path", "content").repartition(tasks, "path").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
 
 
 @dataclass(frozen=True)
@@ -66,12 +71,22 @@ class Indexed:
     report: DataFrame
 
 
+def tree_of(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a tree written from the tables, once for a folder's files and an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
+    if key not in _trees:
+        root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+        put(sources(spark, sf_dir), root)
+        _trees[key] = root
+    return _trees[key]
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> Indexed:
-    """A tree written from the tables and indexed in full, once for a folder's files and an application."""
+    """The tree of tree_of() indexed in full, once for a folder's files and an application."""
     key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, sf_dir))
     if key not in _made:
-        root, store, place = (f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("tree", "store", "graph"))
-        put(sources(spark, sf_dir), root)
+        root = tree_of(spark, sf_dir)
+        store, place = (f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("store", "graph"))
         begun = time.time()
         counts = index.save(index.extract(spark, root), store)
         records = index.load(spark, store)
@@ -91,10 +106,10 @@ def class_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def strict(spark: SparkSession, sf_dir: str) -> index.Extracted:
     """What the strict reading makes of the same tree, at any depth; stored once beside it."""
-    x = indexed(spark, sf_dir)
-    store = f"{x.store}-strict"
+    root = tree_of(spark, sf_dir)
+    store = f"{root}-strict"
     if not index.versions(spark, store):
-        index.save(index.extract(spark, x.root, strict=True, max_depth=None), store)
+        index.save(index.extract(spark, root, strict=True, max_depth=None), store)
     return index.load(spark, store)
 
 

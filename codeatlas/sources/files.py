@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tree
-from .schemas import CONTENT
 from .tree import ModuleRootError
 from .tree import file_system as _file_system
 
@@ -29,21 +29,33 @@ def listing(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
     return tree.read(spark, root, hidden=hidden).drop("directory", "content")
 
 
-def contents(files: DataFrame, root: str) -> DataFrame:
-    """path and content of listed files; those that can't be read are left out."""
+def contents(files: DataFrame, root: str, keep: Sequence[str] = ()) -> DataFrame:
+    """path, the columns to keep and content of listed files, many files a batch; those that can't be read are left out."""
 
     def read(batches):
         system, top = _file_system(root)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            at, found, size = [], [], 0
+
+            def rows():
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(found, pa.binary())], [*batch.schema.names, "content"])
+
+            for k, path in enumerate(batch.column(0).to_pylist()):
                 try:
                     with system.open_input_stream(f"{top.rstrip('/')}/{path}") as f:
-                        content = f.read()
+                        found.append(f.read())
                 except OSError:
                     continue
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
+                at.append(k)
+                size += len(found[-1])
+                if size >= tree.BYTES:
+                    yield rows()
+                    at, found, size = [], [], 0
+            if at:
+                yield rows()
 
-    return files.select("path").mapInArrow(read, CONTENT)
+    files = files.select("path", *keep)
+    return files.mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())]))
 
 
 def ancestors(path: Column) -> Column:
@@ -73,8 +85,11 @@ def module_directories(listed: DataFrame, max_depth: int | None = 3, inclusive:
 
 def module_files(listed: DataFrame, modules: DataFrame) -> DataFrame:
     """The files below each module: the listing's columns, module, and inside (the path below the module's directory)."""
-    above = listed.filter(~F.col("is_dir")).withColumn("directory", F.explode(ancestors(F.col("path"))))
-    found = above.join(modules.select("module", "directory"), "directory")
+    owners, listed = modules.select("module", "directory"), listed.filter(~F.col("is_dir"))
+    # the root is above every file: as a key of the join it would bring all files to one task
+    above = listed.withColumn("directory", F.explode(F.filter(ancestors(F.col("path")), lambda x: x != "")))
+    found = above.join(owners, "directory")
+    found = found.unionByName(listed.crossJoin(F.broadcast(owners.filter("directory = ''"))))  # one module at most
     return found.withColumn("inside", F.when(F.col("directory") == "", F.col("path")).otherwise(F.expr("substring(path, length(directory) + 2)"))).drop("directory")
 
 
@@ -98,5 +113,5 @@ def is_watched_file() -> Column:
 
 def states(files: DataFrame, root: str, now: float) -> DataFrame:
     """path, hash, timestamp, size, last_processed of listed files."""
-    read = contents(files, root).select("path", F.sha2("content", 256).alias("hash"))
-    return files.select("path", F.col("modified").alias("timestamp"), F.col("length").alias("size")).join(read, "path").select("path", "hash", "timestamp", "size", F.lit(float(now)).alias("last_processed"))
+    read = contents(files, root, ("modified", "length"))
+    return read.select("path", F.sha2("content", 256).alias("hash"), F.col("modified").alias("timestamp"), F.col("length").alias("size"), F.lit(float(now)).alias("last_processed"))

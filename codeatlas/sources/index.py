@@ -42,11 +42,12 @@ def extract(spark: SparkSession, root: str, strict: bool = False, intended: bool
         inside = inside.join(changes.changed(known, state).select("path"), "path", "left_semi")
     python = inside.filter(files.is_model_file(strict) & under("length", files.PYTHON_BYTES))
     xml = inside.filter(files.is_view_file() & under("length", files.XML_BYTES))
-    classes = settled(syntax.parse_classes(files.contents(python, root), strict), "classes")
-    found_views = settled(syntax.parse_records(files.contents(xml, root)), "records")
-    defs = settled(records.model_definitions(classes, python, strict), "definitions")
+    own = ("module",)
+    classes = settled(syntax.parse_classes(files.contents(python, root, own), strict, own), "classes")
+    found_views = settled(syntax.parse_records(files.contents(xml, root, own), own), "records")
+    defs = records.model_definitions(classes, strict=strict)
     owners = defs if strict else _field_owners(defs, intended)
-    return Extracted(modules, defs.withColumn("n_fields", F.size("raw_fields")).drop("raw_fields"), records.fields(owners, strict, intended), records.views(found_views, xml, intended), records.broken(classes).unionByName(records.broken(found_views)), state)
+    return Extracted(modules, defs.withColumn("n_fields", F.size("raw_fields")).drop("raw_fields"), records.fields(owners, strict, intended), records.views(found_views, intended=intended), records.broken(classes).unionByName(records.broken(found_views)), state)
 
 
 def _field_owners(defs: DataFrame, intended: bool) -> DataFrame:
@@ -60,12 +61,12 @@ def _field_owners(defs: DataFrame, intended: bool) -> DataFrame:
 def model_graph(x: Extracted) -> Graph:
     """Models by name alone: the last definition by path and line wins, and edges need both ends."""
     place = ("file_path", "line_number")
-    modules = upserts.last_writer(x.modules, ["name"], ["file_path"])
+    modules = settled(upserts.last_writer(x.modules, ["name"], ["file_path"]), "modules")
     defined = records.defining(x.defs)
-    models = upserts.last_writer(defined.select("name", "description", "module", "file_path", "line_number", "class_name"), ["name"], place)
+    models = settled(upserts.last_writer(defined.select("name", "description", "module", "file_path", "line_number", "class_name"), ["name"], place), "models")
     fields = upserts.last_writer(x.fields, ["name", "model_name"], place)
-    fields = fields.join(models.select(F.col("name").alias("model_name")), "model_name", "left_semi")
-    views = upserts.last_writer(x.views, ["xml_id"], ("file_path", "position"))
+    fields = settled(fields.join(models.select(F.col("name").alias("model_name")), "model_name", "left_semi"), "fields")  # each edge type reads them
+    views = settled(upserts.last_writer(x.views, ["xml_id"], ("file_path", "position")), "views")
     link = upserts.linked
     edges = {
         "DEPENDS_ON": link(modules.select(F.col("name").alias("src"), F.explode("depends").alias("dst")), modules, modules),

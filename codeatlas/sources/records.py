@@ -80,9 +80,9 @@ def _base(prefixed: bool) -> Column:
     return F.exists("bases", lambda b: F.element_at(F.split(b, r"\."), -1).isin(*MODEL_BASES))
 
 
-def model_definitions(parsed: DataFrame, owners: DataFrame, strict: bool = True) -> DataFrame:
-    """One row a class that defines or extends a model. owners: (path, module). Fields stay raw, see fields()."""
-    rows = parsed.filter(F.col("error").isNull() & _base(not strict)).join(owners.select("path", "module"), "path")
+def model_definitions(parsed: DataFrame, owners: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """One row a class that defines or extends a model. owners: (path, module), unless parsed has the module. Fields stay raw, see fields()."""
+    rows = _owned(parsed.filter(F.col("error").isNull() & _base(not strict)), owners)
     a = lambda k: F.col("attributes").getItem(k)
     said = lambda k: F.when(is_string(a(k)), a(k)["text"])
     name, inherit = said("_name"), a("_inherit")
@@ -113,9 +113,13 @@ def fields(defs: DataFrame, strict: bool = False, intended: bool = True) -> Data
     return f.select(F.col("f.name").alias("name"), "model_name", "module", kind.alias("field_type"), *[c.alias(n) for n, c in found.items()], k("default")["kind"].alias("default_type"), *flags, "file_path", "line_number")
 
 
-def views(parsed: DataFrame, owners: DataFrame, intended: bool = True) -> DataFrame:
+def _owned(parsed: DataFrame, owners: DataFrame | None) -> DataFrame:
+    return parsed if owners is None else parsed.join(owners.select("path", "module"), "path")
+
+
+def views(parsed: DataFrame, owners: DataFrame | None = None, intended: bool = True) -> DataFrame:
     """One row a view record; lines aren't known, so line_number is 0. Plain rules drop views whose priority is no whole number."""
-    rows = parsed.filter("error is null").join(owners.select("path", "module"), "path")
+    rows = _owned(parsed.filter("error is null"), owners)
     f = lambda n: F.col("fields").getItem(n)
     said = lambda n: F.when(f(n).isNotNull(), F.coalesce(F.when(f(n)["ref"] != "", f(n)["ref"]), f(n)["text"], F.lit("")))
     inherit, arch = F.nullif(F.trim(said("inherit_id")), F.lit("")), F.coalesce(said("arch"), F.lit(""))

@@ -5,7 +5,6 @@ ITEM = "struct<kind:string,text:string>"
 VALUE = f"struct<kind:string,text:string,items:array<{ITEM}>>"
 VALUES = f"map<string,{VALUE}>"
 
-CONTENT = "path string, content binary"
 MANIFEST = f"path string, loose {VALUES}, strict {VALUES}, loose_error string, strict_error string"
 FIELD = f"struct<name:string,owner:string,type:string,first:{VALUE},keywords:{VALUES}>"
 CLASS = f"path string, class_name string, line_number int, bases array<string>, attributes {VALUES}, fields array<{FIELD}>, error string"

@@ -271,3 +271,24 @@ def test_run_counts_are_taken_while_writing(spark, tree, tmp_path, rows):
     assert dict(index.runs(spark, store).select("name", "n").collect()) == counts
     report = dict(index.run_report(spark, counts, 7, 1.5).collect())
     assert report["relationships"] == 7 and report["seconds"] == 1.5 and report["modules"] == counts["modules"]
+
+
+def test_contents_come_many_files_a_batch(spark, tmp_path):
+    """Files are read into common batches with the columns to keep; unreadable ones are left out."""
+    from codeatlas.sources import files
+
+    for k in range(300):
+        (tmp_path / f"f{k}.py").write_text(f"x = {k}\n")
+    listed = spark.createDataFrame([(f"f{k}.py", f"m{k}") for k in range(310)], "path string, module string").coalesce(1)
+    found = files.contents(listed, str(tmp_path), ("module",))
+    assert sorted((r["path"], r["module"], bytes(r["content"])) for r in found.collect()) == sorted((f"f{k}.py", f"m{k}", f"x = {k}\n".encode()) for k in range(300))
+    sizes = found.select("path").mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert len(sizes) < 300
+
+
+def test_parsers_keep_columns(spark):
+    from codeatlas.sources import syntax
+
+    made = spark.createDataFrame([(f"p{k}", f"class A{k}: pass\nclass B{k}: pass\n".encode(), f"m{k}") for k in range(2100)], "path string, content binary, module string").coalesce(1)
+    found = syntax.parse_classes(made, keep=("module",)).select("path", "class_name", "module").collect()
+    assert sorted(map(tuple, found)) == sorted((f"p{k}", f"{c}{k}", f"m{k}") for k in range(2100) for c in "AB")
