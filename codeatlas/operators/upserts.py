@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import NODE_KEYS, Graph, watched
@@ -22,9 +22,12 @@ def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequ
     return existing.join(latest, list(keys), "left_anti").select(*existing.columns).unionByName(latest)
 
 
-def linked(edges: DataFrame, sources: DataFrame, targets: DataFrame, source_key: str = "name", target_key: str = "name") -> DataFrame:
-    """Distinct edges (src, dst, ...) whose two ends exist; the others are dropped silently."""
-    return edges.join(sources.select(F.col(source_key).alias("src")).distinct(), "src", "left_semi").join(targets.select(F.col(target_key).alias("dst")).distinct(), "dst", "left_semi").select(*edges.columns).distinct()
+def linked(edges: DataFrame, sources: DataFrame, targets: DataFrame, source_key: str = "name", target_key: str = "name", tasks: int | None = None) -> DataFrame:
+    """Distinct edges (src, dst, ...) whose two ends exist; the others are dropped silently. tasks: partitions to work in, for edges that are too many for the session's."""
+    ends = lambda df, key, name: df.select(F.col(key).alias(name)).distinct()
+    dealt = lambda df, key: df.repartition(tasks, key) if tasks else df
+    once = dealt(edges, "src").distinct().join(ends(sources, source_key, "src"), "src", "left_semi")
+    return dealt(once, "dst").join(ends(targets, target_key, "dst"), "dst", "left_semi").select(*edges.columns)
 
 
 def dangling(edges: DataFrame, sources: DataFrame, targets: DataFrame, source_key: str = "name", target_key: str = "name") -> DataFrame:
@@ -53,24 +56,44 @@ def violations(graph: Graph) -> DataFrame:
     return out
 
 
+#: The columns that nodes are sorted by.
+ORDER: Mapping[str, Sequence[str]] = {"modules": ("category", "name"), "models": ("module", "name"), "fields": ("model_name", "field_type", "name"), "views": ("module", "xml_id")}
+EDGES = "src string, dst string, field string, rel_type string"
+
+
+def save_nodes(name: str, nodes: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Writes one of a graph's node tables; how many rows it has."""
+    laid, seen = watched(nodes.sortWithinPartitions(*[c for c in ORDER[name] if c in nodes.columns]), n=F.count(F.lit(1)))
+    laid.write.mode(mode).parquet(f"{path}/{name}")
+    return seen.get["n"]
+
+
+def save_edges(rel_type: str, edges: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Writes the edges of one type, as a partition of the edge table."""
+    only = Graph(edges, edges, edges, edges, {rel_type: edges}).typed_edges(rel_type).drop("rel_type")
+    only.sortWithinPartitions("src", "dst").write.mode(mode).parquet(f"{path}/edges/rel_type={rel_type}")
+
+
+def load_edges(spark: SparkSession, path: str, *types: str) -> DataFrame:
+    """(src, dst, rel_type, field) of the saved edges of some types, or of all."""
+    places = [f"{path}/edges/rel_type={t}" for t in types] or [f"{path}/edges"]
+    return spark.read.schema(EDGES).option("basePath", f"{path}/edges").parquet(*places).select("src", "dst", "rel_type", "field")
+
+
 def save(graph: Graph, path: str, mode: str = "overwrite") -> dict[str, int]:
-    """Writes the graph as Parquet tables under a path, rows sorted by what queries look up, which stands in for indexes. Rows of each table, counted on the way."""
-    order: Mapping[str, Sequence[str]] = {"modules": ("category", "name"), "models": ("module", "name"), "fields": ("model_name", "field_type", "name"), "views": ("module", "xml_id")}
-    counts = {}
-    for name, columns in order.items():
-        df = getattr(graph, name)
-        keys = [c for c in columns if c in df.columns]
-        laid, seen = watched(df.repartitionByRange(*keys).sortWithinPartitions(*keys), n=F.count(F.lit(1)))
-        laid.write.mode(mode).parquet(f"{path}/{name}")
-        counts[name] = seen.get["n"]
-    laid, seen = watched(graph.typed_edges().repartitionByRange("rel_type", "src").sortWithinPartitions("rel_type", "src", "dst"), n=F.count(F.lit(1)))
+    """Writes the graph as Parquet tables under a path, the rows of each file sorted by what queries look up, which stands in for indexes. Rows of each table, counted on the way.
+
+    Rows stay in the partitions that they are in: to find ranges for them, Spark would make every table twice.
+    """
+    counts = {name: save_nodes(name, getattr(graph, name), path, mode) for name in ORDER}
+    laid, seen = watched(graph.typed_edges().sortWithinPartitions("rel_type", "src", "dst"), n=F.count(F.lit(1)))
     laid.write.mode(mode).partitionBy("rel_type").parquet(f"{path}/edges")
     return counts | {"edges": seen.get["n"]}
 
 
 def load(spark, path: str, types: Sequence[str]) -> Graph:
     """A saved graph. Edges of a type are a partition of one table, so a query reads only the types that it names."""
-    table = spark.read.schema("src string, dst string, field string, rel_type string").parquet(f"{path}/edges").select("src", "dst", "rel_type", "field")
+    table = load_edges(spark, path)
     return Graph(*[spark.read.parquet(f"{path}/{n}") for n in ("modules", "models", "fields", "views")], {t: table.filter(F.col("rel_type") == t).select("src", "dst", "field") for t in types}, table)
 
 
