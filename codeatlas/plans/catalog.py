@@ -28,9 +28,9 @@ def on_graph(f: Callable[..., DataFrame], *args, **named) -> Callable[[SparkSess
     return lambda spark, sf_dir: f(derive.graph(spark, sf_dir), *args, **named)
 
 
-# ---- the stored graph, whose making is this query's time and no other's
+# ---- the stored graph, all of it; run first, it has the making in its time, and otherwise each query stores the tables that it reads
 _MADE = " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) AS n FROM {table}" for label, table in (("Module", "modules"), ("Model", "models"), ("Field", "fields"), ("View", "views")))
-register("stored_graph", on_graph(summaries.node_counts), _MADE)
+register("stored_graph", lambda s, d: summaries.node_counts(derive.graph(s, d).store()), _MADE)
 
 # ---- lookups
 register("module_by_name", lambda s, d: lookups.find_module(derive.graph(s, d), MODULE).drop("id"), f"SELECT * FROM modules WHERE name = '{MODULE}'")
@@ -123,7 +123,7 @@ register("upsert_into_snapshot", lambda s, d: upserts.upsert(read(s, d, "nation"
 _KEPT, _KNOWN = "not startswith(file_path, '/base/')", "not startswith(file_path, '/other/')"
 register("edge_endpoint_check", on_graph(lambda g: upserts.linked(g.edges["INHERITS_FROM"].select("src", "dst"), g.models.filter(_KEPT), g.models.filter(_KNOWN))), "SELECT DISTINCT src, dst FROM inherits JOIN models a ON a.name = src JOIN models b ON b.name = dst WHERE a.file_path NOT LIKE '/base/%' AND b.file_path NOT LIKE '/other/%'")
 register("dangling_edges", on_graph(lambda g: upserts.dangling(g.edges["REFERENCES"].select("src", "dst"), g.models, g.models.filter(_KNOWN))), "SELECT DISTINCT model_name AS src, comodel_name AS dst, false AS src_missing, true AS dst_missing FROM fields JOIN models m ON m.name = comodel_name WHERE m.file_path LIKE '/other/%'")
-register("edge_dedupe", lambda s, d: upserts.linked(read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), read(s, d, "part"), read(s, d, "supplier"), "p_partkey", "s_suppkey"), "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey", twins=False)
+register("edge_dedupe", lambda s, d: upserts.linked(read(s, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")), read(s, d, "part"), read(s, d, "supplier"), "p_partkey", "s_suppkey", derive.tasks_for(s, read(s, d, "lineitem").count())), "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey", twins=False)
 register("inherits_by_name", lambda s, d: upserts.inherits_by_name(read(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("module"), F.array(F.concat(F.substring("n_name", 1, 1), F.lit("")), "n_name").alias("inherits"))), "SELECT DISTINCT a.n_name AS src, CAST(a.n_regionkey AS VARCHAR) AS src_module, b.n_name AS dst, CAST(b.n_regionkey AS VARCHAR) AS dst_module FROM nation a JOIN nation b ON b.n_name = a.n_name OR b.n_name = substr(a.n_name, 1, 1)", twins=False)
 register("constraint_violations", lambda s, d: upserts.violations(doubled(s, d)), "SELECT 'models' AS \"table\", concat('[\"', description, '\"]') AS key, count(*) AS n FROM models GROUP BY description HAVING count(*) > 1")
 register("verify_schema", lambda s, d: upserts.verify_schema(doubled(s, d)), "SELECT 'modules_unique' AS \"constraint\", 'modules' AS \"table\", 'name' AS key, true AS holds UNION ALL SELECT 'models_unique', 'models', 'name', false UNION ALL SELECT 'fields_unique', 'fields', 'name,model_name', true UNION ALL SELECT 'views_unique', 'views', 'xml_id', true", twins=False)
@@ -182,14 +182,14 @@ def parsed_modules(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     return m.select("name", "display_name", "version", "category", "installable", F.array_join("depends", "|").alias("depends"), F.size("errors").alias("n_errors"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that may be one small file, dealt to all tasks before costly work on them."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that may be one small file, dealt to all tasks by a key, without sorting, before costly work on them."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("from x import fields, models\n\nclass Part(models.Model):\n    _name = '"), text_of("p_partkey"), F.lit("'\n    _inherit = ['"), "p_brand", F.lit("']\n    _description = \"\"\""), "p_type", F.lit("\"\"\"\n    size = fields.Integer('Size', required=True, default="), text_of("p_size"), F.lit(")\n    maker = fields.Many2one('"), "p_brand", F.lit("')\n\nclass Plain:\n    _name = 'none'\n"))
-    return spread(read(spark, sf_dir, "part")).select(text_of("p_partkey").alias("path"), text.cast("binary").alias("content"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(text_of("p_partkey").alias("path"), text.cast("binary").alias("content"))
 
 
 def text_of(column: str):
@@ -197,12 +197,11 @@ def text_of(column: str):
 
 
 def parsed_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = model_texts(spark, sf_dir)
-    return records.model_definitions(syntax.parse_classes(texts), texts.select("path", F.lit("m").alias("module")))
+    return records.model_definitions(syntax.parse_classes(model_texts(spark, sf_dir).withColumn("module", F.lit("m")), keep=("module",)))
 
 
 def view_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spread(derive.views(spark, sf_dir))
+    v = spread(derive.views(spark, sf_dir), "xml_id")
     inherit = F.coalesce(F.concat(F.lit('<field name="inherit_id" ref="'), "inherit_id", F.lit('"/>')), F.lit(""))
     text = F.concat(F.lit('<data><record id="'), "xml_id", F.lit('" model="ir.ui.view"><field name="name">'), "name", F.lit('</field><field name="model">'), "model", F.lit("</field>"), inherit, F.lit('<field name="arch" type="xml"><'), "view_type", F.lit("/></field></record></data>"))
     return v.select(F.col("xml_id").alias("path"), "module", text.cast("binary").alias("content"))
@@ -212,7 +211,7 @@ register("parse_manifests_loose", lambda s, d: parsed_modules(s, d, False), "SEL
 register("parse_manifests_strict", lambda s, d: parsed_modules(s, d, True), "SELECT CAST(s_suppkey AS VARCHAR) AS name, s_name AS display_name, concat('1.', s_nationkey) AS version, 'Uncategorized' AS category, s_acctbal > 0 AS installable, concat('base|', n_name) AS depends, 1 AS n_errors FROM supplier JOIN nation ON s_nationkey = n_nationkey", twins=False)
 register("parse_models", lambda s, d: parsed_defs(s, d).select("name", "class_name", "model_type", F.array_join("inherits", "|").alias("inherits"), "description", "line_number"), "SELECT CAST(p_partkey AS VARCHAR) AS name, 'Part' AS class_name, 'redefined' AS model_type, p_brand AS inherits, p_type AS description, 3 AS line_number FROM part", twins=False)
 register("parse_fields", lambda s, d: records.fields(parsed_defs(s, d)).select("name", "model_name", "field_type", "string", "required", "comodel_name", "default", "default_type"), "SELECT 'size' AS name, CAST(p_partkey AS VARCHAR) AS model_name, 'Integer' AS field_type, 'Size' AS string, true AS required, CAST(NULL AS VARCHAR) AS comodel_name, CAST(p_size AS VARCHAR) AS \"default\", 'int' AS default_type FROM part UNION ALL SELECT 'maker', CAST(p_partkey AS VARCHAR), 'Many2one', NULL, NULL, p_brand, NULL, NULL FROM part", twins=False)
-register("parse_views", lambda s, d: records.views(syntax.parse_records(view_texts(s, d)), view_texts(s, d)).select("xml_id", "name", "model", "view_type", "module", "inherit_id", "priority", "mode"), "SELECT xml_id, name, model, view_type, module, inherit_id, 16 AS priority, CASE WHEN inherit_id IS NULL THEN 'primary' ELSE 'extension' END AS mode FROM views")
+register("parse_views", lambda s, d: records.views(syntax.parse_records(view_texts(s, d), ("module",))).select("xml_id", "name", "model", "view_type", "module", "inherit_id", "priority", "mode"), "SELECT xml_id, name, model, view_type, module, inherit_id, 16 AS priority, CASE WHEN inherit_id IS NULL THEN 'primary' ELSE 'extension' END AS mode FROM views")
 
 # ---- whole runs, over source trees written from tables
 _DEPENDS = "SELECT a.name AS src, b.name AS dst FROM mods a JOIN mods b ON b.name = concat('m', a.s_nationkey)"
@@ -234,8 +233,8 @@ tree_query("index_edges", lambda s, d: trees.model_graph(s, d).typed_edges("DEPE
 tree_query("index_class_edges", lambda s, d: trees.class_graph(s, d).typed_edges("CONTAINS", "INHERITS", "DISPLAYS"), f"SELECT module AS src, concat(module, ':', name) AS dst, 'CONTAINS' AS rel_type, CAST(NULL AS VARCHAR) AS field FROM files UNION ALL SELECT name, concat(name, '.v'), 'CONTAINS', NULL FROM mods UNION ALL SELECT concat(a.module, ':', a.name), concat(b.module, ':', b.name), 'INHERITS', NULL FROM ({_PARENTS}) e JOIN files a ON a.name = src JOIN files b ON b.name = dst UNION ALL SELECT src, concat(module, ':', dst), 'DISPLAYS', NULL FROM ({_SHOWN}) e JOIN files f ON f.name = dst")
 tree_query("index_counts", lambda s, d: trees.indexed(s, d).report.filter("name <> 'seconds'"), f"SELECT 'modules' AS name, CAST(count(*) AS DOUBLE) AS n FROM mods UNION ALL SELECT 'defs', count(*) FROM files UNION ALL SELECT 'fields', 2 * count(*) FROM files UNION ALL SELECT 'views', count(*) FROM mods UNION ALL SELECT 'broken', 0 UNION ALL SELECT 'errors', 0 UNION ALL SELECT 'state', (SELECT count(*) FROM files) + 2 * count(*) FROM mods UNION ALL SELECT 'relationships', (SELECT count(*) FROM ({_DEPENDS})) + (SELECT count(*) FROM ({_PARENTS})) + (SELECT count(*) FROM ({_SHOWN})) + (SELECT count(*) FROM ({_DELEGATED})) + (SELECT count(*) FROM ({_EXTENDED})) + 4 * (SELECT count(*) FROM files)")
 tree_query("index_refresh", trees.refreshed, "SELECT CASE WHEN p_size BETWEEN 1 AND 5 THEN 'modified' WHEN p_size BETWEEN 6 AND 9 THEN 'deleted' ELSE 'unchanged' END AS change, count(*) + CASE WHEN any_value(p_size) > 9 THEN 2 * (SELECT count(*) FROM mods) ELSE 0 END AS n FROM files GROUP BY 1 UNION ALL SELECT 'new', count(*) FROM mods")
-tree_query("find_module_in_tree", lambda s, d: index.find_module(s, trees.indexed(s, d).root, "m7").select("name", "display_name", "version", F.array_join("depends", "|").alias("depends")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, concat('m', s_nationkey) AS depends FROM mods WHERE name = 'm7'")
-tree_query("scan_tree", lambda s, d: tree.read(s, trees.indexed(s, d).root).filter((F.col("depth") == 2) & F.col("name").endswith(".xml") & (F.col("length") <= files.XML_BYTES)).select("path", "directory", "is_dir", "depth"), "SELECT concat(name, '/views/v.xml') AS path, 'views' AS directory, false AS is_dir, 2 AS depth FROM mods")
+tree_query("find_module_in_tree", lambda s, d: index.find_module(s, trees.tree_of(s, d), "m7").select("name", "display_name", "version", F.array_join("depends", "|").alias("depends")), "SELECT name, display_name, concat('1.', s_nationkey) AS version, concat('m', s_nationkey) AS depends FROM mods WHERE name = 'm7'")
+tree_query("scan_tree", lambda s, d: tree.read(s, trees.tree_of(s, d)).filter((F.col("depth") == 2) & F.col("name").endswith(".xml") & (F.col("length") <= files.XML_BYTES)).select("path", "directory", "is_dir", "depth"), "SELECT concat(name, '/views/v.xml') AS path, 'views' AS directory, false AS is_dir, 2 AS depth FROM mods")
 tree_query("index_refresh_unchanged", trees.unchanged, "SELECT 'unchanged' AS change, (SELECT count(*) FROM files) + 2 * count(*) AS n FROM mods")
 
 # ---- the parsers as table functions of SQL
