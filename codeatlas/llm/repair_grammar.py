@@ -10,6 +10,7 @@ texts; repeated rows are written each. A text is never split between shards. An
 Other columns are ignored.
 """
 
+import codecs
 import functools
 import json
 import os
@@ -21,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .segment import Distinct, unknown
+from .segment import byte_classes, cut, unknown
 from .shared import parts, slices, small, text_bytes, written
+from .words import BASE, U, mix
 
 END, SHARD_IDS, SHARE = 1, 1 << 18, 4
 KNOWN = 500_000  # words whose ids a process remembers
@@ -37,15 +39,19 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The characters that the tokenizer's vocabulary has for bytes; a blank stays one between words, in which it never is.
+PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTERS = "".join(chr(b) if b in PLAIN or b == 32 else chr(256 + sum(x not in PLAIN for x in range(b))) for b in range(256))
+
+
 @functools.cache
 def word_coder(path: str):
-    """The same model for words that are already cut and lower-cased, with blanks between them."""
+    """The same model for words that are already cut, lower-cased and spelt in LETTERS, with blanks between them."""
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         parts = json.load(f)
-    parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, parts["pre_tokenizer"]["pretokenizers"][-1]]}}
-    return Tokenizer.from_str(json.dumps(parts))
+    return Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
 
 
 class WordEncoder:
@@ -61,7 +67,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.short, self.long = ShortWords(), {}  # the numbers of words
         self.flat, self.begin, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0  # word k has flat[begin[k] : begin[k + 1]]
 
     @staticmethod
@@ -71,11 +77,11 @@ class WordEncoder:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # without the rule for final sigma
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Codes new words, some hundred in one text: a word's last id, and only that, is one that ends words."""
         for i in range(0, len(words), 1 << 16):
             part, k = words[i : i + (1 << 16)], self.count
-            found = word_coder(self.path).encode_batch_fast([" ".join(part[a : a + 256]) for a in range(0, len(part), 256)], add_special_tokens=False)
+            found = word_coder(self.path).encode_batch_fast([codecs.charmap_decode(b" ".join(part[a : a + 256]), "strict", LETTERS)[0] for a in range(0, len(part), 256)], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, np.int32) for e in found])
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
@@ -89,49 +95,137 @@ class WordEncoder:
             self.begin[k + 1 : k + 1 + len(part)] = at + stops
             self.count += len(part)
 
+    def numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each word; new ones are coded first."""
+        row, n = np.empty(len(starts), np.int64), ends - starts
+        short = np.flatnonzero(n <= SHORT)
+        low, high = spelling(data, starts[short], n[short])
+        found = self.short.find(low, high)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order = new[np.lexsort((low[new], high[new]))]
+            first = np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))
+            one = order[first]
+            found[order] = self.count - 1 + np.cumsum(first)
+            self.short.add(low[one], high[one], found[one])
+            self.learn([data[a:b] for a, b in zip(starts[short[one]].tolist(), ends[short[one]].tolist(), strict=True)])
+        row[short] = found
+        if len(short) < len(row):
+            rest = np.flatnonzero(n > SHORT)
+            words = [data[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            new = [w for w in dict.fromkeys(words) if w not in self.long]
+            self.long.update(zip(new, range(self.count, self.count + len(new)), strict=True))
+            self.learn(new)
+            row[rest] = np.fromiter(map(self.long.__getitem__, words), np.int64, len(words))
+        return row
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = {k for k, t in enumerate(texts) if "<" in t and any(s in t for s in self.special)} | unknown(texts)
-        found = Distinct([self.normal(t) if k not in odd else "" for k, t in enumerate(texts)], False)
         if self.count > KNOWN:
             self.clear()
-        words = found.words()
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, range(self.count, self.count + len(new)), strict=True))
-        self.learn(new)
-        row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[found.at]
+        coded = [self.normal(t).encode() if k not in odd else b"" for k, t in enumerate(texts)]
+        data, offsets = b"".join(coded), np.append(0, np.cumsum([len(t) for t in coded], dtype=np.int64))
+        points = np.frombuffer(data, np.uint8)
+        starts, stops = cut(points, offsets, False, byte_classes(points))
+        row = self.numbers(data, starts, stops)
         start = self.begin[row]
         n = self.begin[row + 1] - start
         ends = np.append(0, np.cumsum(n))
         every = self.flat[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])]
-        ends = ends[found.first]
+        ends = ends[np.searchsorted(starts, offsets)].tolist()
         return [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.int32) if k in odd else every[ends[k] : ends[k + 1]] for k, t in enumerate(texts)]
 
 
+SHORT = 15  # bytes of a word that fit two 64-bit values together with their number
+LOW, HIGH, SIZE = (np.array([f(n) for n in range(SHORT + 1)], np.uint64) for f in (lambda n: (1 << 8 * min(n, 8)) - 1, lambda n: (1 << 8 * max(n - 8, 0)) - 1, lambda n: n << 56))
+
+
+def spelling(data: bytes, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two values that hold the bytes of each word, SHORT at most, and their number: equal for equal words only."""
+    eight = np.ndarray((len(data) + 9,), "<u8", data + bytes(16), 0, (1,))  # the eight bytes from each place on
+    low, high = eight[starts], eight[starts + 8]
+    low &= LOW[n]
+    high &= HIGH[n]
+    high |= SIZE[n]
+    return low, high
+
+
+class ShortWords:
+    """Numbers of words by their spelling, for many words at once: a table of places where a word stands at its hash or behind it."""
+
+    def __init__(self):
+        self.low, self.high, self.numbers = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32))
+        self.table()
+
+    def table(self) -> None:
+        size = max(1 << 16, 1 << (4 * len(self.low)).bit_length())
+        self.mask, self.place = U(size - 1), np.zeros(size, np.int32)  # 0: free, else a word's place among all plus 1
+        self.put(0)
+
+    def put(self, first: int) -> None:
+        """Enters the words from that place on, all of them new."""
+        place = np.arange(first + 1, len(self.low) + 1, dtype=np.int32)
+        at = self.home(self.low[first:], self.high[first:])
+        while len(place):
+            free = self.place[at] == 0
+            self.place[at[free]] = place[free]
+            left = self.place[at] != place
+            place, at = place[left], (at[left] + 1) & int(self.mask)
+
+    def home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ high * BASE) & self.mask).astype(np.int64)
+
+    def add(self, low: np.ndarray, high: np.ndarray, numbers: np.ndarray) -> None:
+        first = len(self.low)
+        self.low, self.high, self.numbers = np.append(self.low, low), np.append(self.high, high), np.append(self.numbers, numbers.astype(np.int32))
+        if 2 * len(self.low) > len(self.place):
+            self.table()
+        else:
+            self.put(first)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is new."""
+        out, at, left = np.full(len(low), -1, np.int64), self.home(low, high), np.arange(len(low))
+        while len(left):
+            place = self.place[at]
+            taken = np.flatnonzero(place)
+            left, at, place, low, high = (x[taken] for x in (left, at, place - 1, low, high))
+            same = (self.low[place] == low) & (self.high[place] == high)
+            out[left[same]] = self.numbers[place[same]]
+            left, at, low, high = left[~same], (at[~same] + 1) & int(self.mask), low[~same], high[~same]
+        return out
+
+
 @functools.cache
 def encoder(path: str) -> WordEncoder:
     """One encoder a process: a later task finds the words of earlier ones."""
     return WordEncoder(path)
 
 
-def places(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def places(at: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Those of the places `at` (ascending) of pairs that are replaced: where pairs overlap, the one of the highest rank, in a run of one pair every second."""
-    taken = [at[:0]]
-    while len(at):
-        near = at[1:] == at[:-1] + 1
+    near = at[1:] == at[:-1] + 1
+    taken = np.ones(len(at), bool)
+    taken[1:] &= ~near
+    taken[:-1] &= ~near
+    left = np.flatnonzero(~taken)  # only those beside another one need ranks
+    rank = rank[pair[at[left]]]
+    while len(left):
+        near = at[left[1:]] == at[left[:-1]] + 1
         up, down = near & (rank[1:] > rank[:-1]), near & (rank[1:] < rank[:-1])
-        win = np.ones(len(at), bool)
+        win = np.ones(len(left), bool)
         win[:-1] &= ~up
         win[1:] &= ~down
         same = near & ~up & ~down
         if same.any():
-            k = np.arange(len(at))
+            k = np.arange(len(left))
             win &= (k - np.maximum.accumulate(np.where(np.append(False, same), 0, k))) % 2 == 0
-        taken.append(at[win])
+        taken[left[win]] = True
         done = win.copy()
         done[1:] |= win[:-1] & near
         done[:-1] |= win[1:] & near
-        at, rank = at[~done], rank[~done]
-    return np.sort(np.concatenate(taken))
+        left, rank = left[~done], rank[~done]
+    return at[taken]
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
@@ -177,8 +271,9 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
             rank = np.zeros(len(count) + 1, np.int32)  # the last one is that of -1
             rank[wanted] = np.arange(1, len(wanted) + 1)
             at = np.flatnonzero((rank > 0)[pair]) if at is None else at[rank[pair[at]] > 0]
-            taken = places(at, rank[pair[at]])
-            used = np.bincount(rank[pair[taken]], minlength=len(wanted) + 1)[1:]
+            taken = places(at, pair, rank)
+            ranks = rank[pair[taken]]
+            used = np.bincount(ranks, minlength=len(wanted) + 1)[1:]
             if used.min() > 1:
                 break
             if used[-1] < 2:  # the first choice lost places to itself only: a run of one symbol, which never will be worth a rule
@@ -190,7 +285,7 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
         made = symbols[wanted]
         rules.append(made)
         ends, size = np.append(ends, ends[made[:, 1]]), np.append(size, size[made].sum(1))
-        name = base + many - 1 + rank[pair[taken]]
+        name = base + many - 1 + ranks
         many += len(wanted)
         lost = []
         for beside in (taken, taken + 1, taken[taken > 0] - 1):

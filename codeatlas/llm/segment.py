@@ -45,18 +45,38 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
 
 
-def cut(points: np.ndarray, offsets: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the pre-tokens of all texts, in order."""
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """For each byte of valid UTF-8 the class of the code point that it belongs to."""
+    kind = classes()[:256][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    while len(lead):  # once for each length of code points
+        size = 2 + (data[lead[0]] >= 0xE0) + int(data[lead[0]] >= 0xF0)
+        own = (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0) == size - 2
+        at, lead = lead[own], lead[~own]
+        point = data[at].astype(np.int64) & (0x7F >> size)
+        for k in range(1, size):
+            point = point << 6 | (data[at + k] & 0x3F)
+        found = classes()[point]
+        for k in range(size):
+            kind[at + k] = found
+    return kind
+
+
+def cut(points: np.ndarray, offsets: np.ndarray, spaced: bool, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens of all texts, in order. Given the class of each, points may be UTF-8 bytes, if not spaced."""
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = classes()[points]
+    narrow = kind is not None
+    kind = kind if narrow else classes()[points]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     new = edge[:n].copy()
     new[1:] |= kind[1:] != kind[:-1]
     if not spaced:
         new |= kind == NUMBER
+    if narrow:
+        new &= (points & 0xC0) != 0x80  # a further byte of a number starts none
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], n)
     kinds = kind[starts]

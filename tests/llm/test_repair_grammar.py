@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -131,3 +132,61 @@ def test_rows_of_one_id_are_shared(spark):
     """Rows without doc_id, a third of all or more, don't meet in one task."""
     df = spark.createDataFrame([(None, f"text {k}") for k in range(400)], "doc_id long, text string").repartition(4)
     assert len({r["part"] for r in g.write_shards(df, PATH).select("part").collect()}) > 1
+
+
+WORDS = ["a" * 14, "a" * 15, "a" * 16, "b" * 8, "b" * 7, "b" * 8 + "a", "é" * 7, "é" * 7 + "b", "é" * 8, "\0", "\0" * 2, "\0" * 15, "\0" * 16, "\x1c", "x\x1cy", "٣٤", "𝟘𝟙", "Ⅷ", "日本語" * 4, "ΑΣ", "it's", "it'", "'s", "'LL", "é'd", "e\u0301", "\u0301", "\x7f\x80", "\xa0\xad", "\u2003\u2028", "𐐀x"]
+
+
+def test_words_of_every_length():
+    """Words about as long as two values hold, of NUL and other control characters, and of code points of two to four bytes."""
+    r = random.Random(2)
+    texts = [*WORDS, "", " ", *(r.choice(("", " ", "\n")).join(r.choices(WORDS, k=r.randint(1, 40))) for _ in range(400))]
+    encode = g.WordEncoder(PATH)
+    for _ in range(2):  # new words, then known ones
+        assert [[*x, g.END] for x in map(np.ndarray.tolist, encode(texts))] == [ids_of(t) for t in texts]
+
+
+@given(st.lists(st.text(max_size=40), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_any_texts(texts):
+    assert [[*x, g.END] for x in map(np.ndarray.tolist, g.encoder(PATH)(texts))] == [ids_of(t) for t in texts]
+
+
+def test_short_words_that_share_a_place(monkeypatch):
+    monkeypatch.setattr(g.ShortWords, "home", lambda self, low, high: np.zeros(len(low), np.int64) + int(self.mask))
+    texts = ["The cat sat on the mat, and the dog ran.", "", "dog dog cat", " ".join(f"w{k}x" for k in range(300))]
+    encode = g.WordEncoder(PATH)
+    for _ in range(2):
+        assert [[*x, g.END] for x in map(np.ndarray.tolist, encode(texts))] == [ids_of(t) for t in texts]
+
+
+def test_many_words_are_kept(monkeypatch):
+    """The table grows with its words, and is emptied beyond KNOWN."""
+    r = random.Random(5)
+    encode = g.WordEncoder(PATH)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=r.randint(3, 20))) for _ in range(30_000)) for _ in range(2)]
+    want = [e.ids for e in encode.tok.encode_batch(texts, add_special_tokens=False)]
+    assert [encode([t])[0].tolist() for t in texts] == want
+    n = encode.count
+    assert len(encode.short.place) > 1 << 16 and [encode([t])[0].tolist() for t in texts] == want and encode.count == n
+    monkeypatch.setattr(g, "KNOWN", 1000)
+    assert encode(texts[:1])[0].tolist() == want[0] and encode.count < n
+
+
+def test_known_words_are_cheap():
+    """Coding known words costs less CPU time than only listing the distinct ones as strings, which the encoder used to do for each slice."""
+    from codeatlas.llm.segment import Distinct
+
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 12))) for _ in range(100_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    encode, least = g.WordEncoder(PATH), []
+    for run in (lambda: encode(texts), lambda: Distinct(texts, False).words()):
+        run()
+        spent = []
+        for _ in range(7):
+            begin = time.process_time()
+            run()
+            spent.append(time.process_time() - begin)
+        least.append(min(spent))
+    assert least[0] < least[1]
