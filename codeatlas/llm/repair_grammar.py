@@ -26,7 +26,7 @@ from .segment import byte_classes, cut, unknown
 from .shared import parts, slices, small, text_bytes, written
 from .words import BASE, U, mix
 
-END, SHARD_IDS, SHARE = 1, 1 << 18, 4
+END, SHARD_IDS, SHARE, FEW = 1, 1 << 18, 4, 4
 KNOWN = 500_000  # words whose ids a process remembers
 SLICE = 2 << 20  # bytes of text that are cut into words at once
 
@@ -202,16 +202,16 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def places(at: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Those of the places `at` (ascending) of pairs that are replaced: where pairs overlap, the one of the highest rank, in a run of one pair every second."""
-    near = at[1:] == at[:-1] + 1
+def places(at: np.ndarray, ends: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Those of the places `at` (ascending) of pairs, with places `ends` of their second symbols, that are replaced: where pairs overlap, the one of the highest rank, in a run of one pair every second."""
+    near = at[1:] == ends[:-1]
     taken = np.ones(len(at), bool)
     taken[1:] &= ~near
     taken[:-1] &= ~near
     left = np.flatnonzero(~taken)  # only those beside another one need ranks
     rank = rank[pair[at[left]]]
     while len(left):
-        near = at[left[1:]] == at[left[:-1]] + 1
+        near = at[left[1:]] == ends[left[:-1]]
         up, down = near & (rank[1:] > rank[:-1]), near & (rank[1:] < rank[:-1])
         win = np.ones(len(left), bool)
         win[:-1] &= ~up
@@ -234,21 +234,26 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     Pairs are replaced until none can be replaced twice; what ends with END never is the first of a pair. Each position holds the number of its
     pair, and only positions beside a replaced pair get new ones. A round takes the most frequent pairs: those over half as frequent as the first,
     and more of them if these hold under a SHAREth of all positions. Among overlapping pairs the more frequent one goes first; the others wait.
+    Symbols move together after a round until pairs that occur twice hold under one in FEW positions; then they stay, and a round looks at those alone.
     """
     s = ids.astype(np.int32)
     base = max(int(s.max(initial=0)), END) + 1
     ends, size = np.zeros(base, bool), np.ones(base, np.int64)  # whether a symbol ends a document; its length in ids
     ends[END] = True
-    rules, many = [np.zeros((0, 2), np.int32)], 0
+    rules, many, left = [np.zeros((0, 2), np.int32)], 0, len(s)
+    after = before = live = None  # once symbols stay: their neighbours, len(s) and -1 for none, and the positions of pairs with a number
+
+    def follower(at: np.ndarray) -> np.ndarray:
+        return at + 1 if after is None else after[at]
 
     def numbered(at: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers from `first` on for the pairs at these positions, -1 for a pair that occurs once; the symbols and counts of the numbered ones."""
         wide, n = (base + many).bit_length(), len(at).bit_length()
         if 2 * wide + n < 63:  # pairs with their places behind them: sorting values is faster than sorting places by values
-            key = np.sort((s[at].astype(np.int64) << wide | s[at + 1]) << n | np.arange(len(at)))
+            key = np.sort((s[at].astype(np.int64) << wide | s[follower(at)]) << n | np.arange(len(at)))
             order, key = key & ((1 << n) - 1), key >> n
         else:
-            key = s[at].astype(np.int64) << wide | s[at + 1]
+            key = s[at].astype(np.int64) << wide | s[follower(at)]
             order = np.argsort(key)
             key = key[order]
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
@@ -264,14 +269,14 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     while (top := int(count.max(initial=0))) > 1:
         few = np.bincount(np.minimum(count, 4096))
         held = np.cumsum((few * np.arange(len(few)))[::-1])[::-1]  # positions of pairs of at least that count
-        least = max(2, min(top // 2 + 1, int(np.flatnonzero(held >= min(held[2], len(s) // SHARE))[-1])))
-        wanted, at = np.flatnonzero(count >= least), None
+        least = max(2, min(top // 2 + 1, int(np.flatnonzero(held >= min(held[2], left // SHARE))[-1])))
+        wanted, at = np.flatnonzero(count >= least), live
         wanted = wanted[np.argsort(count[wanted], kind="stable")]
         while len(wanted):
             rank = np.zeros(len(count) + 1, np.int32)  # the last one is that of -1
             rank[wanted] = np.arange(1, len(wanted) + 1)
             at = np.flatnonzero((rank > 0)[pair]) if at is None else at[rank[pair[at]] > 0]
-            taken = places(at, pair, rank)
+            taken = places(at, follower(at), pair, rank)
             ranks = rank[pair[taken]]
             used = np.bincount(ranks, minlength=len(wanted) + 1)[1:]
             if used.min() > 1:
@@ -287,24 +292,40 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
         ends, size = np.append(ends, ends[made[:, 1]]), np.append(size, size[made].sum(1))
         name = base + many - 1 + ranks
         many += len(wanted)
+        gone = follower(taken)
+        first = taken[taken > 0] - 1 if after is None else before[taken][before[taken] >= 0]
         lost = []
-        for beside in (taken, taken + 1, taken[taken > 0] - 1):
+        for beside in (taken, gone, first):
             lost.append(pair[beside])
             pair[beside] = -2
         lost = np.concatenate(lost)
         count = np.maximum(count - np.bincount(lost[lost >= 0], minlength=len(count)), 0)
-        s[taken] = name
-        keep = np.ones(len(s), bool)
-        keep[taken + 1] = False
-        keep = np.flatnonzero(keep)
-        s, pair = s[keep], pair[keep]
-        at = np.flatnonzero(pair == -2)
+        s[taken], left = name, left - len(taken)
+        if after is None:
+            keep = np.ones(len(s), bool)
+            keep[gone] = False
+            keep = np.flatnonzero(keep)
+            s, pair = s[keep], pair[keep]
+            at = np.flatnonzero(pair == -2)
+            if held[2] < left // FEW:
+                after, before, live = np.arange(1, left + 1), np.arange(-1, left), np.flatnonzero(pair >= 0)
+                kept = np.ones(left, bool)
+        else:
+            kept[gone], pair[gone] = False, -1
+            after[taken] = after[gone]
+            before[after[gone]] = taken
+            at = np.sort(np.concatenate([taken, first[pair[first] == -2]]))
         pair[at] = -1
-        at = at[at < len(s) - 1]
+        at = at[follower(at) < len(s)]
         at = at[~ends[s[at]]]
         pair[at], more, n = numbered(at, len(count))
         symbols, count = np.concatenate([symbols, more]), np.concatenate([count, n])
-    return s, np.concatenate(rules), base, size[base:]
+        if after is not None:
+            live = np.sort(np.concatenate([live, at]))
+            live = live[pair[live] >= 0]
+            live = live[count[pair[live]] > 1]
+            live = live[np.append(True, live[1:] != live[:-1])[: len(live)]]
+    return s if after is None else s[kept], np.concatenate(rules), base, size[base:]
 
 
 class Grammar:

@@ -190,3 +190,21 @@ def test_known_words_are_cheap():
             spent.append(time.process_time() - begin)
         least.append(min(spent))
     assert least[0] < least[1]
+
+
+@given(st.lists(st.sampled_from([1, 2, 2, 2, 3, 3, 4, 50_000]), max_size=300), st.integers(0, 5))
+@settings(max_examples=150, deadline=None)
+def test_symbols_that_stay(ids, copies):
+    """The same symbols and rules whether symbols move together after each round, stay after the first, or stay once few pairs are left."""
+    r = random.Random(len(ids))
+    ids = np.array([*ids, g.END, *[x for _ in range(copies) for x in [*range(100, 160), r.randint(2, 90), g.END]]], np.int32)
+    found, few = [], g.FEW
+    try:
+        for g.FEW in (1 << 40, 1, few):
+            found.append(g.compress(ids))
+    finally:
+        g.FEW = few
+    for other in found[1:]:
+        assert all(np.array_equal(a, b) for a, b in zip(found[0], other, strict=True))
+    symbols, rules, base, lengths = found[1]
+    assert (g.Grammar(rules, base, lengths).expand(symbols) == ids).all()
