@@ -429,20 +429,27 @@ def document(row: dict, k: int, start: int = 0, stop: int | None = None) -> np.n
     return grammar.span(symbols[a : a + row["n_symbols"][k]], start, row["n_ids"][k] if stop is None else stop)
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """(doc_id, part, shard, before, ids): each document's little-endian 32-bit ids, and the number of ids before it in its shard."""
+def read_shards(shards: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, part, shard, before, ids): each document's little-endian 32-bit ids, and the number of ids before it in its shard.
+
+    digest: n_tokens and ids_crc32 instead, so that ids that are only counted and summed up don't leave the task.
+    """
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {f.name: batch.column(k)[i] if f.name in ("rules", "lengths", "symbols") else batch.column(k)[i].as_py() for k, f in enumerate(batch.schema)}
-                docs, before, ids, n = [], [], [], 0
+                docs, before, ids, sums, n = [], [], [], [], 0
                 for doc, _, x in shard_documents(row):
-                    docs.append(doc), before.append(n), ids.append(x.astype("<u4").tobytes())
+                    x = x.astype("<i4", copy=False)
+                    docs.append(doc), before.append(n), ids.append(len(x) if digest else x.tobytes())
                     n += len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([row["part"]] * len(docs), pa.int32()), pa.array([row["shard"]] * len(docs), pa.int32()), pa.array(before, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "shard", "before", "ids"])
+                    if digest:
+                        sums.append(zlib.crc32(x))
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([row["part"]] * len(docs), pa.int32()), pa.array([row["shard"]] * len(docs), pa.int32()), pa.array(before, pa.int64()), *([pa.array(ids, pa.int64()), pa.array(sums, pa.int64())] if digest else [pa.array(ids, pa.binary())])], names)
 
-    return shards.mapInArrow(run, "doc_id long, part int, shard int, before long, ids binary")
+    names = ["doc_id", "part", "shard", "before", *(["n_tokens", "ids_crc32"] if digest else ["ids"])]
+    return shards.mapInArrow(run, "doc_id long, part int, shard int, before long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary"))
 
 
 def token_positions(shards: DataFrame) -> DataFrame:
@@ -451,5 +458,4 @@ def token_positions(shards: DataFrame) -> DataFrame:
     before = lambda order, within="": F.expr(f"coalesce(sum(n) over ({within} order by {order} rows between unbounded preceding and 1 preceding), 0L)")
     parts_before = totals.groupBy("part").agg(F.sum("n").alias("n")).select("part", before("part").alias("of_parts"))  # one row a partition
     starts = totals.withColumn("first", before("shard", "partition by part")).join(F.broadcast(parts_before), "part").select("part", "shard", (F.col("first") + F.col("of_parts")).alias("first"))
-    rows = read_shards(shards).select("doc_id", "part", "shard", "before", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return rows.join(small(written(starts, "shard-starts")), ["part", "shard"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return read_shards(shards, digest=True).join(small(written(starts, "shard-starts")), ["part", "shard"]).select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

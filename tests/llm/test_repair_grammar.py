@@ -208,3 +208,9 @@ def test_symbols_that_stay(ids, copies):
         assert all(np.array_equal(a, b) for a, b in zip(found[0], other, strict=True))
     symbols, rules, base, lengths = found[1]
     assert (g.Grammar(rules, base, lengths).expand(symbols) == ids).all()
+
+
+def test_digests_are_those_of_ids(odd):
+    shards = g.write_shards(odd, PATH, 5000)
+    want = sorted((r["part"], r["shard"], r["before"], len(r["ids"]) // 4, zlib.crc32(r["ids"])) for r in g.read_shards(shards).collect())
+    assert sorted(tuple(r)[1:] for r in g.read_shards(shards, digest=True).collect()) == want
